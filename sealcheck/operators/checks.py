@@ -17,6 +17,7 @@ from sealcheck.operators.findings import coded, finding, first_code, union_all,
 from sealcheck.operators.pages import ledger_contiguity
 from sealcheck.operators.seal import archived_counts, discrepancies, observed_counts, zero
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
+from sealcheck.session import cut_lineage
 from sealcheck.schemas import ENTITY_TABLES, MANIFEST_VERSIONS, PORTABLE_COLUMNS, portable_columns
 
 Tables = dict[str, DataFrame]
@@ -422,15 +423,14 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFra
                              F.col("table").alias("under"), F.col("portable").alias("above"))
     named = index.withColumn("declares", F.coalesce("parent_type", F.lit("")) != "").select(
         "snapshot_id", "type", "id", "parent_type", "parent_id", "declares")
-    placed = objects.join(named, ["snapshot_id", "type", "id"], "left").join(
-        parents, ["snapshot_id", "parent_type", "parent_id"], "left")
+    # Read by every rule below; written once so that the joins behind it are not repeated per rule.
+    placed = cut_lineage(objects.join(named, ["snapshot_id", "type", "id"], "left").join(
+        parents, ["snapshot_id", "parent_type", "parent_id"], "left"))
     indexed = placed.filter("declares IS NOT NULL AND (NOT declares OR under IS NOT NULL)")
     lost = placed.filter("declares AND under IS NULL")
     nodes = placed.select("snapshot_id", "table", F.concat_ws("/", "type", "id").alias("node"),
                           F.when(F.col("under").isNotNull(), F.concat_ws("/", "parent_type", "parent_id")).alias("parent"))
-    names = nodes.join(objects.select("snapshot_id", F.concat_ws("/", "type", "id").alias("node"), "portable"),
-                       ["snapshot_id", "node"]).select("snapshot_id", F.col("node").alias("ancestor"),
-                                                       F.col("portable").alias("rooted"))
+    names = placed.select("snapshot_id", F.concat_ws("/", "type", "id").alias("ancestor"), F.col("portable").alias("rooted"))
 
     def roots(child: str, stop: str) -> DataFrame:
         """Nearest ancestor in table `stop` of every row of `child`, walking archived objects only."""

@@ -40,7 +40,7 @@ def numbered_termination(pages: DataFrame) -> DataFrame:
     """Numbered pages start at 0, have no gap or repeat, and end with exactly one empty page. Needs `n_items`."""
     summary = pages.groupBy(*SCOPE).agg(
         F.min("page_no").alias("low"), F.max("page_no").alias("high"), F.count(F.lit(1)).alias("n"),
-        F.max_by("n_items", "page_no").alias("last_items"))
+        F.max(F.struct("page_no", "n_items"))["n_items"].alias("last_items"))
     repeated = pages.groupBy(*SCOPE, "page_no").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     early = pages.filter("n_items = 0").join(summary.select(*SCOPE, "high"), SCOPE).filter("page_no < high")
     before = pages.select(*SCOPE, (F.col("page_no") + 1).alias("page_no")).distinct()
@@ -60,7 +60,7 @@ def cursor_termination(pages: DataFrame) -> DataFrame:
     Needs `has_more` and `next_cursor`.
     """
     from sealcheck.functions.text import is_blank
-    last = pages.groupBy(*SCOPE).agg(F.max_by("has_more", "page_no").alias("has_more"),
+    last = pages.groupBy(*SCOPE).agg(F.max(F.struct("page_no", "has_more"))["has_more"].alias("has_more"),
                                      F.max("page_no").alias("page_no"))
     repeated = (pages.filter(F.col("has_more") & ~is_blank(F.col("next_cursor")))
                 .groupBy(*SCOPE, "next_cursor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -83,7 +83,7 @@ def chained_termination(pages: DataFrame) -> DataFrame:
     broken = chained.filter((F.col("page_no") > 0) & ~(
         F.coalesce("has_previous", F.lit(False)) & F.col("start").eqNullSafe(F.col("want_date"))
         & F.col("start_id").eqNullSafe(F.col("want_id"))))
-    last = pages.groupBy(*SCOPE).agg(F.max_by("n_items", "page_no").alias("n_items"), F.max("page_no").alias("page_no"))
+    last = pages.groupBy(*SCOPE).agg(F.max(F.struct("page_no", "n_items"))["n_items"].alias("n_items"), F.max("page_no").alias("page_no"))
     check = "page_termination"
     return union_findings([
         finding(broken, check, "CHAIN_BROKEN", F.col("scope"), F.col("page_no")),
