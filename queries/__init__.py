@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["columns", "seal", "checks"]
+MODULES = ["columns", "seal", "checks", "organize"]
 
 
 def load():

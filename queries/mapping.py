@@ -8,6 +8,7 @@ tables; the rules decide what is damaged, not what is read. `oracle.py` states t
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,7 +16,7 @@ from sealcheck.functions.ids import digest, portable_id
 from sealcheck.operators.findings import union_all
 from sealcheck.operators.normalize import build_source_index
 from sealcheck.schemas import portable_columns, portable_schema
-from sealcheck.session import configure
+from sealcheck.session import configure, ensure_checkpoint_dir
 
 PROVIDER = "tpch"
 E = F.expr
@@ -30,6 +31,30 @@ def text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+_WRITTEN: dict[tuple[str, str, str], tuple] = {}
+
+
+def stored(build):
+    """A mapped table that is written once per application and then read, as a landed archive would be.
+
+    It lies in the shared checkpoint folder, so every query of a session scans columns of the same files.
+    """
+    name = build.__name__
+
+    def read(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            ensure_checkpoint_dir(self.spark)
+            path = f"{self.spark.sparkContext.getCheckpointDir()}/mapping-{uuid4().hex}/{name}"
+            frame = build(self)
+            frame.write.parquet(path)
+            _WRITTEN[key] = (path, frame.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    return cached_property(read)
+
+
 class Mapping:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = configure(spark), sf_dir
@@ -60,7 +85,7 @@ class Mapping:
         return self.shaped(self.snapshots, "workspaces", "workspace", F.lit("w1"), F.lit("raw/inventory.json"),
                            id=pid("workspace", F.lit("w1")), name=F.lit(PROVIDER))
 
-    @cached_property
+    @stored
     def containers(self) -> DataFrame:
         ws = pid("workspace", F.lit("w1"))
         regions = self.shaped(self.both("region"), "containers", "region", text("r_regionkey"), F.lit("raw/region.json"),
@@ -71,7 +96,7 @@ class Mapping:
                               parent_id=pid("region", text("n_regionkey")), name=F.col("n_name"))
         return regions.unionByName(nations)
 
-    @cached_property
+    @stored
     def collections(self) -> DataFrame:
         moved = F.col("bad") & (F.col("c_custkey") % 101 == 0)
         nation = F.when(moved, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey")).cast("string")
@@ -80,7 +105,7 @@ class Mapping:
                            id=pid("customer", text("c_custkey")), workspace_id=pid("workspace", F.lit("w1")),
                            container_id=pid("nation", nation), name=F.col("c_name"))
 
-    @cached_property
+    @stored
     def lines(self) -> DataFrame:
         """One row per (order, line number); the source repeats about a third of these keys."""
         return self.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
@@ -90,7 +115,7 @@ class Mapping:
     def order_path(column: str, folder: str = "order") -> Column:
         return F.concat(F.lit(f"raw/{folder}/"), E(f"{column} div 100").cast("string"), F.lit(".json"))
 
-    @cached_property
+    @stored
     def records(self) -> DataFrame:
         key, bad = F.col("o_orderkey"), F.col("bad")
         own = pid("order", text("o_orderkey"))
@@ -111,7 +136,7 @@ class Mapping:
             parent_record_id=pid("order", text("l_orderkey")), title=F.concat(F.lit("Line "), F.col("line_id")))
         return orders.unionByName(lines)
 
-    @cached_property
+    @stored
     def identities(self) -> DataFrame:
         key, bad = F.col("s_suppkey"), F.col("bad")
         path = F.when(bad & (key % 23 == 0), "").when(bad & (key % 19 == 0), "elsewhere/x.json").otherwise(
@@ -119,13 +144,13 @@ class Mapping:
         return self.shaped(self.both("supplier").filter(~(bad & (key % 13 == 0))), "identities", "supplier", text("s_suppkey"), path,
                            id=pid("identity", text("s_suppkey")), username=F.col("s_name"))
 
-    @cached_property
+    @stored
     def record_identities(self) -> DataFrame:
         return self.both(self.lines).select("snapshot_id", pid("line", F.col("line_id")).alias("record_id"),
                                             pid("identity", text("l_suppkey")).alias("identity_id"), F.lit("supplier").alias("role"),
                                             F.lit(0).cast("long").alias("position"))
 
-    @cached_property
+    @stored
     def record_tags(self) -> DataFrame:
         return self.both("orders").select("snapshot_id", pid("order", text("o_orderkey")).alias("record_id"),
                                           F.posexplode(F.array("o_orderstatus", "o_orderpriority")).alias("position", "name")).select(
@@ -139,7 +164,7 @@ class Mapping:
     def turn_dropped() -> Column:
         return (F.col("conv_id") * 31 + F.col("turn")) % 37 == 0
 
-    @cached_property
+    @stored
     def comments(self) -> DataFrame:
         bad, conv, turn = F.col("bad"), F.col("conv_id"), F.col("turn")
         kept = self.both(self.turns).filter(~(bad & self.turn_dropped()))
@@ -166,11 +191,11 @@ class Mapping:
             checksum=F.when(~lost, F.when(altered, F.concat(F.lit("sha256:"), F.repeat(F.lit("0"), 64))).otherwise(digest(F.col("text")))),
             error=F.when(lost, "download failed"))
 
-    @cached_property
+    @stored
     def attachments(self) -> DataFrame:
         return self._attachments(True)
 
-    @cached_property
+    @stored
     def field_definitions(self) -> DataFrame:
         names = self.read("labels").agg(F.count("quality").alias("quality"), F.count("toxic").alias("toxic")).select(
             F.explode(F.array(F.lit("quality"), F.lit("toxic"), F.lit("ghost"))).alias("field"))
@@ -183,7 +208,7 @@ class Mapping:
                            name=F.when(F.col("bad") & (F.col("field") == "quality"), "renamed").otherwise(F.col("field")),
                            field_type=F.lit("drop_down"), semantics_state=F.lit("SOURCE_DEFINITION_ONLY"), definition_json=definition)
 
-    @cached_property
+    @stored
     def record_field_values(self) -> DataFrame:
         rows = self.both("labels").withColumn("v", F.explode(F.array(
             F.struct(F.lit("quality").alias("field"), text("quality").alias("value")),
@@ -195,7 +220,7 @@ class Mapping:
             F.when(bad & (key % 31 == 0), "{oops").otherwise(F.col("v.value")).alias("observed_value_json"),
             F.when(bad & (key % 29 == 0), "EXECUTED").otherwise("OBSERVED_ONLY").alias("semantics_state"))
 
-    @cached_property
+    @stored
     def relationships(self) -> DataFrame:
         known = self.read("orders").select(F.col("o_orderkey").alias("to_key"), F.lit(True).alias("there"))
         edges = self.read("orders").select("o_orderkey", (F.col("o_orderkey") * 7 + 3).alias("to_key")).join(known, "to_key", "left")
@@ -257,7 +282,7 @@ class Mapping:
             text("o_orderkey"), F.lit("->"), (F.col("o_orderkey") * 7 + 3).cast("string")).alias("id"),
             text("o_orderkey").alias("from_id"), (F.col("o_orderkey") * 7 + 3).cast("string").alias("to_id"))
 
-    @cached_property
+    @stored
     def index(self) -> DataFrame:
         return build_source_index(self.entities, self.links, ("order", "line"))
 

@@ -15,6 +15,11 @@ COMPONENT_BYTES = 96
 SUFFIX_CHARS = 16
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once inside `body`, so that large expressions are not repeated in generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_space(text: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -40,12 +45,15 @@ def bad_text(text: Column, limit: int, allow_empty: bool = False) -> Column:
     return blank | F.coalesce(broken, F.lit(False))
 
 
-def cut_bytes(text: Column, limit: int) -> Column:
+def cut_bytes(text: Column, limit) -> Column:
     """Longest prefix of at most `limit` bytes that does not split a character."""
-    raw = text.cast("binary")
-    tries = [F.try_validate_utf8(F.substring(raw, 1, limit - back).cast("string")) for back in range(4)
-             if limit - back > 0]
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*tries, F.lit("")))
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+
+    def cut(value):
+        tries = [F.try_validate_utf8(F.substring(value.cast("binary"), F.lit(1), limit - back).cast("string")) for back in range(4)]
+        return F.when(F.octet_length(value) <= limit, value).otherwise(F.coalesce(*tries, F.lit("")))
+
+    return let(text, cut)
 
 
 def clean_path(path: Column) -> Column:
@@ -80,31 +88,36 @@ def _plain_name(name: Column) -> Column:
 
 def id_suffix(portable: Column, prefix: str = DEFAULT_PREFIX) -> Column:
     """First characters of an id in a form safe for any file system."""
-    bare = F.regexp_replace(trim_space(portable), "^" + prefix, "")
-    safe = F.when(bare.rlike("^[0-9A-Za-z]+$"), F.lower(bare)).otherwise(F.concat(F.lit("id"), F.sha2(bare, 256)))
-    return F.when(bare == "", F.lit("unknown")).otherwise(F.substring(safe, 1, SUFFIX_CHARS))
+    def suffix(bare):
+        safe = F.when(bare.rlike("^[0-9A-Za-z]+$"), F.lower(bare)).otherwise(F.concat(F.lit("id"), F.sha2(bare, 256)))
+        return F.when(bare == "", F.lit("unknown")).otherwise(F.substring(safe, 1, SUFFIX_CHARS))
+
+    return let(F.regexp_replace(trim_space(portable), "^" + prefix, ""), suffix)
+
+
+def _named(plain: Column, suffix: Column) -> Column:
+    """A cleaned name cut to its budget, or a stand-in, with a mark if the name is reserved."""
+    def marked(name):
+        reserved = F.upper(F.regexp_replace(name, r"\.[^.]*$", "")).isin(RESERVED_NAMES)
+        return F.concat(F.when(reserved, F.lit("_")).otherwise(F.lit("")), name)
+
+    cut = F.regexp_replace(cut_bytes(plain, COMPONENT_BYTES - F.octet_length(suffix) - 2), "[ .]+$", "")
+    return let(F.coalesce(F.nullif(cut, F.lit("")), F.lit("unnamed")), marked)
 
 
 def safe_component(name: Column, portable: Column, prefix: str = DEFAULT_PREFIX) -> Column:
     """One path component: readable name, bounded in bytes, made unique by the id."""
-    suffix = id_suffix(portable, prefix)
-    budget = COMPONENT_BYTES - SUFFIX_CHARS - 2
-    # "unknown" is the only shorter suffix and leaves more room for the name.
-    cut = F.when(suffix == "unknown", cut_bytes(_plain_name(name), COMPONENT_BYTES - len("unknown") - 2)).otherwise(
-        cut_bytes(_plain_name(name), budget))
-    trimmed = F.regexp_replace(cut, "[ .]+$", "")
-    named = F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit("unnamed")).otherwise(trimmed)
-    stem = F.upper(F.regexp_replace(named, r"\.[^.]*$", ""))
-    return F.concat(F.when(stem.isin(RESERVED_NAMES), F.concat(F.lit("_"), named)).otherwise(named),
-                    F.lit("--"), suffix)
+    return let(id_suffix(portable, prefix), lambda suffix: F.concat(_named(_plain_name(name), suffix), F.lit("--"), suffix))
 
 
 def attachment_component(filename: Column, portable: Column, prefix: str = DEFAULT_PREFIX) -> Column:
     """As safe_component, keeping a file extension of up to 16 bytes."""
-    name = _plain_name(filename)
-    extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    kept = F.when(F.octet_length(extension) > 16, F.lit("")).otherwise(extension)
-    return F.concat(safe_component(F.regexp_replace(name, r"\.[^.]*$", ""), portable, prefix), kept)
+    def split(name):
+        extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+        stem = safe_component(F.regexp_replace(name, r"\.[^.]*$", ""), portable, prefix)
+        return F.concat(stem, F.when(F.octet_length(extension) > 16, F.lit("")).otherwise(extension))
+
+    return let(F.coalesce(_plain_name(filename), F.lit("")), split)
 
 
 def plural_kind(kind: Column) -> Column:

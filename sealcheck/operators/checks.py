@@ -99,19 +99,28 @@ def file_checksums(listed: DataFrame, files: DataFrame) -> DataFrame:
 
 # --- tables
 
+def unique_keys(table: str) -> list[list[str]]:
+    """Column lists that must be unique in a table, the primary key first."""
+    keys = [R.PRIMARY_KEYS.get(table, ["id"])] + R.UNIQUE_KEYS.get(table, [])
+    return keys + ([["source_provider", "source_type", "source_id"]] if table in ENTITY_TABLES else [])
+
+
 def table_constraints(tables: Tables) -> DataFrame:
-    """Declared keys, required columns, and the status and nullability rule of attachments."""
-    check, parts = "table_constraints", []
+    """Declared keys, required columns, and the status and nullability rule of attachments.
+
+    The keys of all tables go through one aggregation; as in SQL, a key with a null part is never a repeat.
+    """
+    check, parts, keyed = "table_constraints", [], []
     for table, frame in tables.items():
-        entity = table in ENTITY_TABLES
-        uniques = [R.PRIMARY_KEYS.get(table, ["id"])] + R.UNIQUE_KEYS.get(table, [])
-        uniques += [["source_provider", "source_type", "source_id"]] if entity else []
-        for columns in uniques:
-            repeated = frame.groupBy("snapshot_id", *columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            parts.append(finding(repeated, check, "DUPLICATE_KEY", table, F.concat_ws("/", *columns), F.lit("+".join(columns))))
+        keys = F.array(*[F.struct(F.lit("+".join(columns)).alias("rule"), F.array(*[F.col(c).cast("string") for c in columns]).alias("values"))
+                         for columns in unique_keys(table)])
+        keyed.append(frame.select("snapshot_id", F.lit(table).alias("table"), F.explode(keys).alias("k")))
         required = [c for c in portable_columns(table) if c not in R.NULLABLE.get(table, [])]
-        label = F.concat_ws("/", *R.PRIMARY_KEYS.get(table, ["id"]))
-        parts.append(coded(frame, check, [(F.col(c).isNull(), f"NULL_{c.upper()}") for c in required], table, label))
+        parts.append(coded(frame, check, [(F.col(c).isNull(), f"NULL_{c.upper()}") for c in required], table,
+                           F.concat_ws("/", *unique_keys(table)[0])))
+    repeated = union_all(keyed).filter(F.forall("k.values", lambda v: v.isNotNull())).groupBy("snapshot_id", "table", "k").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts.append(finding(repeated, check, "DUPLICATE_KEY", F.col("table"), F.concat_ws("/", "k.values"), F.col("k.rule")))
     retrieved = (F.col("local_path").isNotNull() & F.col("archived_size").isNotNull() & F.col("checksum").isNotNull()
                  & F.col("error").isNull())
     cleared = (F.col("local_path").isNull() & F.col("archived_size").isNull() & F.col("checksum").isNull()
