@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["columns", "seal", "checks", "organize"]
+MODULES = ["columns", "seal", "normalize", "checks", "organize"]
 
 
 def load():

@@ -150,13 +150,13 @@ def index_documents(m):
     return O.index_documents(clean(m))
 
 
-COPIES = PATHS + f"""at AS (SELECT a.*, rdp.dir || '/attachments/' || {component("regexp_replace(filename, '[.][^.]*$', '')", 'a.id')} || regexp_extract(filename, '[.][^.]*$') AS path
+COPIES = PATHS + f"""att AS (SELECT a.*, rdp.dir || '/attachments/' || {component("regexp_replace(filename, '[.][^.]*$', '')", 'a.id')} || regexp_extract(filename, '[.][^.]*$') AS path
   FROM attachments a JOIN rdp ON rdp.id = a.record_id WHERE a.snapshot_id = 's1'),
 """
 
 
 @query("h08_attachment_copy_plan", COPIES + END + """SELECT snapshot_id, id, source_provider, source_type, source_id, source_raw_path, local_path AS source_path, checksum, path,
-  CASE WHEN download_status <> 'RETRIEVED' THEN 'UNRESOLVED' END AS problem FROM at""")
+  CASE WHEN download_status <> 'RETRIEVED' THEN 'UNRESOLVED' END AS problem FROM att""")
 def copy_plan(m):
     return O.attachment_copy_plan(clean(m))
 
@@ -166,7 +166,7 @@ def copy_plan(m):
 ---
 SELECT vp.snapshot_id, vp.path, vp.id AS portable_id, source_provider, source_type, source_id, source_raw_path, NULL AS attachment_checksum FROM vp JOIN ent ON ent.id = vp.id
 UNION ALL SELECT snapshot_id, 'README.md', id, source_provider, source_type, source_id, source_raw_path, NULL FROM ws
-UNION ALL SELECT snapshot_id, path, id, source_provider, source_type, source_id, source_raw_path, checksum FROM at WHERE download_status = 'RETRIEVED'""")
+UNION ALL SELECT snapshot_id, path, id, source_provider, source_type, source_id, source_raw_path, checksum FROM att WHERE download_status = 'RETRIEVED'""")
 def provenance(m):
     return O.provenance_index(clean(m))
 
@@ -179,6 +179,7 @@ def publishable(m):
     result = F.when(status == "F", "VERIFIED").when(status == "O", "VERIFIED_WITH_LIMITATIONS").otherwise("FAILED")
     rows = m.read("orders").select(F.col("o_orderkey").cast("string").alias("snapshot_id"), result.alias("result"), customer.alias("c"))
     before = rows.withColumn("manifest_checksum", F.concat(F.lit("c"), "c"))
+    customer = F.col("c")
     after = rows.withColumn("manifest_checksum", F.when(customer % 7 == 0, "changed").otherwise(F.concat(F.lit("c"), "c"))).withColumn(
         "result", F.when(customer % 5 == 0, "INCOMPLETE").otherwise(F.col("result")))
     return O.publishable(before.drop("c"), after.drop("c"))

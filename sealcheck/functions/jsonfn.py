@@ -1,8 +1,8 @@
 """JSON expressions over raw response text.
 
-Field text comes from a STRING schema, the kind of a field from a VARIANT schema. Strings, integers of any size,
-objects and arrays keep their exact text; a scalar with a fraction or exponent comes back in its shortest form
-(1e2 as 100.0). Where such a literal must survive, use canonical_json or canonical_member.
+Field text comes from a STRING schema, the kind of a field from a VARIANT schema. Strings and integers of any size
+keep their text; a number with a fraction or exponent comes back in its shortest form (1e2 as 100.0), also inside
+objects and arrays. Where the literal must survive, canonical_json, canonical_member and canonical_elements keep it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from sealcheck.functions.text import trim_space
 from sealcheck.rules import COMPUTED_FIELD_TYPES, COMPUTED_PROPERTY_TYPES
@@ -205,5 +205,21 @@ def canonical_member(documents: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([_member(text, name) for text, name in zip(documents, names)], dtype="object")
 
 
+def _elements(text, name):
+    import json
+
+    try:
+        items = json.loads(text, parse_int=_Literal, parse_float=_Literal).get(name)
+    except (ValueError, TypeError, AttributeError, RecursionError):
+        return None
+    return [_encode(item) for item in items] if isinstance(items, list) else None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def canonical_elements(documents: pd.Series, names: pd.Series) -> pd.Series:
+    """Canonical JSON of every element of one array member. Null when the member is absent or no array."""
+    return pd.Series([_elements(text, name) for text, name in zip(documents, names)], dtype="object")
+
+
 def valid_json(document: Column) -> Column:
     return canonical_json(document).isNotNull()

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealcheck.functions.ids import DEFAULT_PREFIX, NUL, portable_id
-from sealcheck.functions.jsonfn import (canonical_json, canonical_member, field_semantics_state, mistyped, priority_field, raw_bool,
+from sealcheck.functions.jsonfn import (canonical_elements, canonical_member, field_semantics_state, mistyped, priority_field, raw_bool,
                                         raw_double, raw_int, raw_scalar, raw_string, rich_text, source_id,
                                         status_fields, with_members)
 from sealcheck.functions.text import is_blank, strip_url_query
@@ -254,10 +254,15 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
     return table, union_findings([unplaced, coded(parsed, "normalize_records", rules, F.col("type"), F.col("id"))])
 
 
-def _elements(details: DataFrame, member: str) -> tuple[DataFrame, DataFrame]:
-    """(elements, findings) of one optional array of the detail bodies."""
+def _elements(details: DataFrame, member: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(elements, findings) of one optional array of the detail bodies; see explode_pages for `exact`."""
     parsed, members = with_members(details, "body", [member], "array")
-    items = F.from_json(F.when(members[member].kind == "array", members[member].text), "array<string>")
+    if exact:
+        # Bodies without the array need not pass through Python.
+        parsed = parsed.withColumn("_exact", F.when(members[member].kind == "array", F.col("body")))
+        items = canonical_elements(F.col("_exact"), F.lit(member))
+    else:
+        items = F.from_json(F.when(members[member].kind == "array", members[member].text), "array<string>")
     exploded = parsed.select("snapshot_id", F.col("id").alias("record"), "raw_path", "sequence",
                              F.posexplode(items).alias("position", "element"))
     wrong = parsed.filter(~members[member].kind.isin("null", "array"))
@@ -326,10 +331,10 @@ def normalize_tags(details: DataFrame, vocabulary: Vocabulary) -> Result:
 
 def normalize_field_definitions(index: DataFrame, responses: DataFrame, vocabulary: Vocabulary) -> Result:
     """Definitions as canonical JSON; a repeated definition must be identical."""
-    elements, missing = explode_pages(operation(responses, vocabulary.field_operation), "fields")
+    elements, missing = explode_pages(operation(responses, vocabulary.field_operation), "fields", exact=True)
     parsed, members = with_members(elements, "element", ["id"], "head")
     observed = parsed.select("snapshot_id", raw_scalar(members["id"]).alias("id"),
-                             canonical_json(F.col("element")).alias("definition"), archive_path().alias("raw_path"),
+                             F.col("element").alias("definition"), archive_path().alias("raw_path"),
                              F.struct("sequence", "position").alias("seen"))
     grouped = observed.filter("id IS NOT NULL").groupBy(*KEY).agg(
         F.min_by(F.struct("definition", "raw_path"), "seen").alias("first"),
@@ -351,7 +356,7 @@ def normalize_field_definitions(index: DataFrame, responses: DataFrame, vocabula
 
 def normalize_field_values(details: DataFrame, definitions: DataFrame, vocabulary: Vocabulary) -> Result:
     """One row per (record, field) that is present. An explicit null is kept; an absent key is skipped."""
-    exploded, findings = _elements(details, "custom_fields")
+    exploded, findings = _elements(details, "custom_fields", exact=True)
     parsed, members = with_members(exploded, "element", ["id"], "value")
     values = parsed.select("snapshot_id", "record", raw_scalar(members["id"]).alias("field"),
                            canonical_member(F.col("element"), F.lit("value")).alias("observed"))
@@ -398,12 +403,12 @@ def normalize_attachments(details: DataFrame, workspaces: DataFrame, vocabulary:
 # --- comments
 
 def observed_comments(responses: DataFrame, vocabulary: Vocabulary) -> Result:
-    elements, missing = explode_pages(operation(responses, *vocabulary.comment_operations), "comments")
+    elements, missing = explode_pages(operation(responses, *vocabulary.comment_operations), "comments", exact=True)
     parsed, members = with_members(elements, "element",
                                    ["id", "date", "user", "comment", "comment_text"], "comment")
     who, person = with_members(parsed.withColumn("person", F.when(members["user"].kind == "object", members["user"].text)),
                                "person", ["id", "username", "email"], "who")
-    body = F.when(~members["comment"].absent, canonical_json(members["comment"].json))
+    body = F.when(~members["comment"].absent, canonical_member(F.col("element"), F.lit("comment")))
     written = F.when(~members["comment_text"].absent, raw_string(members["comment_text"])).otherwise(
         F.when(~members["comment"].absent, rich_text(members["comment"].json)))
     observed = who.select("snapshot_id", raw_scalar(members["id"]).alias("id"), archive_path().alias("raw_path"),
@@ -453,7 +458,7 @@ def observed_links(details: DataFrame, vocabulary: Vocabulary) -> Result:
     """Links listed on records, one row per mention: id `a->b`, or `min<->max` for an undirected link."""
     mentions, findings = [], []
     for link in vocabulary.links:
-        exploded, wrong = _elements(details, link.array)
+        exploded, wrong = _elements(details, link.array, exact=True)
         parsed, members = with_members(exploded, "element", [link.left, link.right], "link")
         left, right = raw_scalar(members[link.left]), raw_scalar(members[link.right])
         ends = (left, right) if link.directed else (F.least(left, right), F.greatest(left, right))
@@ -483,7 +488,7 @@ def normalize_relationships(mentions: DataFrame, records: DataFrame, vocabulary:
         "to_record_id": F.when(F.col("has_to"), vocabulary.id_of(vocabulary.record_namespace, F.col("to_id"))),
         "from_source_id": F.col("from_id"), "to_source_id": F.col("to_id"),
         "resolution_state": F.when(F.col("has_from") & F.col("has_to"), "RESOLVED").otherwise("PARTIAL_EXTERNAL"),
-        "source_metadata_json": canonical_json(F.col("element")),
+        "source_metadata_json": F.col("element"),
         **tail(vocabulary, kind, F.col("id"), F.col("raw_path"), composite=True)})
 
 

@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sealcheck.functions.jsonfn import canonical_elements
 from sealcheck.operators.findings import coded, finding, union_findings
 
 SCOPE = ["snapshot_id", "scope"]
 
 
-def explode_pages(pages: DataFrame, field: str, required: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(elements, findings): one row per array element as JSON text; a missing or null required array is a finding."""
-    parsed = pages.withColumn("_items", F.from_json("body", f"struct<`{field}`:array<string>>")[field])
+def explode_pages(pages: DataFrame, field: str, required: bool = True, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(elements, findings): one row per array element as JSON text; a missing or null required array is a finding.
+
+    `exact` keeps number literals as written, at the price of a pass through Python.
+    """
+    items = canonical_elements(F.col("body"), F.lit(field)) if exact else F.from_json("body", f"struct<`{field}`:array<string>>")[field]
+    parsed = pages.withColumn("_items", items)
     elements = parsed.select(*pages.drop("body").columns, F.posexplode("_items").alias("position", "element"))
     missing = parsed.filter(F.col("_items").isNull()) if required else parsed.filter(F.lit(False))
     return elements, finding(missing, "explode_pages", "REQUIRED_ARRAY_MISSING", field, F.col("raw_path"))
