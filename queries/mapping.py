@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sealcheck.functions.ids import digest, portable_id
 from sealcheck.operators.findings import union_all
 from sealcheck.operators.normalize import build_source_index
+from sealcheck.operators.verdict import verdict
+from sealcheck.rules import CHECKS
 from sealcheck.schemas import portable_columns, portable_schema
+from sealcheck.skew import ordered_positions
 from sealcheck.session import configure, ensure_checkpoint_dir
 
 PROVIDER = "tpch"
@@ -414,3 +417,67 @@ class Mapping:
     def capability_snapshots(self) -> DataFrame:
         return self.read("part").select(F.concat(F.lit("p"), E("p_partkey div 8").cast("string")).alias("snapshot_id"),
                                         F.lit(1).alias("capability_schema_version")).distinct()
+
+    # --- event log: one operation per user, ten scopes
+
+    @stored
+    def event_log(self) -> DataFrame:
+        """Events in the log's own columns. Positions come from a range-partitioned numbering, as a user may be hot."""
+        numbered = ordered_positions(self.read("events"), ["user_id"], ["event_id"], "sequence")
+        kind = F.col("event_type")
+
+        def by_kind(**values):
+            out = F.lit(None).cast("string")
+            for name, value in values.items():
+                out = F.when(kind == name, value).otherwise(out)
+            return out
+
+        place = (F.col("user_id") % 10).cast("string")
+        path = F.concat(F.lit("/a/"), text("event_id"))
+        empty = F.create_map().cast("map<string,string>")
+        metadata = (F.when((kind == "purchase") & (F.col("event_id") % 3 != 0), F.create_map(F.lit("archive_path"), path))
+                    .when(kind == "error", F.create_map(F.lit("reason"), F.lit("NETWORK_FAILURE")))
+                    .when(kind == "signup", F.create_map(F.lit("result"), F.when(F.col("event_id") % 4 == 0, "FAILED").otherwise("VERIFIED"),
+                                                         F.lit("archive_path"), path, F.lit("manifest_checksum"), F.lit("sha256:c")))
+                    .when(kind == "click", F.create_map(F.lit("health_state"), F.lit("DEGRADED"), F.lit("reason"), F.lit("RATE_LIMITED"))).otherwise(empty))
+        return numbered.select(
+            "event_id", F.lit(2).alias("schema_version"),
+            by_kind(view="operation.started", purchase="operation.completed", error="operation.failed", signup="verification.recorded",
+                    click="connector.unhealthy").alias("type"),
+            F.lpad(text("user_id"), 10, "0").alias("operation_id"), F.col("sequence").cast("int").alias("sequence"),
+            F.col("ts").cast("timestamp").alias("recorded_at"), F.lit(PROVIDER).alias("connector"), F.concat(F.lit("w"), place).alias("workspace_id"),
+            F.concat(F.lit("/b/"), place).alias("destination"), F.lit("backup").alias("operation"), F.lit("scan").alias("stage"),
+            by_kind(view="STARTED", purchase="SUCCEEDED", error="FAILED", signup="SUCCEEDED").alias("outcome"),
+            F.concat(F.lit("props "), "props").alias("message"), metadata.alias("metadata"))
+
+    # --- checks and counts per group of orders, for verdicts and reports
+
+    @cached_property
+    def check_groups(self) -> DataFrame:
+        return self.read("orders").select(F.concat(F.lit("o"), E("o_orderkey div 20").cast("string")).alias("snapshot_id")).distinct()
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        """Twenty checks per group of orders; the group decides how bad they can be, some did not run."""
+        key, customer = F.col("o_orderkey"), F.col("o_custkey") % 8
+        level = E("o_orderkey div 20") % 4
+        status = (F.when((level == 3) & (customer == 0), "FAIL").when((level == 3) & (customer == 3), "NOT_EVALUATED")
+                  .when((level >= 2) & (customer == 2), "INCOMPLETE").when((level >= 1) & (customer == 1), "UNPROVEN").otherwise("PASS"))
+        names = F.array(*[F.lit(name) for name in CHECKS])
+        return self.read("orders").filter("o_custkey % 31 <> 0").select(
+            F.concat(F.lit("o"), E("o_orderkey div 20").cast("string")).alias("snapshot_id"), ((key % 20) + 1).alias("check_order"),
+            F.element_at(names, ((key % 20) + 1).cast("int")).alias("check_name"), status.alias("status"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Reconciled counts per group of customers and entity."""
+        entity = F.when(F.col("o_orderpriority") == "1-URGENT", "attachments").when(F.col("o_orderpriority") == "2-HIGH", "nested_records").otherwise(
+            F.concat(F.lit("record:"), F.substring("o_orderpriority", 1, 1)))
+        grouped = self.read("orders").groupBy(F.concat(F.lit("o"), E("o_custkey div 5").cast("string")).alias("snapshot_id"), entity.alias("entity")).agg(
+            F.count(F.lit(1)).alias("expected"), F.count_if(F.col("o_orderstatus") != "F").alias("archived"))
+        return grouped.withColumn("unresolved", F.col("expected") - F.col("archived")).withColumn(
+            "status", F.when(F.col("unresolved") > 0, "INCOMPLETE").otherwise("PASS"))
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return verdict(self.checks, self.check_groups)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from sealcheck.rules import CHECKS
+
 PREFIX = "sc_"
 
 
@@ -174,6 +176,25 @@ CTES = {
         WHEN p_size = 48 THEN 'SOMETIMES' ELSE 'AVAILABLE' END AS availability, state, p_brand AS note
     FROM (SELECT *, CASE WHEN p_size % 5 = 0 THEN 'PARTIAL' WHEN p_size % 11 = 0 THEN 'UNSUPPORTED' WHEN p_size = 49 THEN 'GREAT' ELSE 'SUPPORTED' END AS state FROM part)""",
 }
+CTES |= {
+    "event_log": """SELECT event_id, 2 AS schema_version, CASE event_type WHEN 'view' THEN 'operation.started' WHEN 'purchase' THEN 'operation.completed'
+      WHEN 'error' THEN 'operation.failed' WHEN 'signup' THEN 'verification.recorded' ELSE 'connector.unhealthy' END AS type, lpad(CAST(user_id AS VARCHAR), 10, '0') AS operation_id,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, ts AS recorded_at, 'tpch' AS connector, 'w' || (user_id % 10) AS workspace_id, '/b/' || (user_id % 10) AS destination,
+      CASE event_type WHEN 'view' THEN 'STARTED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'SUCCEEDED' END AS outcome, 'props ' || props AS message,
+      CASE WHEN event_type = 'signup' OR (event_type = 'purchase' AND event_id % 3 <> 0) THEN '/a/' || event_id END AS archive_path,
+      CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'FAILED' ELSE 'VERIFIED' END END AS result FROM events""",
+    "check_groups": "SELECT DISTINCT 'o' || (o_orderkey // 20) AS snapshot_id FROM orders",
+    "check_names": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(CHECKS, 1)) + ") v(check_order, check_name)",
+    "checks": """SELECT 'o' || (o_orderkey // 20) AS snapshot_id, o_orderkey % 20 + 1 AS check_order, check_name,
+      CASE WHEN (o_orderkey // 20) % 4 = 3 AND o_custkey % 8 = 0 THEN 'FAIL' WHEN (o_orderkey // 20) % 4 = 3 AND o_custkey % 8 = 3 THEN 'NOT_EVALUATED'
+        WHEN (o_orderkey // 20) % 4 >= 2 AND o_custkey % 8 = 2 THEN 'INCOMPLETE' WHEN (o_orderkey // 20) % 4 >= 1 AND o_custkey % 8 = 1 THEN 'UNPROVEN' ELSE 'PASS' END AS status
+    FROM orders JOIN check_names ON check_order = o_orderkey % 20 + 1 WHERE o_custkey % 31 <> 0""",
+    "counts": """SELECT *, expected - archived AS unresolved, CASE WHEN expected > archived THEN 'INCOMPLETE' ELSE 'PASS' END AS status FROM (SELECT 'o' || (o_custkey // 5) AS snapshot_id,
+      CASE o_orderpriority WHEN '1-URGENT' THEN 'attachments' WHEN '2-HIGH' THEN 'nested_records' ELSE 'record:' || o_orderpriority[1] END AS entity, count(*) AS expected,
+      count(*) FILTER (WHERE o_orderstatus <> 'F') AS archived FROM orders GROUP BY 1, 2)""",
+    "verdicts": """SELECT snapshot_id, CASE WHEN bool_or(coalesce(status, 'FAIL') IN ('FAIL', 'NOT_EVALUATED')) THEN 'FAILED' WHEN bool_or(status = 'INCOMPLETE') THEN 'INCOMPLETE'
+      WHEN bool_or(status = 'UNPROVEN') THEN 'VERIFIED_WITH_LIMITATIONS' ELSE 'VERIFIED' END AS result FROM check_groups LEFT JOIN checks USING (snapshot_id) GROUP BY 1""",
+}
 
 _NAMES = re.compile(r"\b(" + "|".join(sorted(CTES, key=len, reverse=True)) + r")\b")
 
