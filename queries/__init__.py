@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["columns", "seal", "normalize", "checks", "report", "organize"]
+MODULES = ["columns", "seal", "normalize", "checks", "report", "organize", "events"]
 
 
 def load():

@@ -119,6 +119,7 @@ WHOLE = """all_codes AS (""" + parts_of("f01_archive_structure", "f03_manifest_f
                                        "f10_referential_integrity", "f13_attachment_integrity", "f14_custom_field_evidence", "f15_discrepancy_reconciliation",
                                        "f16_source_object_reconciliation", "f17_hierarchy_reconstruction", "f18_raw_evidence_references", "f19_count_reconciliation") + """
   UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', code FROM (""" + ORACLES["c09_ledger_contiguity"] + """)
+  UNION ALL SELECT snapshot_id, 'table_constraints', 'DUPLICATE_KEY' FROM (SELECT snapshot_id FROM record_field_values GROUP BY snapshot_id, record_id, field_id HAVING count(*) > 1)
   UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', 'BYTES_DIFFER' FROM snaps WHERE bad UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', 'LOGICAL_DIGEST_DIFFERS' FROM snaps WHERE bad
   UNION ALL SELECT snapshot_id, 'manifest_integrity', 'VERSION_UNSUPPORTED' FROM snaps WHERE bad UNION ALL SELECT snapshot_id, 'manifest_integrity', 'VERIFICATION_STATUS_MISSING' FROM snaps WHERE bad
   UNION ALL SELECT snapshot_id, c, 'UNPROVEN_X' FROM snaps, (VALUES ('source_consistency_scope'), ('access_scope_completeness'), ('limitation_preservation')) v(c)),

@@ -22,11 +22,14 @@ def finding(frame: DataFrame, check: str, code, entity, key, detail=None) -> Dat
 
 
 def coded(frame: DataFrame, check: str, rules: list[tuple[Column, str]], entity, key, detail=None) -> DataFrame:
-    """One finding per rule a row breaks, in one pass over the frame."""
-    codes = F.filter(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(code)) for broken, code in rules]),
-                     lambda code: code.isNotNull())
-    hit = frame.withColumn("_codes", codes).filter(F.size("_codes") > 0)
-    return finding(hit.withColumn("_code", F.explode("_codes")), check, F.col("_code"), entity, key, detail)
+    """One finding per rule a row breaks, in one pass over the frame.
+
+    The codes of a row are joined to one text first: that stays in generated code, where an array filtered by a
+    lambda would be interpreted.
+    """
+    codes = F.concat_ws(",", *[F.when(broken, F.lit(code)) for broken, code in rules])
+    hit = frame.withColumn("_codes", codes).filter("_codes <> ''")
+    return finding(hit.withColumn("_code", F.explode(F.split("_codes", ","))), check, F.col("_code"), entity, key, detail)
 
 
 def first_code(rules: list[tuple[Column, str]]) -> Column:

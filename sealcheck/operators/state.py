@@ -140,7 +140,7 @@ def scope_status(state: DataFrame, now: Column, key: str = "scope_key") -> DataF
                | (F.col("verification_result").isNull() & F.col("success_operation_id").isNotNull()))
 
     def age(observed):
-        return F.greatest(F.unix_timestamp(now) - F.unix_timestamp(observed), F.lit(0).cast("long"))
+        return F.when(observed.isNotNull(), F.greatest(F.unix_timestamp(now) - F.unix_timestamp(observed), F.lit(0).cast("long")))
 
     return state.select(
         key, attention.alias("attention"), age(F.col("health_observed_at")).alias("health_age_seconds"),
