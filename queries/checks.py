@@ -351,7 +351,7 @@ def hierarchy_sql() -> str:
 
 @query("f17_hierarchy_reconstruction", HIERARCHY + hierarchy_sql())
 def hierarchy(m):
-    return K.hierarchy_reconstruction(m.index, m.tables, K.entity_index(m.tables))
+    return K.hierarchy_reconstruction(m.index, m.tables)
 
 
 @query("f18_raw_evidence_references", """rp AS (SELECT DISTINCT snapshot_id, coalesce(source_raw_path, '') AS path FROM all_entities)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from queries.mapping import text
@@ -14,7 +12,7 @@ from sealcheck import rules as R
 from sealcheck.connectors import clickup, notion
 from sealcheck.functions.ids import digest, scope_key
 from sealcheck.operators import events as E, health as H, state as S
-from sealcheck.session import ensure_checkpoint_dir
+from sealcheck.session import shared_folder
 from sealcheck.sources import documents as SD, events as SE, evidence as SV, portable as SP
 from sealcheck.streaming import events as ST
 
@@ -87,9 +85,7 @@ def state(m):
 
 
 def folder(m, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder."""
-    ensure_checkpoint_dir(m.spark)
-    return f"{m.spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    return shared_folder(m.spark, name)
 
 
 def write_log(m, damaged: bool = False) -> str:

@@ -418,6 +418,11 @@ class Mapping:
         return self.read("part").select(F.concat(F.lit("p"), E("p_partkey div 8").cast("string")).alias("snapshot_id"),
                                         F.lit(1).alias("capability_schema_version")).distinct()
 
+    @stored
+    def evidence(self) -> DataFrame:
+        from queries.normalize import evidence
+        return evidence(self)
+
     # --- event log: one operation per user, ten scopes
 
     @stored

@@ -79,11 +79,11 @@ def evidence(m: Mapping) -> DataFrame:
 def parts(m: Mapping):
     index = m.index.filter("snapshot_id = 's1'")
     owner = m.snapshots.filter("NOT bad").select("snapshot_id", F.lit("w1").alias("workspace_source_id"))
-    return evidence(m), index, owner
+    return m.evidence, index, owner
 
 
 def details(m: Mapping):
-    return N.record_details(evidence(m), VOCABULARY)[0]
+    return N.record_details(m.evidence, VOCABULARY)[0]
 
 
 def rid(expression: str) -> str:

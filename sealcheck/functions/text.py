@@ -26,7 +26,7 @@ def trim_space(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(trim_space(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"\P{IsWhite_Space}"), F.lit(True))
 
 
 def or_else(text: Column, fallback: Column) -> Column:

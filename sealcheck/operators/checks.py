@@ -247,7 +247,7 @@ def cycle_findings(tables: Tables) -> DataFrame:
     """Nodes on or leading into a parent cycle, over containers, records and comments in one walk."""
     nodes = union_all([tables[t].select("snapshot_id", F.concat_ws("/", F.lit(t), "id").alias("node"),
                                         F.when(F.col(c).isNotNull(), F.concat_ws("/", F.lit(t), c)).alias("parent"))
-                       for t, c in R.PARENT_COLUMNS]).dropDuplicates(["snapshot_id", "node"])
+                       for t, c in R.PARENT_COLUMNS])
     found = parent_cycles(nodes)
     return finding(found, "referential_integrity", "PARENT_CYCLE", F.substring_index("node", "/", 1),
                    F.substring_index("node", "/", -1))
@@ -422,12 +422,30 @@ def source_object_summary(index: DataFrame, entities: DataFrame) -> DataFrame:
         F.count_if(F.col("archived") & F.col("expected")).alias("matched"))
 
 
-def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFrame) -> DataFrame:
+# Where each table keeps its parent and its owner.
+POINTERS = {"workspaces": (None, None), "containers": ("parent_id", "workspace_id"), "collections": ("container_id", "workspace_id"),
+            "records": ("parent_record_id", "collection_id"), "comments": ("parent_comment_id", "record_id"),
+            "attachments": ("record_id", None), "field_definitions": (None, None), "relationships": (None, None)}
+
+
+def stored_pointers(tables: Tables) -> DataFrame:
+    """Archived source objects with the parent (`stored`) and owner their row points at."""
+    def pointer(column):
+        return F.col(column) if column else F.lit(None).cast("string")
+
+    rows = union_all([tables[table].select(
+        "snapshot_id", (F.col("kind") if table == "records" else F.col("source_type")).alias("type"), F.col("source_id"),
+        F.struct(F.lit(table).alias("table"), F.col("id").alias("portable"), pointer(parent).alias("stored"), pointer(owner).alias("owner")).alias("o"))
+        for table, (parent, owner) in POINTERS.items()])
+    return rows.groupBy("snapshot_id", "type", F.col("source_id").alias("id")).agg(F.min("o").alias("o")).select("snapshot_id", "type", "id", "o.*")
+
+
+def hierarchy_reconstruction(index: DataFrame, tables: Tables) -> DataFrame:
     """Stored parent pointers reproduce the source index, nested rows by ancestry.
 
     Objects that are not archived are left to source_object_reconciliation.
     """
-    objects = source_objects_of(entities)
+    objects = stored_pointers(tables)
     parents = objects.select("snapshot_id", F.col("type").alias("parent_type"), F.col("id").alias("parent_id"),
                              F.col("table").alias("under"), F.col("portable").alias("above"))
     named = index.withColumn("declares", F.coalesce("parent_type", F.lit("")) != "").select(
@@ -437,21 +455,15 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFra
         parents, ["snapshot_id", "parent_type", "parent_id"], "left"))
     indexed = placed.filter("declares IS NOT NULL AND (NOT declares OR under IS NOT NULL)")
     lost = placed.filter("declares AND under IS NULL")
-    nodes = placed.select("snapshot_id", "table", F.concat_ws("/", "type", "id").alias("node"),
-                          F.when(F.col("under").isNotNull(), F.concat_ws("/", "parent_type", "parent_id")).alias("parent"))
-    names = placed.select("snapshot_id", F.concat_ws("/", "type", "id").alias("ancestor"), F.col("portable").alias("rooted"))
+    nodes = placed.select("snapshot_id", "table", F.col("portable").alias("node"), F.col("above").alias("parent"))
 
     def roots(child: str, stop: str) -> DataFrame:
         """Nearest ancestor in table `stop` of every row of `child`, walking archived objects only."""
         walk = resolve_ancestor(nodes.filter(F.col("table").isin(child, stop)), F.col("table") == stop)
-        return walk.filter("outcome = 'FOUND'").join(names, ["snapshot_id", "ancestor"]).select(
-            "snapshot_id", F.substring_index("node", "/", 1).alias("type"),
-            F.expr("substring(node, instr(node, '/') + 1)").alias("id"), "rooted")
+        return walk.filter("outcome = 'FOUND'").select("snapshot_id", F.col("node").alias("portable"), F.col("ancestor").alias("rooted"))
 
-    def rows(table: str, **stored: str) -> DataFrame:
-        return indexed.filter(F.col("table") == table).join(
-            tables[table].select("snapshot_id", F.col("id").alias("portable"), *[
-                F.col(column).alias(name) for name, column in stored.items()]), ["snapshot_id", "portable"])
+    def rows(table: str) -> DataFrame:
+        return indexed.filter(F.col("table") == table)
 
     check = "hierarchy_reconstruction"
     top, above, under = F.col("under").isNull(), F.col("above"), F.coalesce("under", F.lit(""))
@@ -459,8 +471,9 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFra
     def report(frame: DataFrame, rules: list) -> DataFrame:
         return coded(frame, check, rules, F.col("type"), F.col("id"))
 
-    def nesting(table: str, owner_table: str, own: Column, nested: Column, frame: DataFrame) -> DataFrame:
-        inside = frame.join(roots(table, owner_table), ["snapshot_id", "type", "id"], "left")
+    def nesting(table: str, owner_table: str) -> DataFrame:
+        own, nested = F.col("owner"), F.col("stored")
+        inside = rows(table).join(roots(table, owner_table), ["snapshot_id", "portable"], "left")
         return report(inside, [
             (top, "NO_RECORDED_PARENT"), ((under == owner_table) & nested.isNotNull(), "NESTED_BUT_DIRECT"),
             ((under == owner_table) & _no(own == above), "WRONG_OWNER"),
@@ -469,11 +482,8 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFra
             ((under == table) & (F.col("rooted") != own), "OWNER_NOT_SUPPORTED"),
             (~top & ~under.isin(table, owner_table), "UNSUPPORTED_PARENT")])
 
-    workspaces = rows("workspaces")
-    containers = rows("containers", stored="parent_id", owner="workspace_id")
-    collections = rows("collections", stored="container_id", owner="workspace_id").join(
-        single_workspace(tables["workspaces"]), "snapshot_id", "left")
-    attachments = rows("attachments", stored="record_id")
+    workspaces, containers, attachments = rows("workspaces"), rows("containers"), rows("attachments")
+    collections = rows("collections").join(single_workspace(tables["workspaces"]), "snapshot_id", "left")
     stored = F.col("stored")
     return union_findings([
         finding(lost, check, "PARENT_NOT_ARCHIVED", F.col("type"), F.col("id")),
@@ -487,10 +497,7 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables, entities: DataFra
         report(collections, [
             (under != "containers", "NOT_IN_CONTAINER"), ((under == "containers") & _no(stored == above), "WRONG_PARENT"),
             (F.col("owner") != F.col("only_workspace"), "WRONG_OWNER")]),
-        nesting("records", "collections", F.col("owner"), stored,
-                rows("records", stored="parent_record_id", owner="collection_id")),
-        nesting("comments", "records", F.col("owner"), stored,
-                rows("comments", stored="parent_comment_id", owner="record_id")),
+        nesting("records", "collections"), nesting("comments", "records"),
         report(attachments, [(under != "records", "NOT_ON_RECORD"), ((under == "records") & _no(stored == above), "WRONG_OWNER")])])
 
 

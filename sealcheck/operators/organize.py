@@ -9,6 +9,7 @@ from sealcheck.functions.ids import DEFAULT_PREFIX
 from sealcheck.functions.text import (attachment_component, code_block, escapes_root, inline_markdown, or_else,
                                       plural_kind, safe_component)
 from sealcheck.operators.findings import coded, finding, union_all
+from sealcheck.session import cut_lineage
 from sealcheck.skew import ordered_positions
 
 Tables = dict[str, DataFrame]
@@ -240,21 +241,32 @@ def document_blocks(tables: Tables) -> DataFrame:
 PART_BLOCKS = 1000
 
 
-def record_documents(tables: Tables, prefix: str = DEFAULT_PREFIX, blocks_per_part: int = PART_BLOCKS) -> DataFrame:
-    """Markdown documents as (snapshot_id, collection_id, path, part, content).
+def document_parts(blocks: DataFrame, blocks_per_part: int = PART_BLOCKS) -> DataFrame:
+    """Blocks joined to (snapshot_id, record_id, part, content), at most `blocks_per_part` blocks each.
 
-    A document is its parts in order. A part joins at most `blocks_per_part` blocks, so a record that holds a
-    large share of all children becomes many parts instead of one oversized row.
+    A record with few blocks is joined whole. One with more is numbered over as many tasks as it needs and cut
+    into parts, so that no record, however large, is collected into one row.
     """
-    numbered = ordered_positions(document_blocks(tables), ["snapshot_id", "record_id"], ITEM_KEYS)
+    key = ["snapshot_id", "record_id"]
+    blocks = cut_lineage(blocks)
+    large = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > blocks_per_part).select(*key)
+
+    def joined(frame, order):
+        grouped = frame.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("blocks"))
+        return grouped.select(*key, "part", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("content"))
+
+    small = joined(blocks.join(large, key, "left_anti").withColumn("part", F.lit(0).cast("long")), ITEM_KEYS)
+    numbered = ordered_positions(blocks.join(large, key, "left_semi"), key, ITEM_KEYS)
     part = F.floor((F.col("position") - 1) / blocks_per_part).cast("long")
-    joined = numbered.groupBy("snapshot_id", "record_id", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("position", "text"))).alias("blocks"))
-    content = F.array_join(F.transform("blocks", lambda b: b["text"]), "")
+    return small.unionByName(joined(numbered.withColumn("part", part), ["position"]))
+
+
+def record_documents(tables: Tables, prefix: str = DEFAULT_PREFIX, blocks_per_part: int = PART_BLOCKS) -> DataFrame:
+    """Markdown documents as (snapshot_id, collection_id, record_id, path, part, content); a document is its parts in order."""
     paths = record_paths(tables, prefix).select("snapshot_id", "record_id", "collection_id",
                                                 F.concat_ws("/", "directory", F.lit("record.md")).alias("path"))
-    return joined.select("snapshot_id", "record_id", "part", content.alias("content")).join(
-        paths, ["snapshot_id", "record_id"]).select("snapshot_id", "collection_id", "record_id", "path", "part", "content")
+    return document_parts(document_blocks(tables), blocks_per_part).join(paths, ["snapshot_id", "record_id"]).select(
+        "snapshot_id", "collection_id", "record_id", "path", "part", "content")
 
 
 def index_documents(tables: Tables, prefix: str = DEFAULT_PREFIX) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="sealcheck-checkpoint-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write a frame to reliable storage so that a lost executor never replays earlier rounds."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write a frame to the shared folder and read it back.
+
+    A lost executor then never replays earlier rounds, and later reads take only the columns they need. The
+    frame is computed once.
+    """
+    path = shared_folder(frame.sparkSession, "cut")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

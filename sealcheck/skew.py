@@ -19,18 +19,18 @@ def hot_keys(frame: DataFrame, key: str, rows: int, share: int = HOT_SHARE, floo
     return frame.groupBy(key).count().filter(F.col("count") > limit).select(key)
 
 
-def lookup(facts: DataFrame, unique: DataFrame, key: str, rows: int, share: int = HOT_SHARE,
+def lookup(facts: DataFrame, unique: DataFrame, key: str, rows: int, how: str = "left", share: int = HOT_SHARE,
            floor: int = MIN_HOT_ROWS) -> DataFrame:
-    """Left join of a large frame to one row per key, safe for hot keys.
+    """Join of a large frame to one row per key, safe for hot keys.
 
     Rows of hot keys are joined by broadcasting just the matching rows of `unique`, of which fewer than `share`
     can exist; all other rows take the ordinary shuffle join. Both parts together are the whole result.
     """
     if rows <= floor:
-        return facts.join(unique, key, "left")
+        return facts.join(unique, key, how)
     hot = F.broadcast(hot_keys(facts, key, rows, share, floor))
-    hot_rows = facts.join(hot, key, "left_semi").join(F.broadcast(unique.join(hot, key, "left_semi")), key, "left")
-    return hot_rows.unionByName(facts.join(hot, key, "left_anti").join(unique, key, "left"))
+    hot_rows = facts.join(hot, key, "left_semi").join(F.broadcast(unique.join(hot, key, "left_semi")), key, how)
+    return hot_rows.unionByName(facts.join(hot, key, "left_anti").join(unique, key, how))
 
 
 def ordered_positions(frame: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position",
