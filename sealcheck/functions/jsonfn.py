@@ -205,6 +205,22 @@ def canonical_member(documents: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([_member(text, name) for text, name in zip(documents, names)], dtype="object")
 
 
+def _override(text, members):
+    import json
+
+    try:
+        exact = {"parse_int": _Literal, "parse_float": _Literal}
+        return _encode(json.loads(text, **exact) | json.loads(members, **exact))
+    except (ValueError, TypeError, RecursionError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def canonical_override(documents: pd.Series, members: pd.Series) -> pd.Series:
+    """Canonical JSON of an object with some members replaced by those of a second object."""
+    return pd.Series([_override(text, other) for text, other in zip(documents, members)], dtype="object")
+
+
 def _elements(text, name):
     import json
 
