@@ -257,14 +257,9 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
 def _elements(details: DataFrame, member: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(elements, findings) of one optional array of the detail bodies; see explode_pages for `exact`."""
     parsed, members = with_members(details, "body", [member], "array")
-    if exact:
-        # Bodies without the array need not pass through Python.
-        parsed = parsed.withColumn("_exact", F.when(members[member].kind == "array", F.col("body")))
-        items = canonical_elements(F.col("_exact"), F.lit(member))
-    else:
-        items = F.from_json(F.when(members[member].kind == "array", members[member].text), "array<string>")
-    exploded = parsed.select("snapshot_id", F.col("id").alias("record"), "raw_path", "sequence",
-                             F.posexplode(items).alias("position", "element"))
+    items = canonical_elements(F.col("body"), F.lit(member)) if exact else F.from_json(members[member].text, "array<string>")
+    exploded = parsed.filter(members[member].kind == "array").select(
+        "snapshot_id", F.col("id").alias("record"), "raw_path", "sequence", F.posexplode(items).alias("position", "element"))
     wrong = parsed.filter(~members[member].kind.isin("null", "array"))
     return exploded, finding(wrong, "record_details", "NOT_AN_ARRAY", member, F.col("id"))
 
