@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, mixing, warc
+from sealcheck.llm import language, mixing, pii, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -35,6 +35,14 @@ def op3_mix_sources(documents):
     return mixing.mix(documents).select("doc_id", "source", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 
 
+@query("documents")
+def op4_personal_data(documents):
+    found = pii.find_personal_data(documents)
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(F.concat("base", "terms")).alias("spans"))
+
+
 DAMAGE = "substr(md5(CAST(page_id AS STRING)), 1, 2)"
 RECORD = ("concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), "
           "'Content-Length: ', CAST({bytes} AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce({html}, ''), chr(13), chr(10), chr(13), chr(10))")
