@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealcheck.session import cut_lineage
@@ -47,3 +49,21 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = cut_lineage(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).filter("a >= b").distinct())
     return edges.union(edges.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def by_group(batches, key: str, columns: list[str]):
+    """Whole groups of rows that come sorted by `key`, one frame per group, whatever the batches cut."""
+    held = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[key].to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.iloc[a:b]
+            if held and held[0][key].iloc[0] != part[key].iloc[0]:
+                yield pd.concat(held)[columns] if len(held) > 1 else held[0][columns]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)[columns] if len(held) > 1 else held[0][columns]

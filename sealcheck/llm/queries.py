@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, mixing, pii, suffix, warc
+from sealcheck.llm import language, mixing, pii, suffix, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -49,6 +49,11 @@ def op6_suffix_dedup(documents):
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+@query("embeddings")
+def op7_vector_dedup(embeddings):
+    return vectors.similar_vectors(embeddings)
+
+
 DAMAGE = "substr(md5(CAST(page_id AS STRING)), 1, 2)"
 RECORD = ("concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), "
           "'Content-Length: ', CAST({bytes} AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce({html}, ''), chr(13), chr(10), chr(13), chr(10))")
