@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, mixing, pii, suffix, vectors, warc
+from sealcheck.llm import language, lines, mixing, pii, suffix, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -30,6 +30,11 @@ def op1_language_id(documents):
     return told.select("doc_id", held_out(5).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+@query("documents")
+def op2_line_dedup(documents):
+    return lines.near_lines(documents).select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept")
+
+
 @query("documents")
 def op3_mix_sources(documents):
     return mixing.mix(documents).select("doc_id", "source", "mix_slot", "mix_release", "mix_deadline", "mix_position")
