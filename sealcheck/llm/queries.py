@@ -43,7 +43,8 @@ def op3_mix_sources(documents):
 @query("documents")
 def op4_personal_data(documents):
     found = pii.find_personal_data(documents)
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
                         pii.span_text(F.concat("base", "terms")).alias("spans"))
 
