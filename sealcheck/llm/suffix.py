@@ -20,9 +20,11 @@ from sealcheck.llm.common import KEY, row_key
 from sealcheck.session import cut_lineage
 
 LENGTH = 400
-GRAM = 128
+GRAM = 64
 GROUP_REGIONS = 1500
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+PLACE = np.uint64((1 << 24) - 1)
+PIECE = 1 << 23
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -46,30 +48,27 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(k-gram hash, its place, first window, last window) of each anchor of a text of at least `length` bytes."""
-    h = gram_hashes(data, gram)
-    width = length - gram + 1
-    n = len(h) - width + 1
-    # Sliding minimum by blocks of `width`: suffix minima of one block and prefix minima of the next.
-    pad = -len(h) % width
-    padded = np.concatenate([h, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
-    prefix = np.minimum.accumulate(padded, axis=1).ravel()
-    suffix = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(suffix[:n], prefix[width - 1:width - 1 + n])
-    # Leftmost place of the minimum: the first place at or after the window's start whose hash equals it.
-    change = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    firsts, places, lasts, values = [], [], [], []
-    ends = np.concatenate([change[1:], [n]])
-    for a, b, value in zip(change.tolist(), ends.tolist(), low[change].tolist()):
-        at = a + np.flatnonzero(h[a:b - 1 + width] == np.uint64(value))
-        start = a
-        for p in at.tolist():
-            if start >= b:
-                break
-            last = min(p, b - 1)
-            if last >= start:
-                firsts.append(start), places.append(p), lasts.append(last), values.append(value)
-                start = last + 1
-    return np.array(values, np.uint64), np.array(places), np.array(firsts), np.array(lasts)
+    width, parts = length - gram + 1, []
+    for begin in range(0, len(data) - length + 1, PIECE):
+        h = gram_hashes(data[begin:begin + PIECE + length - 1], gram)
+        n = len(h) - width + 1
+        # A place in the low bits makes the leftmost of equal hashes the smallest, so a minimum names its place.
+        ranked = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
+        # Sliding minimum by blocks of `width`: suffix minima of one block and prefix minima of the next.
+        padded = np.concatenate([ranked, np.full(-len(h) % width, np.iinfo(np.uint64).max)]).reshape(-1, width)
+        prefix = np.minimum.accumulate(padded, axis=1).ravel()
+        suffix = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+        low = np.minimum(suffix[:n], prefix[width - 1:width - 1 + n])
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        last = np.concatenate([first[1:], [n]]) - 1
+        place = (low[first] & PLACE).astype(np.int64)
+        parts.append((h[place], place + begin, first + begin, last + begin))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """Places by symbol, in order among equals; end symbols differ but need no order among themselves."""
+    return np.argsort(np.maximum(symbols, -1).astype(np.int16), kind="stable")
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -78,27 +77,32 @@ def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
     Each region ends in a symbol of its own, so no comparison runs past a region.
     """
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
+    order = _by_symbol(symbols)
     new = np.concatenate([[True], symbols[order][1:] != symbols[order][:-1]])
     # A rank is the place of the first suffix that shares the prefix.
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    size, todo = 1, np.arange(n)
+    size, todo, bits = 1, np.arange(n), n.bit_length()
     while size < length:
         # Only suffixes that still share their rank with another need sorting.
         todo = todo[np.bincount(rank, minlength=n)[rank[todo]] > 1]
         if not len(todo):
             break
-        key = rank[todo] * (n + 1) + rank[todo + size] + 1
-        by = np.argsort(key, kind="stable")
-        part, key = todo[by], key[by]
+        if 3 * bits <= 63:
+            # Both ranks and the suffix in one number: sorting numbers is faster than sorting their places.
+            key = np.sort((rank[todo] << 2 * bits) | (rank[todo + size] << bits) | todo)
+            part, key = key & ((1 << bits) - 1), key >> bits
+        else:
+            key = rank[todo] * (n + 1) + rank[todo + size]
+            by = np.argsort(key)
+            part, key = todo[by], key[by]
         old = rank[part]
         places = np.arange(len(part))
         group = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), places, 0))
         fresh = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), places, 0))
         rank[part] = old + fresh - group
         size *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -111,7 +115,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     n = len(symbols)
     bwt = symbols[order - 1]
     lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf[_by_symbol(bwt)] = np.arange(n)
     unset = np.ones(n + 1, bool)
     unset[n] = unset[0] = False
     # Depth 1: one interval per symbol. End symbols are never extended over.
@@ -127,13 +131,13 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
         owner = np.repeat(np.arange(len(lows)), sizes)
         places = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lows, sizes)
         open_ = bwt[places] >= 0
-        owner, target, char = owner[open_], lf[places[open_]], bwt[places[open_]]
         # Inside an interval equal symbols map to consecutive places.
-        by = np.argsort(owner * 512 + char, kind="stable")
-        owner, target, char = owner[by], target[by], char[by]
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (char[1:] != char[:-1])])) if len(by) else np.zeros(0, int)
+        key = np.sort((owner[open_] << 32) | lf[places[open_]])
+        target = key & 0xFFFFFFFF
+        char = symbols[order[target]]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] >> 32 != key[:-1] >> 32) | (char[1:] != char[:-1])])) if len(key) else np.zeros(0, int)
         lows = target[first]
-        highs = lows + np.diff(np.concatenate([first, [len(by)]]))
+        highs = lows + np.diff(np.concatenate([first, [len(key)]]))
         fresh = unset[highs]
         lows, highs = lows[fresh], highs[fresh]
         unset[highs] = False
@@ -281,7 +285,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, group_regions: int
         runs = runs.union(levels.pop())
         up = members.pop().join(runs, ["anchor", "part"])
         runs = levels.pop().union(up.select("up_anchor", "up_part", F.col("first") + F.col("low"), F.col("last") + F.col("low")))
-    places = found.select("anchor", "content", KEY, "first", "last").distinct().join(kinds.select("anchor", "content", "kinds", "copies"), ["anchor", "content"])
+    places = found.select("anchor", "content", KEY, "first", "last").join(kinds.select("anchor", "content", "kinds", "copies"), ["anchor", "content"])
     whole = places.filter("kinds = 1 OR copies > 1").select(KEY, "first", "last")
     part = (places.filter("kinds > 1 AND copies = 1").withColumnRenamed("first", "at").drop("last")
             .join(runs.withColumnRenamed("part", "content"), ["anchor", "content"]))
