@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sealcheck.llm.language import keep_identified
+from sealcheck.llm.leaks import decontaminate
+from sealcheck.llm.lines import dedup_lines
+from sealcheck.llm.minhash import keep_one
 from sealcheck.llm.mixing import mix
 from sealcheck.session import configure, cut_lineage
 
 
-def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those in no known language."""
     return keep_identified(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that near-duplicate an earlier one, and documents that have no other line."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their place in the mix."""
     return mix(docs)
 
 
-STAGES = [("language_id", identify), ("mixing", mix_sources)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mix_sources)]
 
-# No stage but the last is SQL: tests compare the stages with brute force.
+# Classifier, edit join and signatures are not SQL: tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

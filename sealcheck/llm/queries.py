@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, lines, minhash, mixing, pii, suffix, vectors, warc
+from sealcheck.llm import language, leaks, lines, minhash, mixing, pii, suffix, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -65,6 +65,15 @@ def op10_minhash_dedup(documents):
     return minhash.near_duplicates(documents).select("doc_id", "class_id", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = configure(spark).read
+    found = leaks.find_leaks(read.parquet(f"{sf_dir}/documents.parquet"), read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "share", "first_word", "last_word")
+
+
+QUERIES["op8_decontaminate"] = op8_decontaminate
+
+
 DAMAGE = "substr(md5(CAST(page_id AS STRING)), 1, 2)"
 RECORD = ("concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), "
           "'Content-Length: ', CAST({bytes} AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce({html}, ''), chr(13), chr(10), chr(13), chr(10))")

@@ -9,6 +9,8 @@ INVERSE = pow(BASE, -1, 2 ** 64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Everything in ASCII but letters and digits parts words where punctuation does not matter.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -30,13 +32,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word: runs of bytes that are not 0x20 or 0x09 to 0x0D, A-Z read as a-z.
+def word_hashes(raw: bytes, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word: runs of bytes outside `gaps`, by default 0x20 and 0x09 to 0x0D; A-Z read as a-z.
 
     A hash is the polynomial of the word's bytes, taken from running sums over the text, and its length.
     """
     data = LOWER[np.frombuffer(raw, np.uint8)]
-    gap = np.concatenate([[True], SPACE[data], [True]])
+    gap = np.concatenate([[True], gaps[data], [True]])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
