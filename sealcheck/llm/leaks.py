@@ -60,7 +60,7 @@ def blocks(benchmark: DataFrame, block_items: int, block_words: int) -> Iterator
         if held and (len(held) >= block_items or size + len(words) > block_words):
             yield _block(held)
             held, size = [], 0
-        held.append((row["item_id"], words, _words(row["answer"]) if has_answer else np.zeros(0, np.uint64)))
+        held.append((None if row["item_id"] is None else str(row["item_id"]), words, _words(row["answer"]) if has_answer else np.zeros(0, np.uint64)))
         size += len(words)
     if held:
         yield _block(held)
@@ -250,13 +250,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, ra
     """
     spark, out = docs.sparkSession, None
     kinds = {f.name: f.dataType.simpleString() for f in [docs.schema["doc_id"], benchmark.schema["item_id"]]}
-    schema = f"{KEY} binary, doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, share double, first_word long, last_word long"
-    rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", "text")
+    # Ids travel as text: a null among whole numbers would turn them into fractions.
+    schema = f"{KEY} binary, doc_id string, item_id string, share double, first_word long, last_word long"
+    rows = docs.select(row_key("doc_id", "text").alias(KEY), F.col("doc_id").cast("string").alias("doc_id"), "text")
     for items in blocks(benchmark, block_items, block_words):
         shared = spark.sparkContext.broadcast(fit(docs, items, rank, passage=passage))
         found = rows.mapInPandas(_search(shared, passage, cosine, paraphrase, verbatim), schema)
         out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    out = out if out is not None else spark.createDataFrame([], schema)
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, leaks, lines, minhash, mixing, pii, suffix, vectors, warc
+from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, pii, suffix, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -60,6 +60,11 @@ def op7_vector_dedup(embeddings):
     return vectors.similar_vectors(embeddings)
 
 
+@query("documents")
+def op9_lm_score(documents):
+    return ngrams.score_texts(documents)
+
+
 @query("documents")
 def op10_minhash_dedup(documents):
     return minhash.near_duplicates(documents).select("doc_id", "class_id", "kept")

@@ -330,5 +330,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     runs = repeated_windows(docs, length, gram, group_regions, chunk).toDF(KEY, "first", "last").distinct()
     runs = runs.groupBy(KEY).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(runs, KEY, "left").select("doc_id", "text", "runs").mapInPandas(
-        _cut(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary")
+    # Ids travel as text: a null among whole numbers would turn them into fractions.
+    return docs.join(runs, KEY, "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "runs").mapInPandas(
+        _cut(length), "doc_id string, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
+    ).withColumn("doc_id", F.col("doc_id").cast(kind))
