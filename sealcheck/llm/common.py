@@ -18,9 +18,9 @@ def row_key(*columns: str) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null read as empty) and the row key; other columns stay outside the operators."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row_key("doc_id", "text").alias(KEY))
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct `row`, so that their names cannot clash with an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
 
 
 def held_out(divisor: int) -> Column:

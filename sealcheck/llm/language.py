@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sealcheck.llm.common import held_out
+from sealcheck.llm.common import held_out, whole_row
 
 ORDERS = (1, 2, 3)
 LETTERS = 62
@@ -140,11 +140,11 @@ def predict_languages(docs: DataFrame, **options) -> DataFrame:
     names = ["lang_pred", "lang_score", "lang_evidence"]
     model = train(docs, **options)
     docs = docs.drop(*names)
-    columns = docs.columns
-    told = docs.select(F.struct(*columns).alias("row"), "text").withColumn("p", predictor(docs.sparkSession, model)("text"))
+    told = docs.select(whole_row(docs), "text").withColumn("p", predictor(docs.sparkSession, model)("text"))
     return told.select("row.*", F.col("p.lang").alias(names[0]), F.col("p.score").alias(names[1]), F.col("p.evidence").alias(names[2]))
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """docs without those the classifier rejects: `und`, or no n-gram known from any language."""
-    return predict_languages(docs, **options).filter("lang_pred != 'und' AND lang_evidence").select(*docs.columns)
+    told = docs.select(whole_row(docs), "text").withColumn("p", predictor(docs.sparkSession, train(docs, **options))("text"))
+    return told.filter("p.lang != 'und' AND p.evidence").select("row.*")

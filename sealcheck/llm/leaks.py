@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sealcheck.llm.common import KEY, row_key
+from sealcheck.llm.common import KEY, row_key, whole_row
 from sealcheck.llm.words import PUNCTUATION, word_hashes
 
 PASSAGE = 32
@@ -263,6 +263,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, ra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    columns = docs.columns
     found = find_leaks(docs, benchmark, **options).select(KEY).distinct()
-    return docs.select(F.struct(*columns).alias("row"), row_key("doc_id", "text").alias(KEY)).join(found, KEY, "left_anti").select("row.*")
+    return docs.select(whole_row(docs), row_key("doc_id", "text").alias(KEY)).join(found, KEY, "left_anti").select("row.*")

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sealcheck.llm.common import KEY, by_group, components, row_key
+from sealcheck.llm.common import KEY, by_group, components, row_key, whole_row
 from sealcheck.session import cut_lineage
 
 MAX_EDITS = 2
@@ -292,7 +292,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     lost = near_lines(docs, **options).filter("NOT kept").select(KEY, "line_no").distinct().groupBy(KEY).agg(F.collect_list("line_no").alias("lost"))
-    packed = docs.select(F.struct(*columns).alias("row"), row_key("doc_id", "text").alias(KEY)).join(lost, KEY, "left")
+    packed = docs.select(whole_row(docs), row_key("doc_id", "text").alias(KEY)).join(lost, KEY, "left")
     kept = F.filter(F.split("row.text", "\n", -1), lambda line, i: ~F.array_contains("lost", i))
     left = packed.withColumn("text", F.when(F.col("lost").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")))
     left = left.filter(F.col("lost").isNull() | F.col("text").rlike(r"\S"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sealcheck.llm.common import KEY, by_group, components, row_key
+from sealcheck.llm.common import KEY, by_group, components, row_key, whole_row
 from sealcheck.llm.words import mix, shingles, word_hashes
 from sealcheck.session import cut_lineage
 
@@ -203,8 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class: the one its class is named after; of equal rows one stays."""
-    columns = docs.columns
     kept = near_duplicates(docs, **options).filter("kept").select(KEY, "copies").distinct()
-    rows = docs.select(F.struct(*columns).alias("row"), row_key("doc_id", "text").alias(KEY)).join(kept, KEY)
+    rows = docs.select(whole_row(docs), row_key("doc_id", "text").alias(KEY)).join(kept, KEY)
     single, several = rows.filter("copies = 1").select(KEY, "row"), rows.filter("copies > 1").select(KEY, "row").dropDuplicates([KEY])
     return single.union(several).select("row.*")

@@ -6,7 +6,7 @@ import heapq
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sealcheck.llm.common import row_key
+from sealcheck.llm.common import row_key, whole_row
 
 BLOCK_ROWS = 16
 TEMPERATURE = 0.5
@@ -89,8 +89,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     """
     names = ["mix_slot", "mix_release", "mix_deadline", "mix_position"]
     docs = docs.drop(*names)
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), F.col("source").cast("string").alias("source"),
+    packed = docs.select(whole_row(docs), F.col("source").cast("string").alias("source"),
                          F.xxhash64(row_key("doc_id", "text")).alias("hash"))
     packed = packed.withColumn("key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
     counted = packed.groupBy("key", "source").count().limit(MAX_SOURCES + 1).collect()

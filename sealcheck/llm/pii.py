@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sealcheck.llm.common import KEY, row_key
+from sealcheck.llm.common import KEY, row_key, whole_row
 from sealcheck.session import cut_lineage
 
 # Fixed values of the query's contract. Possessive repeats and the guard before a run change no match: what follows
@@ -120,8 +120,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """
     spans = find_personal_data(docs, **options).select(KEY, F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(
         a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"])).alias("spans")).dropDuplicates([KEY])
-    columns = docs.columns
-    packed = docs.select(F.struct(*columns).alias("row"), row_key("doc_id", "text").alias(KEY)).join(spans, KEY, "left")
+    packed = docs.select(whole_row(docs), row_key("doc_id", "text").alias(KEY)).join(spans, KEY, "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("row.text")
     step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(F.struct(
