@@ -16,8 +16,12 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
-HUB_ROUNDS = 3
+SMALL = 8
+BLOCK = 1000
+# Of 125 components a pair at 0.8 agrees in 100, give or take 4.5; this is 4.5 times that below.
+AGREE = 0.64
 HUB_ROWS = 500
+SIGN_ITEMS = 30_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,65 +32,101 @@ def bag(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(word_hashes(text.lower().encode("utf-8", "surrogatepass"))[0], words), return_counts=True)
 
 
-def signature(items: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    """BagMinHash of a bag with whole weights: two bags agree in a component with the probability of their weighted Jaccard.
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """BagMinHash of bags with whole weights: two bags agree in a component with the probability of their weighted Jaccard.
 
     Each item has one Poisson process per weight interval [0,1), [1,2), [2,4), [4,8), ... with rate `size` times
     the interval's width. A point has a time, a component and a weight level inside the interval; it counts if
     the level lies below the item's weight. A component keeps its earliest point. Points come in order of time up
-    to a limit that suits the total weight, which is doubled until every component has a point: no later one could
-    change the outcome, so a heavy bag costs no more points than a light one.
+    to a limit that suits the bag's total weight, which is doubled until every component has a point: no later one
+    could change the outcome, so a heavy bag costs no more points than a light one. Bags must not be empty.
     """
-    count = 1 + np.ceil(np.log2(np.maximum(weights, 1))).astype(np.int64)
+    items, weights = (np.concatenate(x) for x in zip(*bags))
+    bag_of = np.repeat(np.arange(len(bags)), [len(i) for i, _ in bags])
+    limit = (np.log(size) + 3) / np.bincount(bag_of, weights, len(bags))
+    count = 1 + np.ceil(np.log2(weights)).astype(np.int64)
     owner = np.repeat(np.arange(len(items)), count)
     level = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     low = np.where(level == 0, 0, 1 << np.maximum(level - 1, 0))
     width = np.maximum(low, 1)
     seed = mix(items[owner] + (level.astype(np.uint64) + np.uint64(1)) * STEP)
-    weight, rate = weights[owner], size * width.astype(float)
+    weight, bag_of, rate = weights[owner], bag_of[owner], size * width.astype(float)
+    best, name = np.full(len(bags) * size, np.inf), np.zeros(len(bags) * size, np.uint64)
 
     def draw(seed, number):
-        u = mix(seed + number.astype(np.uint64) * STEP)
+        u = mix(seed + number * STEP)
         return u, -np.log(((u >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53)
 
-    number = np.ones(len(owner), np.int64)
+    number = np.ones(len(owner), np.uint64)
     u, gap = draw(seed, number)
-    time = gap / rate
-    best, name = np.full(size, np.inf), np.zeros(size, np.uint64)
-    limit = (np.log(size) + 3) / float(weights.sum())
+    time, live = gap / rate, np.arange(len(owner))
     while True:
-        due = np.flatnonzero(time <= limit)
-        if not len(due):
-            if np.isfinite(best).all():
-                return name
-            limit *= 2
+        # A process whose next point is beyond the limit rests until the limit is raised.
+        live = live[time[live] <= limit[bag_of[live]]]
+        if not len(live):
+            short = ~np.isfinite(best).reshape(len(bags), size).all(axis=1)
+            if not short.any():
+                return name.reshape(len(bags), size)
+            limit[short] *= 2
+            live = np.flatnonzero(short[bag_of])
             continue
-        more = mix(u[due] ^ STEP)
-        place = low[due] + (more >> np.uint64(40)).astype(np.int64) % width[due]
-        ok = place < weight[due]
-        part, when, who = (more[ok] % np.uint64(size)).astype(np.int64), time[due][ok], u[due][ok]
+        more = mix(u[live] ^ STEP)
+        ok = low[live] + (more >> np.uint64(40)).astype(np.int64) % width[live] < weight[live]
+        part, when, who = bag_of[live[ok]] * size + (more[ok] % np.uint64(size)).astype(np.int64), time[live[ok]], u[live[ok]]
         np.minimum.at(best, part, when)
         won = best[part] == when
         name[part[won]] = who[won]
-        number[due] += 1
-        u[due], gap = draw(seed[due], number[due])
-        time[due] += gap / rate[due]
+        number[live] += np.uint64(1)
+        u[live], gap = draw(seed[live], number[live])
+        time[live] += gap / rate[live]
 
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factor = (np.arange(rows, dtype=np.uint64) + np.uint64(1)) * STEP
         for batch in batches:
+            found = [bag(t, words) for t in batch["text"]]
+            keys, sketches = [None] * len(found), [None] * len(found)
+            full = [i for i, (items, _) in enumerate(found) if len(items)]
+            ends = np.cumsum([len(found[i][0]) for i in full])
+            for part in np.split(np.array(full, int), np.searchsorted(ends, np.arange(SIGN_ITEMS, ends[-1], SIGN_ITEMS))) if full else []:
+                if len(part):
+                    names = signatures([found[i] for i in part], bands * rows)
+                    band = mix(names.reshape(-1, bands, rows) + factor).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * STEP
+                    for i, k, sketch in zip(part.tolist(), mix(band).view(np.int64), (names & np.uint64(255)).astype(np.uint8)):
+                        keys[i], sketches[i] = k, sketch.tobytes()
+            yield pd.DataFrame({KEY: batch[KEY], "tid": batch["tid"], "bands": keys, "sketch": sketches})
+    return run
+
+
+def _alike(threshold: int, every: bool):
+    """Pairs of one large bucket (or of two blocks of it) in different components whose sketches agree often enough.
+
+    With `every` all such pairs, else the best one for each two components. Members of the largest component are
+    not compared with each other.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in by_group(batches, "task", ["tid", "sketch", "component", "block", "low", "high"]):
+            component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+            if component.max() == 0:
+                continue
+            sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+            block, crossed = group["block"].to_numpy(), group["low"].iloc[0] != group["high"].iloc[0]
             out = []
-            for text in batch["text"]:
-                items, weights = bag(text, words)
-                if not len(items):
-                    out.append(None)
-                    continue
-                parts = mix(signature(items, weights, bands * rows).reshape(bands, rows) + factor[None, :])
-                band = parts.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * STEP
-                out.append(mix(band).view(np.int64))
-            yield pd.DataFrame({KEY: batch[KEY], "tid": batch["tid"], "bands": out})
+            for i in np.flatnonzero(component != np.bincount(component).argmax()).tolist():
+                agree = (sketch == sketch[i]).sum(axis=1)
+                ok = (agree >= threshold) & (component != component[i])
+                if crossed:
+                    ok &= block != block[i]
+                out += [(i, j, agree[j]) for j in np.flatnonzero(ok).tolist()]
+            if not every:
+                best: dict[tuple[int, int], tuple] = {}
+                for i, j, n in out:
+                    pair = (min(component[i], component[j]), max(component[i], component[j]))
+                    best[pair] = max(best.get(pair, (0, 0, 0)), (n, i, j))
+                out = [(i, j, n) for n, i, j in best.values()]
+            tid = group["tid"].to_numpy()
+            yield pd.DataFrame([(max(tid[i], tid[j]), min(tid[i], tid[j])) for i, j, _ in out], columns=["a", "b"])
     return run
 
 
@@ -129,7 +169,7 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float, hub_rows: int
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                    hub_rounds: int = HUB_ROUNDS, hub_rows: int = HUB_ROWS) -> DataFrame:
+                    small: int = SMALL, block: int = BLOCK, agree: float = AGREE, hub_rows: int = HUB_ROWS) -> DataFrame:
     """One row per document: row key, doc_id, class_id, kept, copies (rows of equal id and text).
 
     Documents link if the weighted Jaccard of their bags of five-word runs (lower case, split at ASCII white
@@ -137,57 +177,55 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     and keeps that document, of equal ids the one with the smallest text hash. Signatures of 125 components in 25
     bands miss a pair at 0.8 with probability 5e-5; every link used is verified on whole bags.
 
-    Equal texts are one node. In each bucket the node that shares most buckets is compared with the others; nodes
-    not connected with it are compared with a further hub, `hub_rounds` times, and then with every node of the
-    bucket they are not connected with. So a large group of copies costs one comparison a member, and no pair
-    that shares a bucket is left open.
+    Equal texts are one node. Pairs of buckets of at most `small` nodes are all verified. In a larger bucket every
+    node is verified against the one that shares most buckets, so a large group of copies costs one comparison a
+    member. Where a bucket then still holds several components, sketches of the signatures (one byte each) are
+    compared across them inside tasks, in blocks of bounded size; pairs that agree in a share of `agree` or more,
+    which a pair at 0.8 misses with probability 3e-6, are verified: first the best pair for each two components,
+    then, of what is still apart, all of them.
 
     Texts shorter than five words are one run of all their words. Null texts and those without a word stand
     alone. Equal rows are in one class and are both kept here. An empty table gives no row; columns other than
     doc_id and text are ignored.
     """
     told = docs.select(row_key("doc_id", "text").alias(KEY), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("tid"), "text")
-    signed = cut_lineage(told.mapInPandas(_sign(words, bands, rows), f"{KEY} binary, tid binary, bands array<long>"))
+    signed = cut_lineage(told.mapInPandas(_sign(words, bands, rows), f"{KEY} binary, tid binary, bands array<long>, sketch binary"))
     nodes = signed.filter("bands IS NOT NULL").groupBy("tid").agg(F.first("bands").alias("bands"))
     entered = nodes.select("tid", F.explode("bands").alias("bucket")).distinct()
-    crowds = entered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    shared = entered.join(crowds, "bucket")
-    degree = F.count(F.lit(1)).over(Window.partitionBy("tid"))
-    shared = cut_lineage(shared.withColumn("degree", degree))
-    asked = shared.select("tid").distinct()
-    bags = told.select("tid", "text").join(asked, "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    crowds = entered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut_lineage(entered.join(crowds, "bucket"))
+    asked = shared.groupBy("tid").agg(F.sum("n").alias("degree"))
+    bags = told.select("tid", "text").join(asked.select("tid"), "tid").groupBy("tid").agg(F.first("text").alias("text"))
     bags = cut_lineage(bags.mapInPandas(_bags(words), "tid binary, items binary, counts binary"))
 
-    links, tested, state = None, None, shared.withColumn("component", F.col("tid"))
-    for turn in range(hub_rounds + 1):
+    few, many = shared.filter(F.col("n") <= small).select("bucket", "tid"), shared.filter(F.col("n") > small)
+    pairs = few.withColumnRenamed("tid", "a").join(few.withColumnRenamed("tid", "b"), "bucket").filter("a > b").select("a", "b")
+    many = cut_lineage(many.select("bucket", "tid", "n").join(asked, "tid"))
+    hubs = many.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "tid")).alias("h"))
+    stars = many.select("bucket", "tid").join(hubs, "bucket").filter("tid != h.tid").select(F.col("tid").alias("a"), F.col("h.tid").alias("b"))
+    tested = cut_lineage(pairs.union(stars).distinct())
+    links = cut_lineage(verified(tested, bags, similarity, hub_rows))
+    sketches = signed.select("tid", "sketch").groupBy("tid").agg(F.first("sketch").alias("sketch"))
+    for every in (False, True):
+        groups = components(links).withColumnRenamed("node", "tid")
+        state = many.select("bucket", "tid", "n").join(groups, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
         # A bucket is open while its nodes are in more than one component.
         mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
         state = cut_lineage(state.join(mixed, "bucket"))
         if state.isEmpty():
             break
-        if turn < hub_rounds:
-            fresh = state if turn == 0 else state.filter("NOT used")
-            hubs = fresh.groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "tid", "component")).alias("h"))
-            pairs = state.join(hubs, "bucket").filter("component != h.component").select(F.col("tid").alias("a"), F.col("h.tid").alias("b"), "bucket")
-        else:
-            other = state.select("bucket", F.col("tid").alias("b"), F.col("component").alias("other"))
-            pairs = state.join(other, "bucket").filter("component < other").select(F.col("tid").alias("a"), "b", "bucket")
-        hub_of = pairs.select("bucket", F.col("b").alias("tid")).distinct() if turn < hub_rounds else None
-        pairs = pairs.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        new = cut_lineage(verified(pairs, bags, similarity, hub_rows))
-        links = new if links is None else links.union(new)
-        groups = components(links).withColumnRenamed("node", "tid").withColumnRenamed("component", "found")
-        if hub_of is not None:
-            used = hub_of.withColumn("now", F.lit(True))
-            state = state.join(used, ["bucket", "tid"], "left")
-            flag = F.coalesce("now", F.lit(False)) if turn == 0 else F.col("used") | F.coalesce("now", F.lit(False))
-            state = state.withColumn("used", flag).drop("now")
-        state = cut_lineage(state.join(groups, "tid", "left").withColumn("component", F.coalesce("found", "tid")).drop("found"))
-    groups = components(links).withColumnRenamed("node", "tid") if links is not None else signed.select("tid", F.col("tid").alias("component")).limit(0)
+        blocks = F.ceil(F.col("n") / block)
+        state = state.join(sketches, "tid").withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
+        state = state.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        state = state.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("task", F.xxhash64("bucket", "low", "high"))
+        state = state.select("task", "tid", "sketch", "component", "block", "low", "high").repartition("task").sortWithinPartitions("task")
+        more = state.mapInPandas(_alike(round(agree * bands * rows), every), "a binary, b binary").distinct()
+        more = cut_lineage(more.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        tested = tested.union(more)
+        links = links.union(cut_lineage(verified(more, bags, similarity, hub_rows)))
+    groups = components(links).withColumnRenamed("node", "tid")
     place = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id"), F.col("tid"), F.col(KEY))
     # A text without words is a node of its own row.
     named = docs.select("doc_id", row_key("doc_id", "text").alias(KEY)).groupBy(KEY).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))

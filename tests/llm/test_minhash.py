@@ -13,7 +13,10 @@ def test_signatures_estimate_the_weighted_jaccard():
     a = rng.integers(1, 40, 60)
     b = np.where(rng.random(60) < 0.5, a, rng.integers(1, 40, 60))
     true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
-    same = [(minhash.signature(items + np.uint64(k), a, 125) == minhash.signature(items + np.uint64(k), b, 125)).mean() for k in range(150)]
+    both = [minhash.signatures([(items + np.uint64(k), w) for k in range(150)], 125) for w in (a, b)]
+    same = (both[0] == both[1]).mean(axis=1)
+    # A bag's signature is its own, whatever bags are signed with it.
+    assert (both[0][7] == minhash.signatures([(items + np.uint64(7), a)], 125)[0]).all()
     assert abs(np.mean(same) - true) < 4 * np.std(same) / 150 ** 0.5 + 1e-3
 
 
@@ -64,7 +67,7 @@ def test_against_brute_force_with_large_groups(spark):
     rows += [rows[0], (None, rows[1][1])]
     rnd.shuffle(rows)
     want, groups = brute(rows)
-    for options in ({}, {"hub_rounds": 0}, {"hub_rounds": 1, "hub_rows": 5}):
+    for options in ({}, {"small": 2, "block": 5, "hub_rows": 5}, {"small": 1}):
         got = minhash.near_duplicates(documents(spark, rows), **options).collect()
         assert sorted([(r["doc_id"], r["class_id"]) for r in got], key=repr) == want
     assert minhash.keep_one(documents(spark, rows)).count() == groups
