@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sealcheck.llm.common import KEY, by_group, components, row_key, whole_row
+from sealcheck.llm.words import BASE, mix, powers
 from sealcheck.session import cut_lineage
 
 MAX_EDITS = 2
 CHARS_PER_EDIT = 10
 GROUP_LINES = 256
 MAX_DEPTH = 4
+EMIT_CHARS = 1_000_000
 
 
 def edits_allowed(length: int, max_edits: int, per: int) -> int:
@@ -48,12 +50,37 @@ class Keys:
     def __init__(self, max_edits: int, per: int):
         self.max_edits, self.per = max_edits, per
 
-    def states(self, line: str) -> list[tuple]:
+    def first(self, lines: list[str]) -> list[tuple[np.ndarray, np.ndarray, tuple]]:
+        """First keys of many lines at once, as parts (line, key, what): substring hashes are differences of running sums."""
+        size = np.array([len(x) for x in lines])
+        begin = np.cumsum(size) - size
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        power, inverse = powers(len(points) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * power[:len(points)])])
         out = []
         for gap in range(self.max_edits + 1):
-            edits = edits_allowed(len(line) - gap, self.max_edits, self.per)
-            if 0 < edits >= gap:
-                out.append(((line,), (len(line) - gap,), edits, gap == 0))
+            allowed = np.minimum(self.max_edits, (size - gap) // self.per)
+            for edits in range(max(1, gap), self.max_edits + 1):
+                who = np.flatnonzero((allowed == edits) & (size > gap))
+                length = size[who] - gap
+                for i in range(edits + 1 if len(who) else 0):
+                    start, end = i * length // (edits + 1), (i + 1) * length // (edits + 1)
+                    for shift in range(max(-i, gap - edits + i), min(i, gap + edits - i) + 1):
+                        if abs(shift) + abs(gap - shift) > edits:
+                            continue
+                        a, b = begin[who] + start + shift, begin[who] + end + shift
+                        name = (length * 64 + i * 8 + edits).astype(np.uint64) * np.uint64(BASE)
+                        out.append((who, mix((total[b] - total[a]) * inverse[a] + mix(name)).view(np.int64), (gap, edits, i, shift)))
+        return out
+
+    def states(self, line: str) -> list[tuple[int, tuple]]:
+        """First keys of one line, each with what is left of it."""
+        out = []
+        for who, key, (gap, edits, i, shift) in self.first([line]):
+            if len(who):
+                n = len(line) - gap
+                start, end = i * n // (edits + 1), (i + 1) * n // (edits + 1)
+                out.append((int(key[0]), ((line[:start + shift], line[end + shift:]), (start, n - end), edits, gap == shift == 0)))
         return out
 
     def children(self, states: list[tuple], parent: int) -> list[tuple[int, tuple]]:
@@ -73,32 +100,57 @@ class Keys:
                 out.append((parent, (pieces, lengths, edits, indexed)))
         return out
 
-    def walk(self, line: str, path: list[int]) -> tuple[list[tuple], int]:
-        states, parent = self.states(line), 0
+    def below(self, line: str, path: list[int]) -> set[int]:
+        """Keys one level below a path."""
+        found = self.states(line)
         for key in path:
-            states, parent = [s for k, s in self.children(states, parent) if k == key], key
-        return states, parent
-
-    def below(self, line: str, path: list[int]) -> dict[int, bool]:
-        """Keys one level below a path, and whether the line is indexed there."""
-        out: dict[int, bool] = {}
-        for key, state in self.children(*self.walk(line, path)):
-            out[key] = out.get(key, False) or state[3]
-        return out
+            found = self.children([s for k, s in found if k == key], key)
+        return {k for k, _ in found}
 
     def first_met(self, a: str, b: str, path: list[int]) -> bool:
         """Whether a path is the one among all paths of its depth on which a pair is to be counted: least key first."""
-        sa, sb, parent = self.states(a), self.states(b), 0
-        for key in path:
-            ca, cb = self.children(sa, parent), self.children(sb, parent)
+        ca, cb = self.states(a), self.states(b)
+        for depth, key in enumerate(path):
+            if depth:
+                ca, cb = (self.children([s for k, s in c if k == path[depth - 1]], path[depth - 1]) for c in (ca, cb))
             ia, ib = {k for k, s in ca if s[3]}, {k for k, s in cb if s[3]}
             both = ia & {k for k, _ in cb} | ib & {k for k, _ in ca}
             if not both or min(both) != key:
                 return False
-            sa, sb, parent = [s for k, s in ca if k == key], [s for k, s in cb if k == key], key
         return True
 
 
+def _distance(a: list, b: list) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def verify(lines: list[np.ndarray], a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """`within`, after the ends that two lines have in common are cut off, which changes no distance."""
+    out, middle, todo = np.zeros(len(a), bool), [], []
+    for n, (i, j, k) in enumerate(zip(a.tolist(), b.tolist(), edits.tolist())):
+        x, y = lines[i], lines[j]
+        differ = np.flatnonzero(x != y[:len(x)])
+        low = int(differ[0]) if len(differ) else len(x)
+        x, y = x[low:], y[low:]
+        differ = np.flatnonzero(x[::-1] != y[::-1][:len(x)])
+        cut = int(differ[0]) if len(differ) else len(x)
+        x, y = x[:len(x) - cut], y[:len(y) - cut]
+        if len(x) <= 2 * k:
+            out[n] = (_distance(x.tolist(), y.tolist()) if len(y) <= 3 * k else k + 1) <= k
+        else:
+            todo.append(n)
+            middle += [x, y]
+    if todo:
+        at = np.arange(0, len(middle), 2)
+        out[todo] = within(middle, at, at + 1, edits[todo])
+    return out
+
+
 def within(lines: list[np.ndarray], a: np.ndarray, b: np.ndarray, edits: np.ndarray) -> np.ndarray:
     """Which pairs (a, b) of lines are within their number of edits; a is never longer than b, nor shorter by more.
 
@@ -143,12 +195,16 @@ def within(lines: list[np.ndarray], a: np.ndarray, b: np.ndarray, edits: np.ndar
 def _emit(keys: Keys):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, ids = [], []
-            for i, line in zip(batch["line_id"], batch["line"]):
-                found = {k for k, _ in keys.children(keys.states(line), 0)}
-                names += found
-                ids += [i] * len(found)
-            yield pd.DataFrame({"key": np.array(names, np.int64), "line_id": np.array(ids, np.int64)})
+            ids, lines = batch["line_id"].to_numpy(), batch["line"].tolist()
+            ends = np.cumsum([len(x) for x in lines])
+            for part in np.split(np.arange(len(lines)), np.searchsorted(ends, np.arange(EMIT_CHARS, ends[-1], EMIT_CHARS))) if len(lines) else []:
+                found = keys.first([lines[i] for i in part.tolist()]) if len(part) else []
+                if found:
+                    who, key = (np.concatenate(x) for x in list(zip(*found))[:2])
+                    order = np.lexsort((key, who))
+                    who, key = who[order], key[order]
+                    fresh = np.concatenate([[True], (who[1:] != who[:-1]) | (key[1:] != key[:-1])]) if len(who) else np.zeros(0, bool)
+                    yield pd.DataFrame({"key": key[fresh], "line_id": ids[part[who[fresh]]]})
     return run
 
 
@@ -174,52 +230,64 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _deepen(keys: Keys):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [([*path, key], i) for path, i, line in zip(batch["path"], batch["line_id"], batch["line"]) for key in keys.below(line, list(path))]
+            out = [([*path, key], i) for path, i, line in zip(batch["path"], batch["line_id"], batch["line"]) for key in sorted(keys.below(line, list(path)))]
             yield pd.DataFrame(out, columns=["path", "line_id"])
     return run
 
 
 def _join(keys: Keys):
-    """Links of one group or of two blocks of a large one: per line how many are its own to count, and its least neighbour."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in by_group(batches, "task", ["path", "line_id", "line", "block", "low", "high"]):
-            group = group.reset_index(drop=True)
-            if len(group) < 2:
-                continue
-            path, lines = list(group["path"].iloc[0]), group["line"].tolist()
-            size = np.array([len(x) for x in lines])
-            order = np.argsort(size, kind="stable")
-            allow = np.minimum(size // keys.per, keys.max_edits)
-            hi = np.searchsorted(size[order], size[order] + allow[order], side="right")
-            count = np.maximum(hi - np.arange(len(order)) - 1, 0)
-            total = int(count.sum())
-            if not total:
-                continue
-            i = np.repeat(np.arange(len(order)), count)
-            j = i + 1 + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-            a, b = order[i], order[j]
-            if group["low"].iloc[0] != group["high"].iloc[0]:
-                block = group["block"].to_numpy()
-                cross = block[a] != block[b]
-                a, b = a[cross], b[cross]
-            points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
-            near = np.concatenate([within(points, a[s:s + 100_000], b[s:s + 100_000], allow[a[s:s + 100_000]]) for s in range(0, len(a), 100_000)] or [np.zeros(0, bool)])
-            a, b = a[near], b[near]
-            if not len(a):
+    """Links of groups or of two blocks of a large one: per line how many are its own to count, and its least neighbour."""
+    def pairs(group: pd.DataFrame) -> tuple:
+        size = group["line"].map(len).to_numpy()
+        order = np.argsort(size, kind="stable")
+        allow = np.minimum(size // keys.per, keys.max_edits)
+        ends = np.searchsorted(size[order], size[order] + allow[order], side="right")
+        count = np.maximum(ends - np.arange(len(order)) - 1, 0)
+        i = np.repeat(np.arange(len(order)), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        a, b = order[i], order[j]
+        if group["low"].iloc[0] != group["high"].iloc[0]:
+            block = group["block"].to_numpy()
+            cross = block[a] != block[b]
+            a, b = a[cross], b[cross]
+        return a, b, allow[a]
+
+    def solve(held: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Pairs of all groups held are verified together."""
+        lines = [x for group, *_ in held for x in group["line"]]
+        points = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
+        starts = np.cumsum([0, *[len(group) for group, *_ in held]])
+        a, b = (np.concatenate([x[k] + at for x, at in zip(held, starts)]) for k in (1, 2))
+        near = verify(points, a, b, np.concatenate([x[3] for x in held]))
+        for (group, *_), part, x, y in zip(held, np.split(near, np.cumsum([len(x[1]) for x in held])[:-1]), [x[1] for x in held], [x[2] for x in held]):
+            if not part.any():
                 continue
-            own = np.array([keys.first_met(lines[x], lines[y], path) for x, y in zip(a.tolist(), b.tolist())], bool)
-            n = np.bincount(np.concatenate([a[own], b[own]]), minlength=len(group))
+            x, y, path, texts = x[part], y[part], list(group["path"].iloc[0]), group["line"].tolist()
+            own = np.array([keys.first_met(texts[i], texts[j], path) for i, j in zip(x.tolist(), y.tolist())], bool)
+            n = np.bincount(np.concatenate([x[own], y[own]]), minlength=len(group))
             label = np.arange(len(group))
             while True:
                 new = label.copy()
-                np.minimum.at(new, a, label[b])
-                np.minimum.at(new, b, label[a])
+                np.minimum.at(new, x, label[y])
+                np.minimum.at(new, y, label[x])
                 if (new == label).all():
                     break
                 label = new
-            used = np.unique(np.concatenate([a, b]))
-            ids = group["line_id"].to_numpy()
+            used, ids = np.unique(np.concatenate([x, y])), group["line_id"].to_numpy()
             yield pd.DataFrame({"line_id": ids[used], "n": n[used].astype(np.int64), "near": ids[label[used]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for group in by_group(batches, "task", ["path", "line_id", "line", "block", "low", "high"]):
+            found = pairs(group)
+            if len(found[0]):
+                held.append((group, *found))
+                size += len(found[0])
+            if size > 20_000:
+                yield from solve(held)
+                held, size = [], 0
+        if held:
+            yield from solve(held)
     return run
 
 

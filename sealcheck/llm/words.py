@@ -15,7 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of them."""
     if len(_POWERS[0]) < n:
         size = 1 << n.bit_length()
         for i, base in enumerate((BASE, INVERSE)):
@@ -43,7 +44,7 @@ def word_hashes(raw: bytes, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.nd
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
-    power, inverse = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])])
     h = (total[ends] - total[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends

@@ -51,6 +51,7 @@ def test_banded_distance_against_dynamic_programming():
              if i != j and 0 <= len(texts[j]) - len(texts[i]) <= e][:20000]
     points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in texts]
     got = lines.within(points, *[np.array(x) for x in zip(*pairs)])
+    assert got.tolist() == lines.verify(points, *[np.array(x) for x in zip(*pairs)]).tolist()
     assert got.tolist() == [distance(texts[i], texts[j]) <= e for i, j, e in pairs] and got.any()
 
 
