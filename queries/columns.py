@@ -167,6 +167,24 @@ def explode_pages(m):
         missing.select(F.col("key").alias("raw_path"), none.cast("long").alias("position"), none.cast("long").alias("id"), "code"))
 
 
+@query("c01_explode_pages_exact", """WITH e AS (SELECT event_id // 50 AS page_no, event_id, value, row_number() OVER (PARTITION BY event_id // 50 ORDER BY event_id) - 1 AS position FROM events)
+SELECT 'p/' || page_no AS raw_path, position, CASE WHEN event_id % 13 = 0 THEN 5001 ELSE 1 END AS depth, NULL AS code FROM e WHERE page_no % 5 <> 0 AND event_id % 17 <> 0
+UNION ALL SELECT 'p/' || page_no || '#' || position, NULL, NULL, 'ELEMENT_NOT_JSON' FROM e WHERE page_no % 5 <> 0 AND event_id % 17 = 0
+UNION ALL SELECT DISTINCT 'p/' || page_no, NULL, NULL, 'BODY_NOT_JSON' FROM e WHERE page_no % 5 = 0""")
+def explode_pages_exact(m):
+    """Bodies with NaN in one element, an element nested 5 001 levels deep, and text after the end."""
+    deep = F.concat(F.repeat(F.lit("["), 5000), F.to_json(F.struct("event_id")), F.repeat(F.lit("]"), 5000))
+    item = F.when(F.col("event_id") % 17 == 0, '{"v":NaN}').when(F.col("event_id") % 13 == 0, deep).otherwise(F.to_json(F.struct("event_id", "value")))
+    grouped = m.read("events").groupBy(F.expr("event_id div 50").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))).alias("items"))
+    body = F.concat(F.lit('{"list":['), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.when(F.col("page_no") % 5 == 0, "]} x").otherwise("]}"))
+    pages = grouped.select(F.lit("s1").alias("snapshot_id"), F.concat(F.lit("p/"), text("page_no")).alias("raw_path"), body.alias("body"))
+    elements, missing = P.explode_pages(pages, "list", exact=True)
+    depth = F.length("element") - F.length(F.ltrim("element", F.lit("["))) + 1
+    none = F.lit(None)
+    return elements.select("raw_path", F.col("position").cast("long").alias("position"), depth.cast("long").alias("depth"), none.cast("string").alias("code")).unionByName(
+        missing.select(F.col("key").alias("raw_path"), none.cast("long").alias("position"), none.cast("long").alias("depth"), "code"))
+
+
 @query("c02_first_or_conflict", """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, arg_min(l_suppkey, l_partkey * 1000000000 + l_suppkey) AS l_suppkey,
   count(*) AS n_seen, min(l_suppkey) <> max(l_suppkey) AS conflict FROM lineitem GROUP BY 1, 2""")
 def first_or_conflict(m):

@@ -94,6 +94,10 @@ def write_log(m, damaged: bool = False) -> str:
     line = F.to_json(F.struct("schema_version", "type", "operation_id", "sequence", "recorded_at", source, "operation", "stage", "outcome", "message", "metadata"))
     if damaged:
         key = F.col("event_id") % 40
+        # An extra key inside the source, blank lines (which are no damage) and version 1 (which is lifted).
+        line = F.when(key == 3, F.regexp_replace(line, '"source":[{]', '"source":{"owner":"x",')).when(
+            key == 4, F.regexp_replace(line, '"schema_version":2', '"schema_version":1')).otherwise(line)
+        line = F.when(key == 5, F.concat(line, F.lit("\n \t"))).otherwise(line)
         line = (F.when(key == 0, F.substring(line, 1, 40)).when(key == 1, F.regexp_replace(line, '"schema_version":2', '"schema_version":3'))
                 .when(key == 2, F.regexp_replace(line, '"stage":"scan"', '"stage":"scan","secret":1')).otherwise(line))
     path = folder(m, "log")
@@ -387,18 +391,18 @@ def round_trip(m):
     return out
 
 
-@query("a07_read_events", """SELECT operation_id, sequence, type, destination, coalesce(archive_path, '') AS archive_path, 0 AS unreadable FROM event_log WHERE event_id % 40 > 2
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*) FROM event_log WHERE event_id % 40 <= 2""")
+@query("a07_read_events", """SELECT operation_id, sequence, type, destination, coalesce(archive_path, '') AS archive_path, 2 AS version, 0 AS unreadable FROM event_log WHERE event_id % 40 > 3
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM event_log WHERE event_id % 40 <= 3""")
 def read_events(m):
     events, unreadable = SE.read_events(m.spark, write_log(m, damaged=True))
     good = events.select("operation_id", F.col("sequence").cast("long").alias("sequence"), "type", "destination",
-                         F.coalesce(F.try_element_at("metadata", F.lit("archive_path")), F.lit("")).alias("archive_path"), F.lit(0).cast("long").alias("unreadable"))
+                         F.coalesce(F.try_element_at("metadata", F.lit("archive_path")), F.lit("")).alias("archive_path"), F.col("schema_version").alias("version"), F.lit(0).cast("long").alias("unreadable"))
     none = F.lit(None).cast("string")
     return good.unionByName(unreadable.select(none.alias("operation_id"), none.cast("long").alias("sequence"), none.alias("type"), none.alias("destination"),
-                                              none.alias("archive_path"), "unreadable"))
+                                              none.alias("archive_path"), none.cast("int").alias("version"), "unreadable"))
 
 
-@query("a08_stream_events", "SELECT operation_id, sequence, type FROM event_log WHERE event_id % 40 > 2")
+@query("a08_stream_events", "SELECT operation_id, sequence, type FROM event_log WHERE event_id % 40 > 3")
 def stream_events(m):
     target = folder(m, "streamed")
     stream = SE.stream_events(m.spark, write_log(m, damaged=True), files_per_trigger=3).filter("NOT unreadable").select(

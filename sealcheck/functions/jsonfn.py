@@ -7,11 +7,13 @@ objects and arrays. Where the literal must survive, canonical_json, canonical_me
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from sealcheck.functions.text import trim_space
 from sealcheck.rules import COMPUTED_FIELD_TYPES, COMPUTED_PROPERTY_TYPES
@@ -141,42 +143,110 @@ def field_semantics_state(field_type: Column, computed=tuple(COMPUTED_FIELD_TYPE
 PROPERTY_TYPES = tuple(COMPUTED_PROPERTY_TYPES)
 
 
-def _encode(value) -> str:
-    import json
-
-    if value is None:
-        return "null"
-    if value is True:
-        return "true"
-    if value is False:
-        return "false"
-    if isinstance(value, _Literal):
-        return str(value)
-    if isinstance(value, str):
-        text = json.dumps(value.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), ensure_ascii=False)
-        for char in "<>&\u2028\u2029":
-            text = text.replace(char, f"\\u{ord(char):04x}")
-        return text
-    if isinstance(value, list):
-        return "[" + ",".join(map(_encode, value)) + "]"
-    return "{" + ",".join(f"{_encode(k)}:{_encode(value[k])}" for k in sorted(value)) + "}"
-
-
 class _Literal(str):
     """A number kept exactly as written."""
 
 
-def _canonical(text):
-    import json
+class _Refused(ValueError):
+    """JSON that is no JSON: NaN, Infinity or -Infinity."""
 
-    def refuse(name):
-        raise ValueError(name)
 
+_BAD = object()
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|(-?Infinity|NaN))')
+
+
+def _parse(text: str):
+    """The value of a JSON text with number literals kept; a refused constant becomes a mark inside the value."""
+    try:
+        return json.loads(text, parse_int=_Literal, parse_float=_Literal, parse_constant=lambda name: _BAD)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+def _parse_deep(text: str):
+    """As _parse with a list of open values instead of recursion, for any depth."""
+    at, stack, key, state, root = 0, [], None, "value", None
+    while match := _TOKEN.match(text, at):
+        at, (mark, string, number, word, bad) = match.end(), match.groups()
+        if mark in ("}", "]"):
+            if not stack or state not in ("next", "first") or (mark == "}") != isinstance(stack[-1][0], dict):
+                raise ValueError(text[at:at + 20])
+            key = stack.pop()[1]
+            state = "next" if stack else "end"
+        elif mark in (",", ":"):
+            if mark == "," and state == "next" and stack:
+                state = "key" if isinstance(stack[-1][0], dict) else "value"
+            elif mark == ":" and state == "colon":
+                state = "value"
+            else:
+                raise ValueError(mark)
+        elif state in ("key", "first") and stack and isinstance(stack[-1][0], dict):
+            if not string:
+                raise ValueError("key")
+            key, state = json.loads(string, strict=True), "colon"
+        elif state in ("value", "first"):
+            value = ({} if mark == "{" else [] if mark == "[" else json.loads(string) if string else _Literal(number) if number
+                     else _BAD if bad else {"true": True, "false": False, "null": None}[word])
+            if not stack:
+                root = value
+            elif isinstance(stack[-1][0], dict):
+                stack[-1][0][key] = value
+            else:
+                stack[-1][0].append(value)
+            if mark:
+                stack.append((value, key))
+                state = "first"
+            else:
+                state = "next" if stack else "end"
+        else:
+            raise ValueError(match[0])
+    if state != "end" or text[at:].strip(" \t\n\r"):
+        raise ValueError(text[at:at + 20])
+    return root
+
+
+def _quote(value: str) -> str:
+    text = json.dumps(value.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), ensure_ascii=False)
+    for char in "<>&\u2028\u2029":
+        text = text.replace(char, f"\\u{ord(char):04x}")
+    return text
+
+
+def _encode(value) -> str:
+    """Canonical text, written piece by piece from a list of what is still to write, for any depth."""
+    out, todo = [], [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, tuple):
+            out.append(item[0])
+        elif item is None or item is True or item is False:
+            out.append({None: "null", True: "true", False: "false"}[item])
+        elif item is _BAD:
+            raise _Refused
+        elif isinstance(item, _Literal):
+            out.append(str(item))
+        elif isinstance(item, str):
+            out.append(_quote(item))
+        elif isinstance(item, list):
+            todo.append(("]",))
+            for n in range(len(item) - 1, -1, -1):
+                todo += [item[n], (",",)] if n else [item[n]]
+            out.append("[")
+        else:
+            todo.append(("}",))
+            names = sorted(item)
+            for n in range(len(names) - 1, -1, -1):
+                todo += [item[names[n]], ((("," if n else "") + _quote(names[n]) + ":"),)]
+            out.append("{")
+    return "".join(out)
+
+
+def _canonical(text):
     if text is None:
         return None
     try:
-        return _encode(json.loads(text, parse_int=_Literal, parse_float=_Literal, parse_constant=refuse))
-    except (ValueError, RecursionError):
+        return _encode(_parse(text))
+    except ValueError:
         return None
 
 
@@ -190,12 +260,12 @@ def canonical_json(documents: pd.Series) -> pd.Series:
 
 
 def _member(text, name):
-    import json
-
+    if text is None:
+        return None
     try:
-        parsed = json.loads(text, parse_int=_Literal, parse_float=_Literal)
-        return _encode(parsed[name]) if name in parsed else None
-    except (ValueError, TypeError, RecursionError):
+        parsed = _parse(text)
+        return _encode(parsed[name]) if isinstance(parsed, dict) and name in parsed else None
+    except ValueError:
         return None
 
 
@@ -206,12 +276,12 @@ def canonical_member(documents: pd.Series, names: pd.Series) -> pd.Series:
 
 
 def _override(text, members):
-    import json
-
+    if text is None or members is None:
+        return None
     try:
-        exact = {"parse_int": _Literal, "parse_float": _Literal}
-        return _encode(json.loads(text, **exact) | json.loads(members, **exact))
-    except (ValueError, TypeError, RecursionError):
+        both = [_parse(text), _parse(members)]
+        return _encode(both[0] | both[1]) if all(isinstance(x, dict) for x in both) else None
+    except ValueError:
         return None
 
 
@@ -222,20 +292,42 @@ def canonical_override(documents: pd.Series, members: pd.Series) -> pd.Series:
 
 
 def _elements(text, name):
-    import json
-
+    """(whether the text is JSON, elements of the member); an element that is no JSON is null, the others stay."""
+    if text is None:
+        return False, None
     try:
-        items = json.loads(text, parse_int=_Literal, parse_float=_Literal).get(name)
-    except (ValueError, TypeError, AttributeError, RecursionError):
-        return None
-    return [_encode(item) for item in items] if isinstance(items, list) else None
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def canonical_elements(documents: pd.Series, names: pd.Series) -> pd.Series:
-    """Canonical JSON of every element of one array member. Null when the member is absent or no array."""
-    return pd.Series([_elements(text, name) for text, name in zip(documents, names)], dtype="object")
+        parsed = _parse(text)
+    except ValueError:
+        return False, None
+    items = parsed.get(name) if isinstance(parsed, dict) else None
+    if not isinstance(items, list):
+        return True, None
+    out = []
+    for item in items:
+        try:
+            out.append(_encode(item))
+        except _Refused:
+            out.append(None)
+    return True, out
+
+
+@F.pandas_udf(StructType().add("readable", BooleanType()).add("items", ArrayType(StringType())))
+def canonical_elements(documents: pd.Series, names: pd.Series) -> pd.DataFrame:
+    """(readable, items): canonical JSON of every element of one array member.
+
+    readable says whether the document is JSON at all; items is null when the member is absent or no array. An
+    element that holds NaN or an infinity is a null item, whatever the others are.
+    """
+    return pd.DataFrame([_elements(text, name) for text, name in zip(documents, names)], columns=["readable", "items"])
 
 
 def valid_json(document: Column) -> Column:
-    return canonical_json(document).isNotNull()
+    """Whether a text is one JSON value.
+
+    Built-in parsing settles nearly all: what reads as the only element of an array and as the only member of an
+    object is one value. It refuses values nested deeper than a thousand levels, so only what it refuses is
+    settled in Python.
+    """
+    plain = F.coalesce((F.json_array_length(F.concat(F.lit("["), document, F.lit("]"))) == 1)
+                       & F.try_parse_json(F.concat(F.lit('{"v":'), document, F.lit("}"))).isNotNull(), F.lit(False))
+    return plain | canonical_json(F.when(~plain, document)).isNotNull()

@@ -257,11 +257,14 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
 def _elements(details: DataFrame, member: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(elements, findings) of one optional array of the detail bodies; see explode_pages for `exact`."""
     parsed, members = with_members(details, "body", [member], "array")
-    items = canonical_elements(F.col("body"), F.lit(member)) if exact else F.from_json(members[member].text, "array<string>")
+    items = canonical_elements(F.col("body"), F.lit(member))["items"] if exact else F.from_json(members[member].text, "array<string>")
     exploded = parsed.filter(members[member].kind == "array").select(
         "snapshot_id", F.col("id").alias("record"), "raw_path", "sequence", F.posexplode(items).alias("position", "element"))
-    wrong = parsed.filter(~members[member].kind.isin("null", "array"))
-    return exploded, finding(wrong, "record_details", "NOT_AN_ARRAY", member, F.col("id"))
+    wrong = finding(parsed.filter(~members[member].kind.isin("null", "array")), "record_details", "NOT_AN_ARRAY", member, F.col("id"))
+    if not exact:
+        return exploded, wrong
+    unread = finding(exploded.filter("element IS NULL"), "record_details", "ELEMENT_NOT_JSON", member, F.concat_ws("#", "raw_path", "position"))
+    return exploded.filter("element IS NOT NULL"), union_findings([wrong, unread])
 
 
 ROLES = (("creator", "creator", False), ("assignee", "assignees", True), ("watcher", "watchers", True))

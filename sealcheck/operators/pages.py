@@ -18,13 +18,24 @@ SCOPE = ["snapshot_id", "scope"]
 def explode_pages(pages: DataFrame, field: str, required: bool = True, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(elements, findings): one row per array element as JSON text; a missing or null required array is a finding.
 
-    `exact` keeps number literals as written, at the price of a pass through Python.
+    `exact` keeps number literals as written, at the price of a pass through Python; there a body that is no JSON
+    and an element that is none are findings of their own, and the other elements of the page are kept.
     """
-    items = canonical_elements(F.col("body"), F.lit(field)) if exact else F.from_json("body", f"struct<`{field}`:array<string>>")[field]
-    parsed = pages.withColumn("_items", items)
-    elements = parsed.select(*pages.drop("body").columns, F.posexplode("_items").alias("position", "element"))
-    missing = parsed.filter(F.col("_items").isNull()) if required else parsed.filter(F.lit(False))
-    return elements, finding(missing, "explode_pages", "REQUIRED_ARRAY_MISSING", field, F.col("raw_path"))
+    kept = pages.drop("body").columns
+    if not exact:
+        parsed = pages.withColumn("_items", F.from_json("body", f"struct<`{field}`:array<string>>")[field])
+        readable = F.lit(True)
+    else:
+        parsed = pages.withColumn("_parsed", canonical_elements(F.col("body"), F.lit(field))).withColumn("_items", F.col("_parsed.items"))
+        readable = F.coalesce("_parsed.readable", F.lit(False))
+    elements = parsed.select(*kept, F.posexplode("_items").alias("position", "element"))
+    missing = parsed.filter(readable & F.col("_items").isNull()) if required else parsed.filter(F.lit(False))
+    findings = [finding(missing, "explode_pages", "REQUIRED_ARRAY_MISSING", field, F.col("raw_path"))]
+    if exact:
+        findings += [finding(parsed.filter(~readable), "explode_pages", "BODY_NOT_JSON", field, F.col("raw_path")),
+                     finding(elements.filter("element IS NULL"), "explode_pages", "ELEMENT_NOT_JSON", field, F.concat_ws("#", "raw_path", "position"))]
+        elements = elements.filter("element IS NOT NULL")
+    return elements, union_findings(findings)
 
 
 def first_or_conflict(frame: DataFrame, key: list[str], attrs: list[str], order: str) -> DataFrame:

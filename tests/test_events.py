@@ -24,11 +24,12 @@ def test_stream_equals_batch(spark, tmp_path):
     lines = [line(operation, sequence, operation % 3, chance) for operation in range(40) for sequence in range(1, 8)]
     repeated = lines + chance.sample(lines, 120)
     chance.shuffle(repeated)
-    damaged = ["not json", '{"schema_version":9}', lines[0].replace('"stage": "scan"', '"surprise": 1'), lines[0].replace("backup", "dance"), "x" * 70000]
+    damaged = ["not json", '{"schema_version":9}', lines[0].replace('"stage": "scan"', '"surprise": 1'), lines[0].replace("backup", "dance"), "x" * 70000,
+               lines[0].replace('"connector"', '"owner": 1, "connector"'), lines[0].replace('"message"', '"foo_version": "1", "message"')]
     log = tmp_path / "log"
     log.mkdir()
-    for number in range(6):
-        (log / f"events-{number}.jsonl").write_text("\n".join(repeated[number::6] + damaged[number:number + 1]) + "\n")
+    for number in range(8):
+        (log / f"events-{number}.jsonl").write_text("\n".join(repeated[number::8] + ['', '  '] + damaged[number:number + 1]) + "\n")
     events, unreadable = read_events(spark, str(log))
     assert unreadable.first().unreadable == len(damaged)
     unique = dedupe_events(events)
@@ -41,3 +42,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.count() == 3 and got.select(*want.columns).exceptAll(want).count() == 0
     run_available(dedupe_stream(stream.select("operation_id", "sequence", "type")), str(tmp_path / "unique"), str(tmp_path / "c2"), mode="append")
     assert spark.read.parquet(str(tmp_path / "unique")).count() == len(lines)
+
+
+def test_rotated_file_comes_before_the_current_one(spark, tmp_path):
+    chance = random.Random(1)
+    first, second = [json.loads(line(1, 1, 0, chance)) | {"message": m} for m in ("first", "second")]
+    # The current file is older on disk, as after a copy.
+    (tmp_path / "events.jsonl").write_text(json.dumps(second) + "\n")
+    (tmp_path / "events.old.jsonl").write_text("\n" + json.dumps(first | {"writer_version": "1"}) + "\n")
+    events, unreadable = read_events(spark, str(tmp_path), writer_key="writer_version")
+    assert unreadable.first().unreadable == 0 and {r.schema_version for r in events.collect()} == {2}
+    assert [r.message for r in dedupe_events(events).collect()] == ["first"]

@@ -98,3 +98,25 @@ def test_digest_ignores_order_and_partitions_but_not_content(spark):
     assert digest(rows, 1) != digest(rows[1:], 1)
     assert digest([("s", "ab", "c")], 1) != digest([("s", "a", "bc")], 1)
     assert digest([("s", "", None)], 1) != digest([("s", None, "")], 1)
+
+
+def test_deep_and_refused_json():
+    deep = "[" * 5000 + "1.50" + "]" * 5000
+    assert J._canonical(deep) == deep
+    assert J._elements('{"v":[1,NaN,{"a":1.50}]}', "v") == (True, ["1", None, '{"a":1.50}'])
+    assert J._elements('{"v":[1]} x', "v") == (False, None) and J._elements('{"w":[1]}', "v") == (True, None)
+    assert J._member('{"v":NaN}', "v") is None and J._override('{"v":1}', "[]") is None
+    for text in ['{"b":1,"a":[1,{"x":null}]}', " [1, 2 ] ", "1 2", "1],[2", '{"a":1,}', "[1,]", "{a:1}", "NaN", "", '{"a":1}}', "01", "1.", '{"a":1,"a":2}', "[[],{}]"]:
+        plain = J._canonical(text)
+        try:
+            slow = J._encode(J._parse_deep(text))
+        except ValueError:
+            slow = None
+        assert plain == slow
+
+
+def test_valid_json(spark):
+    deep = "[" * 5000 + "]" * 5000
+    cases = {"1": True, ' {"a": 1} ': True, '"x"': True, "null": True, deep: True, "1 2": False, "1,2": False, "1],[2": False, '1,"b":2': False, "{oops": False, "": False, "NaN": False}
+    frame = spark.createDataFrame([(t,) for t in cases], "d string").select("d", J.valid_json(F.col("d")).alias("v"))
+    assert {r["d"]: r["v"] for r in frame.collect()} == cases
