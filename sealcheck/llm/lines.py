@@ -259,11 +259,24 @@ def _join(keys: Keys):
         starts = np.cumsum([0, *[len(group) for group, *_ in held]])
         a, b = (np.concatenate([x[k] + at for x, at in zip(held, starts)]) for k in (1, 2))
         near = verify(points, a, b, np.concatenate([x[3] for x in held]))
-        for (group, *_), part, x, y in zip(held, np.split(near, np.cumsum([len(x[1]) for x in held])[:-1]), [x[1] for x in held], [x[2] for x in held]):
+        apart = np.split(near, np.cumsum([len(x[1]) for x in held])[:-1])
+        # The first keys of all lines that link, found at once.
+        linked = sorted({text for (group, x, y, _), part in zip(held, apart) if part.any() for text in group["line"].iloc[np.unique([x[part], y[part]])]})
+        first: dict[str, dict[int, bool]] = {text: {} for text in linked}
+        for who, key, (gap, _, _, shift) in keys.first(linked) if linked else ():
+            for w, k in zip(who.tolist(), key.tolist()):
+                mine = first[linked[w]]
+                mine[k] = mine.get(k, False) or gap == shift == 0
+
+        def least(a: dict[int, bool], b: dict[int, bool]) -> int | None:
+            return min((k for k in a.keys() & b.keys() if a[k] or b[k]), default=None)
+
+        for (group, *_), part, x, y in zip(held, apart, [x[1] for x in held], [x[2] for x in held]):
             if not part.any():
                 continue
             x, y, path, texts = x[part], y[part], list(group["path"].iloc[0]), group["line"].tolist()
-            own = np.array([keys.first_met(texts[i], texts[j], path) for i, j in zip(x.tolist(), y.tolist())], bool)
+            own = np.array([least(first[texts[i]], first[texts[j]]) == path[0] and (len(path) == 1 or keys.first_met(texts[i], texts[j], path))
+                            for i, j in zip(x.tolist(), y.tolist())], bool)
             n = np.bincount(np.concatenate([x[own], y[own]]), minlength=len(group))
             label = np.arange(len(group))
             while True:
