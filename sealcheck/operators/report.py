@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sealcheck import rules as R
+from sealcheck.operators.verdict import finding_status
 
 
 def _exploded(snapshots: DataFrame, rows: list[dict]) -> DataFrame:
@@ -106,12 +107,17 @@ def unresolved_attachments(manifest_attachments: DataFrame) -> DataFrame:
         F.coalesce("error", F.lit("no reason recorded")).alias("reason"))
 
 
-def report_discrepancies(declared: DataFrame, checks: DataFrame, collected: DataFrame) -> DataFrame:
-    """What the manifest discloses, and the listed findings of every check that neither passed nor is unproven."""
+def report_discrepancies(declared: DataFrame, checks: DataFrame, findings: DataFrame) -> DataFrame:
+    """What the manifest discloses, and every finding of each check that neither passed nor is unproven.
+
+    Takes the findings themselves, not their shortened listing, so nothing is cut. A check without a finding of its
+    own status (one that could not be evaluated) is stated once.
+    """
     stated = declared.select("snapshot_id", "kind", "source_id", "message", F.lit("manifest").alias("origin"))
     bad = checks.filter(~F.col("status").isin(R.PASS, R.UNPROVEN)).select("snapshot_id", "check_name", "status")
-    listed = bad.join(collected.select("snapshot_id", "check_name", F.col("message").alias("m")),
-                      ["snapshot_id", "check_name"], "left")
+    own = findings.select("snapshot_id", "check_name", finding_status(F.col("code")).alias("status"),
+                          F.concat_ws(" ", "code", "entity", "key", "detail").alias("m"))
+    listed = bad.join(own, ["snapshot_id", "check_name", "status"], "left")
     found = listed.select("snapshot_id", F.upper("check_name").alias("kind"), F.lit(None).cast("string").alias("source_id"),
                           F.coalesce("m", F.concat("check_name", F.lit(" is "), "status")).alias("message"),
                           F.lit("verification").alias("origin"))

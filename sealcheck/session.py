@@ -1,8 +1,13 @@
-"""Session defaults and reliable checkpointing."""
+"""Session defaults, code on the workers, and reliable checkpointing."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,25 +21,65 @@ DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()
+_CLEANED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sealcheck-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(path := f"{folder}/sealcheck.zip", "w", zipfile.ZIP_DEFLATED) as file:
+        for module in sorted(root.rglob("*.py")):
+            file.write(module, module.relative_to(root.parent).as_posix())
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator assumes; leaves sizing to the cluster."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one in local mode only."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir.
+
+    Only where nothing is named and everything runs on this machine, a temporary folder takes its place. What an
+    application writes there is deleted when it ends.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-    if shared:
-        context.setCheckpointDir(shared)
+    if context.applicationId in _CLEANED:
         return
-    if not context.master.startswith("local"):
+    shared = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir() or ""
+    local = context.master.startswith("local")
+    if shared and not local and (shared.startswith("file:") or "://" not in shared and not _default_is_shared(spark)):
+        raise RuntimeError(f"spark.checkpoint.dir is {shared}, which each machine of a cluster has for itself")
+    if not shared and not local:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="sealcheck-checkpoint-"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sealcheck-checkpoint-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.deleteOnExit(path)
+    atexit.register(_forget, store, path)
+    _CLEANED.add(context.applicationId)
+
+
+def _forget(store, path) -> None:
+    """Delete an application's rounds; a session that has ended already did so itself."""
+    with contextlib.suppress(Exception):
+        store.delete(path, True)
+
+
+def _default_is_shared(spark: SparkSession) -> bool:
+    return not (spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
