@@ -14,7 +14,7 @@ from sealcheck.connectors import clickup, notion
 from sealcheck.operators import checks as K
 from sealcheck.operators.findings import union_findings
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
-from sealcheck.schemas import ENTITY_TABLES, portable_columns
+from sealcheck.schemas import ENTITY_TABLES, PORTABLE_COLUMNS, portable_columns
 
 
 @query("d05_resolve_ancestor", """ch AS (SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev,
@@ -175,24 +175,57 @@ def raw_evidence(m):
     return K.raw_evidence_integrity(runs, ledger, bodies, m.manifest, digests, raw, sealed)
 
 
-@query("f07_schema_consistency", findings("schema_consistency", ("'COLUMNS_DIFFER'", "'record_tags'", "'record_tags'", "NULL", "snaps"),
-                                          ("'TABLE_NOT_DECLARED'", "'extra'", "'extra'", "NULL", "snaps"), ("'TABLE_MISSING'", "'comments'", "'comments'", "NULL", "snaps")))
-def schema(m):
-    actual = {name: frame.columns for name, frame in m.tables.items() if name != "comments"}
-    actual |= {"record_tags": ["snapshot_id", "record_id", "position", "name"], "extra": ["x"]}
-    return K.schema_findings(m.snapshots, K.schema_consistency(actual))
+DOCUMENTED = "(SELECT CAST(o_orderkey AS VARCHAR) AS snapshot_id, o_orderkey AS k FROM orders) d"
 
 
-@query("f08_archive_metadata_consistency", """imp AS (SELECT snapshot_id, key, want FROM manifest, LATERAL (VALUES ('connector', connector), ('source_workspace_id', workspace_id),
-  ('source_snapshot_logical_digest', logical_digest), ('archive_status', status), ('writer_version', writer_version), ('archive_schema_version', CAST(schema_version AS VARCHAR)),
-  ('source_snapshot_atomic', CAST(atomic AS VARCHAR))) v(key, want)),
-cmp AS (SELECT imp.snapshot_id, imp.key, want, value FROM imp LEFT JOIN archive_metadata a ON a.snapshot_id = imp.snapshot_id AND a.key = imp.key)
----
-""" + findings("archive_metadata_consistency", ("'KEY_MISSING'", "'archive_metadata'", "key", "NULL", "cmp WHERE value IS NULL"),
-               ("'VALUE_DIFFERS'", "'archive_metadata'", "key", "NULL", "cmp WHERE value <> want"),
-               ("'KEY_MISSING'", "'archive_metadata'", "'verification_status'", "NULL", "snaps a WHERE NOT EXISTS (SELECT 1 FROM archive_metadata b WHERE b.snapshot_id = a.snapshot_id AND b.key = 'verification_status')")))
+@query("f07_schema_consistency", findings(
+    "schema_consistency", ("'TABLE_MISSING'", "'comments'", "'comments'", "NULL", f"{DOCUMENTED} WHERE k % 5 = 0"),
+    ("'COLUMNS_DIFFER'", "'record_tags'", "'record_tags'", "NULL", f"{DOCUMENTED} WHERE k % 7 = 0"), ("'COLUMNS_DIFFER'", "'records'", "'records'", "NULL", f"{DOCUMENTED} WHERE k % 13 = 0"),
+    ("'TABLE_NOT_DECLARED'", "'extra' || k % 3", "'extra' || k % 3", "NULL", f"{DOCUMENTED} WHERE k % 11 = 0")))
+def schema(m):
+    """Each order is a snapshot with a schema document; its key decides which table is gone, cut, reordered or new."""
+    key = F.col("o_orderkey")
+    orders = m.read("orders").select(text("o_orderkey").alias("snapshot_id"), "o_orderkey")
+    names = {table: ["snapshot_id", *portable_columns(table)] for table in PORTABLE_COLUMNS}
+    known = F.array(*[F.struct(F.lit(t).alias("table_name"), F.array(*map(F.lit, c)).alias("columns")) for t, c in names.items()])
+    known = F.filter(known, lambda t: ~((t["table_name"] == "comments") & (key % 5 == 0)))
+    size = F.size("t.columns")
+    columns = (F.when((F.col("t.table_name") == "record_tags") & (key % 7 == 0), F.slice("t.columns", 1, size - 1))
+               .when((F.col("t.table_name") == "records") & (key % 13 == 0), F.reverse("t.columns")).otherwise(F.col("t.columns")))
+    stored = orders.withColumn("t", F.explode(known)).select("snapshot_id", F.col("t.table_name").alias("table_name"), columns.alias("columns"))
+    extra = orders.filter(key % 11 == 0).select("snapshot_id", F.concat(F.lit("extra"), (key % 3).cast("string")).alias("table_name"), F.array(F.lit("x")).alias("columns"))
+    return K.stored_schema_findings(orders.select("snapshot_id"), stored.union(extra))
+
+
+OWNED = "(SELECT 'c' || c_custkey AS snapshot_id, c_custkey AS k FROM customer) c"
+
+
+@query("f08_archive_metadata_consistency", findings(
+    "archive_metadata_consistency", ("'VALUE_DIFFERS'", "'archive_metadata'", "'connector'", "NULL", f"{OWNED} WHERE k % 5 = 0"),
+    ("'KEY_MISSING'", "'archive_metadata'", "'source_snapshot_logical_digest'", "NULL", f"{OWNED} WHERE k % 7 = 0"),
+    ("'VALUE_DIFFERS'", "'archive_metadata'", "'source_snapshot_logical_digest'", "NULL", f"{OWNED} WHERE k % 7 <> 0 AND k % 23 = 0"),
+    ("'KEY_MISSING'", "'archive_metadata'", "'verification_status'", "NULL", f"{OWNED} WHERE k % 11 = 0"),
+    ("'WORKSPACE_COUNT'", "'workspaces'", "snapshot_id", "NULL", f"{OWNED} WHERE k % 13 = 0 OR k % 19 = 0"),
+    ("'WORKSPACE_DIFFERS'", "'workspaces'", "snapshot_id", "NULL", f"{OWNED} WHERE k % 17 = 0 AND k % 13 <> 0 AND k % 19 <> 0")))
 def metadata(m):
-    return K.archive_metadata_consistency(m.manifest, m.archive_metadata, m.workspaces)
+    """Each customer is a snapshot. The manifest's digest is computed over the customer's orders, the stored one again over
+    them or, for some, over all but the first."""
+    key = F.col("k")
+    orders = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice")))
+    owned = m.read("customer").join(m.read("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(orders.alias("own")), "c_custkey", "left")
+    whole = F.sha2(F.concat_ws(",", F.col("c_custkey").cast("string"), F.to_json("own")), 256)
+    part = F.sha2(F.concat_ws(",", F.concat(F.lit("-"), text("c_custkey")), F.to_json(F.slice("own", 2, 1_000_000))), 256)
+    rows = owned.select(F.concat(F.lit("c"), text("c_custkey")).alias("snapshot_id"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("connector"),
+                        F.concat(F.lit("w"), text("c_nationkey")).alias("workspace_id"), whole.alias("logical_digest"), F.when(F.col("c_custkey") % 23 == 0, part).otherwise(whole).alias("again"),
+                        F.lit("COMPLETE").alias("status"), F.lit("1").alias("writer_version"), F.lit(3).alias("schema_version"), (F.col("c_acctbal") > 0).alias("atomic"))
+    pairs = {"connector": F.when(key % 5 == 0, "other").otherwise(F.col("connector")), "source_workspace_id": F.col("workspace_id"),
+             "source_snapshot_logical_digest": F.when(key % 7 != 0, F.col("again")), "archive_status": F.col("status"), "writer_version": F.col("writer_version"),
+             "archive_schema_version": F.col("schema_version").cast("string"), "source_snapshot_atomic": F.col("atomic").cast("string"),
+             "verification_status": F.when(key % 11 == 0, "").otherwise("NOT_RUN")}
+    stored = rows.select("snapshot_id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])).alias("p")).select("snapshot_id", "p.*")
+    copies = F.when(key % 19 == 0, F.array().cast("array<int>")).when(key % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    spaces = rows.select("snapshot_id", F.when(key % 17 == 0, "elsewhere").otherwise(F.col("workspace_id")).alias("source_id"), F.explode(copies))
+    return K.archive_metadata_consistency(rows.drop("again", "k"), stored.filter("value IS NOT NULL"), spaces)
 
 
 DERIVED = "('sc_' || sha256(source_provider || chr(0) || CASE WHEN tbl = 'identities' THEN 'identity' ELSE source_type END || chr(0) || source_id))"

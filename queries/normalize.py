@@ -172,16 +172,36 @@ def tags(m):
         found.select(F.col("key").alias("record_id"), F.lit(None).cast("string").alias("name"), F.col("detail").cast("long").alias("position"), "code"))
 
 
-DEFINITIONS = """SELECT 's1' AS snapshot_id, {id} AS id, field AS name, type AS field_type, state AS semantics_state, definition AS definition_json, 'raw/field/1.json' AS source_raw_path
-FROM (SELECT count(*) FROM labels) n, (VALUES ('quality', 'drop_down', 'SOURCE_DEFINITION_ONLY', '{{"id":"quality","name":"quality","type":"drop_down","v":1.50}}'),
-  ('toxic', 'labels', 'SOURCE_DEFINITION_ONLY', '{{"id":"toxic","name":"toxic","type":"labels"}}')) v(field, type, state, definition)"""
+FIELD = "CASE WHEN p_size % 3 = 0 THEN 'Rollup' ELSE p_brand END"
+FIELD_ID = sql_pid("field", "'p' || p_partkey")
 
 
-@query("d10_normalize_field_definitions", DEFINITIONS.format(id=sql_pid("field", "field")))
+@query("d10_normalize_field_definitions", f"""SELECT {FIELD_ID} AS id, p_name AS name, {FIELD} AS field_type, CASE WHEN p_size % 3 = 0 THEN 'OBSERVED_ONLY_NO_EXECUTION' ELSE 'SOURCE_DEFINITION_ONLY' END AS semantics_state,
+  '{{"id":"p' || p_partkey || '","name":"' || p_name || '","type":"' || {FIELD} || '","v":' || p_size || '.50}}' AS definition_json, 'raw/field/' || (p_partkey // 50) || '.json' AS source_raw_path, NULL AS code
+  FROM part WHERE p_partkey % 10 <> 0
+UNION ALL SELECT 'p' || p_partkey, NULL, NULL, NULL, NULL, NULL, 'EVIDENCE_MISSING' FROM part WHERE p_partkey % 10 = 0
+UNION ALL SELECT 'p' || p_partkey, NULL, NULL, NULL, NULL, NULL, 'CONFLICTING_DEFINITION' FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 7 = 0""")
 def definitions(m):
-    responses, index, _ = parts(m)
-    table, _ = N.normalize_field_definitions(index, responses, VOCABULARY)
-    return table.select("snapshot_id", "id", "name", "field_type", "semantics_state", "definition_json", "source_raw_path")
+    """Every part is a field. Pages of 50 state them in any key order; some are stated again otherwise, some nowhere."""
+    key, kind = F.col("p_partkey"), F.when(F.col("p_size") % 3 == 0, "Rollup").otherwise(F.col("p_brand"))
+    part = m.read("part")
+    shown = part.filter(key % 10 != 0).withColumn("element", F.concat(
+        F.lit('{"type":"'), kind, F.lit('", "name":"'), "p_name", F.lit('","id":"p'), text("p_partkey"), F.lit('","v":'), text("p_size"), F.lit(".50}")))
+    again = shown.filter(key % 7 == 0).withColumn("element", F.concat(F.lit('{"id":"p'), text("p_partkey"), F.lit('","name":"another"}')))
+
+    def pages(frame, folder, first):
+        grouped = frame.groupBy(F.expr("p_partkey div 50").alias("p")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "element"))).alias("items"))
+        return grouped.select(F.lit("s1").alias("snapshot_id"), (F.col("p") + first).cast("long").alias("sequence"), F.lit("list fields").alias("operation"),
+                              F.concat(F.lit(f"{folder}/"), text("p"), F.lit(".json")).alias("raw_path"),
+                              F.concat(F.lit('{"fields":['), F.array_join(F.transform("items", lambda x: x["element"]), ","), F.lit("]}")).alias("body"))
+
+    responses = pages(shown, "field", 0).union(pages(again, "again", 1_000_000_000))
+    held = {"snapshot_id": F.lit("s1"), "type": F.lit("field"), "id": F.concat(F.lit("p"), text("p_partkey"))}
+    index = part.select(*[held.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in m.index.schema])
+    table, found = N.normalize_field_definitions(index, responses, VOCABULARY)
+    none = F.lit(None).cast("string")
+    columns = ["name", "field_type", "semantics_state", "definition_json", "source_raw_path"]
+    return table.select("id", *columns, none.alias("code")).union(found.select("key", *[none.alias(c) for c in columns], "code"))
 
 
 @query("d11_normalize_field_values", f"""lb AS (SELECT labels.* FROM labels JOIN orders ON o_orderkey = doc_id)

@@ -148,6 +148,20 @@ def schema_findings(snapshots: DataFrame, differences: list[tuple[str, str]]) ->
                    F.col("d.t"), F.col("d.t"))
 
 
+def stored_schema_findings(snapshots: DataFrame, stored: DataFrame, declared: dict[str, list[str]] | None = None) -> DataFrame:
+    """The schema documents of many snapshots against the declared columns.
+
+    `stored` has (snapshot_id, table_name, columns array<string>), one row per table a snapshot says it holds.
+    """
+    declared = declared or {table: ["snapshot_id", *portable_columns(table)] for table in PORTABLE_COLUMNS}
+    rows = F.array(*[F.struct(F.lit(t).alias("table_name"), F.array(*map(F.lit, c)).alias("wanted")) for t, c in declared.items()])
+    wanted = snapshots.select("snapshot_id", F.explode(rows).alias("d")).select("snapshot_id", "d.*")
+    compared = wanted.join(stored.select("snapshot_id", "table_name", "columns"), ["snapshot_id", "table_name"], "full")
+    return coded(compared, "schema_consistency", [
+        (F.col("columns").isNull(), "TABLE_MISSING"), (F.col("wanted").isNull(), "TABLE_NOT_DECLARED"),
+        (F.col("columns") != F.col("wanted"), "COLUMNS_DIFFER")], F.col("table_name"), F.col("table_name"))
+
+
 METADATA = {"connector": "connector", "source_workspace_id": "workspace_id",
             "source_snapshot_logical_digest": "logical_digest", "archive_status": "status",
             "writer_version": "writer_version", "archive_schema_version": "schema_version",
