@@ -78,7 +78,7 @@ def esc(expression: str) -> str:
 
 
 def meta(label: str, expression: str) -> str:
-    return f"'- {label}: `' || {esc(expression)} || '`' || chr(10)"
+    return f"'* {label} = `' || {esc(expression)} || '`' || chr(10)"
 
 
 def code(expression: str) -> str:
@@ -93,25 +93,25 @@ def item(number: int, section: str, record: str, keys: list[str], text: str, sou
 
 NL = "chr(10)"
 ITEMS = {
-    "tags": item(1, "tags", "record_id", ["lpad(CAST(position AS VARCHAR), 19, '0')", "name"], f"'- ' || position || ': ' || {esc('name')} || {NL}", "record_tags WHERE snapshot_id = 's1'"),
+    "tags": item(1, "tags", "record_id", ["lpad(CAST(position AS VARCHAR), 19, '0')", "name"], f"'* ' || {esc('name')} || ' (no. ' || position || ')' || {NL}", "record_tags WHERE snapshot_id = 's1'"),
     "people": item(2, "people", "record_id", ["role", "lpad(CAST(position AS VARCHAR), 19, '0')", "identity_id"],
-                   f"'- ' || {esc('role')} || ' ' || position || ': ' || {esc('username')} || '; portable `' || identity_id || '`; source `' || {esc('i.source_id')} || '`; raw `' || {esc('i.source_raw_path')} || '`' || {NL}",
+                   f"'* ' || {esc('username')} || ' as ' || {esc('role')} || ' no. ' || position || {NL} || '  `' || identity_id || '`, at origin `' || {esc('i.source_id')} || '`, read from `' || {esc('i.source_raw_path')} || '`' || {NL}",
                    "record_identities r JOIN identities i ON i.snapshot_id = r.snapshot_id AND i.id = r.identity_id WHERE r.snapshot_id = 's1'"),
-    "fields": item(3, "fields", "record_id", ["field_id"], f"{NL} || '### ' || {esc('d.name')} || {NL} || {NL} || {meta('Portable field ID', 'field_id')} || {meta('Field type', 'field_type')} || "
-                   f"{meta('Semantics', 'v.semantics_state')} || {meta('Source ID', 'd.source_id')} || {meta('Raw evidence path', 'd.source_raw_path')} || {code('observed_value_json')}",
+    "fields": item(3, "fields", "record_id", ["field_id"], f"{NL} || '### ' || {esc('d.name')} || {NL} || {NL} || {meta('field id here', 'field_id')} || {meta('sort of field', 'field_type')} || "
+                   f"{meta('how to read it', 'v.semantics_state')} || {meta('id at origin', 'd.source_id')} || {meta('read from', 'd.source_raw_path')} || {code('observed_value_json')}",
                    "record_field_values v JOIN field_definitions d ON d.snapshot_id = v.snapshot_id AND d.id = v.field_id WHERE v.snapshot_id = 's1'"),
     "comments": item(4, "comments", "record_id", ["CASE WHEN date_created_source IS NULL THEN '1' ELSE '0' END", "coalesce(date_created_source, '')", "id"],
-                     f"{NL} || '### Comment ' || id || {NL} || {NL} || {meta('Source ID', 'source_id')} || {meta('Raw evidence path', 'source_raw_path')} || "
-                     f"coalesce({meta('Parent comment portable ID', 'parent_comment_id')}, '') || coalesce({meta('Created at source', 'date_created_source')}, '') || {code('body_text')}",
+                     f"{NL} || '### Said in ' || id || {NL} || {NL} || {meta('id at origin', 'source_id')} || {meta('read from', 'source_raw_path')} || "
+                     f"coalesce({meta('answers comment', 'parent_comment_id')}, '') || coalesce({meta('made', 'date_created_source')}, '') || {code('body_text')}",
                      "comments WHERE snapshot_id = 's1'"),
-    "links": item(5, "links", "e", ["id"], f"'- ' || kind || ' `' || id || '`: from source `' || from_source_id || '` (' || coalesce(from_record_id, 'external') || ') to source `' || to_source_id || '` (' || "
-                  f"coalesce(to_record_id, 'external') || '); ' || resolution_state || '; raw `' || source_raw_path || '`' || {NL}",
+    "links": item(5, "links", "e", ["id"], f"'* `' || from_source_id || '` = ' || coalesce(from_record_id, 'outside') || ' -- ' || kind || ' --> `' || to_source_id || '` = ' || coalesce(to_record_id, 'outside') || {NL} || '  ' || "
+                  f"resolution_state || ', link `' || id || '`, read from `' || source_raw_path || '`' || {NL}",
                   "(SELECT *, from_record_id AS e FROM relationships UNION ALL SELECT *, to_record_id FROM relationships WHERE to_record_id IS DISTINCT FROM from_record_id) WHERE snapshot_id = 's1' AND e IS NOT NULL"),
-    "attachments": item(6, "attachments", "record_id", ["id"], f"'- ' || {esc('filename')} || '; portable `' || id || '`; source `' || source_id || '`; status ' || download_status || '; media type ' || media_type || "
-                        f"'; checksum `' || checksum || '`; raw `' || source_raw_path || '`' || {NL}", "attachments WHERE snapshot_id = 's1'")}
-HEADER = item(0, "record", "id", [], f"'# ' || {esc('title')} || {NL} || {NL} || {meta('Kind', 'kind')} || {meta('Portable ID', 'id')} || {meta('Source type', 'source_type')} || {meta('Source ID', 'source_id')} || "
-              f"{meta('Raw evidence path', 'source_raw_path')} || coalesce({meta('Parent record portable ID', 'parent_record_id')}, '') || coalesce({meta('Status', 'status')}, '') || "
-              f"coalesce({meta('Priority', 'priority')}, '') || coalesce({meta('Created at source', 'date_created_source')}, '')", "records WHERE snapshot_id = 's1'")
+    "attachments": item(6, "attachments", "record_id", ["id"], f"'* ' || {esc('filename')} || ' (' || media_type || '): ' || download_status || ', sum `' || checksum || '`' || {NL} || '  `' || id || '`, at origin `' || source_id || '`, "
+                        f"read from `' || source_raw_path || '`' || {NL}", "attachments WHERE snapshot_id = 's1'")}
+HEADER = item(0, "record", "id", [], f"'# ' || {esc('title')} || {NL} || {NL} || {meta('is a', 'kind')} || {meta('id here', 'id')} || {meta('type at origin', 'source_type')} || {meta('id at origin', 'source_id')} || "
+              f"{meta('read from', 'source_raw_path')} || coalesce({meta('inside record', 'parent_record_id')}, '') || coalesce({meta('state', 'status')}, '') || "
+              f"coalesce({meta('urgency', 'priority')}, '') || coalesce({meta('made', 'date_created_source')}, '')", "records WHERE snapshot_id = 's1'")
 SECTION_FUNCTIONS = {"tags": O.record_tags_section, "people": O.record_people_section, "fields": O.record_fields_section,
                      "comments": O.record_comments_section, "links": O.record_links_section, "attachments": O.record_attachments_section}
 
@@ -126,7 +126,7 @@ def section_query(name: str):
 for _name in ITEMS:
     section_query(_name)
 
-HEADINGS = {1: "Tags', 2", 2: "Identities', 2", 3: "Custom fields', 1", 4: "Comments', 1", 5: "Relationships', 2", 6: "Attachments', 2"}
+HEADINGS = {1: "Labels', 2", 2: "Who', 2", 3: "Values of fields', 1", 4: "Talk', 1", 5: "Ties', 2", 6: "Files', 2"}
 HEADING = "CASE section_no " + " ".join(f"WHEN {n} THEN chr(10) || '## {v.split(chr(39))[0]}' || repeat(chr(10), {v[-1]})" for n, v in HEADINGS.items()) + " END"
 
 
@@ -143,8 +143,8 @@ def documents(m):
   UNION ALL SELECT id, upper(kind[1]) || kind[2:], name, CASE WHEN parent_kind IS NOT NULL THEN parent_id END, parent_source_id, source_type, source_id, source_raw_path FROM cv
   UNION ALL SELECT cl.id, 'Collection', cl.name, cl.container_id, co.source_id, cl.source_type, cl.source_id, cl.source_raw_path FROM cl JOIN co ON co.id = cl.container_id)
 ---
-SELECT vp.snapshot_id, vp."table", vp.id, vp.path, '# ' || {esc('name')} || chr(10) || chr(10) || {meta('Kind', 'label')} || {meta('Portable ID', 'ent.id')} || {meta('Source type', 'source_type')} ||
-  {meta('Source ID', 'source_id')} || {meta('Raw evidence path', 'source_raw_path')} || coalesce({meta('Parent portable ID', 'aid')}, '') || coalesce({meta('Parent source ID', 'asrc')}, '') AS content
+SELECT vp.snapshot_id, vp."table", vp.id, vp.path, '# ' || {esc('name')} || chr(10) || chr(10) || {meta('is a', 'label')} || {meta('id here', 'ent.id')} || {meta('type at origin', 'source_type')} ||
+  {meta('id at origin', 'source_id')} || {meta('read from', 'source_raw_path')} || coalesce({meta('inside', 'aid')}, '') || coalesce({meta('inside, at origin', 'asrc')}, '') AS content
 FROM vp JOIN ent ON ent.id = vp.id WHERE vp."table" <> 'records'""")
 def index_documents(m):
     return O.index_documents(clean(m))

@@ -119,7 +119,7 @@ def _number_key(value: Column) -> Column:
 
 
 def _meta(label: str, value: Column) -> Column:
-    return F.concat(F.lit(f"- {label}: `"), inline_markdown(value), F.lit("`\n"))
+    return F.concat(F.lit(f"* {label} = `"), inline_markdown(value), F.lit("`\n"))
 
 
 def _optional(label: str, value: Column) -> Column:
@@ -128,29 +128,27 @@ def _optional(label: str, value: Column) -> Column:
 
 def record_tags_section(tables: Tables) -> DataFrame:
     tags = tables["record_tags"]
-    return _item(tags, 1, "tags", F.concat(F.lit("- "), F.col("position").cast("string"), F.lit(": "),
-                                           inline_markdown(F.col("name")), F.lit("\n")),
+    return _item(tags, 1, "tags", F.concat(F.lit("* "), inline_markdown(F.col("name")), F.lit(" (no. "), F.col("position").cast("string"), F.lit(")\n")),
                  [_number_key(F.col("position")), F.col("name")])
 
 
 def record_people_section(tables: Tables) -> DataFrame:
     people = tables["identities"].select("snapshot_id", F.col("id").alias("identity_id"), "username", "email", "source_id", "source_raw_path")
     joined = tables["record_identities"].join(people, ["snapshot_id", "identity_id"])
-    text = F.concat(F.lit("- "), inline_markdown(F.col("role")), F.lit(" "), F.col("position").cast("string"), F.lit(": "),
-                    inline_markdown(or_else(F.col("username"), F.lit("unnamed"))), F.lit("; portable `"),
-                    inline_markdown(F.col("identity_id")), F.lit("`; source `"), inline_markdown(F.col("source_id")),
-                    F.lit("`; raw `"), inline_markdown(F.col("source_raw_path")), F.lit("`"),
-                    F.coalesce(F.concat(F.lit("; email "), inline_markdown(F.col("email"))), F.lit("")), F.lit("\n"))
+    text = F.concat(F.lit("* "), inline_markdown(or_else(F.col("username"), F.lit("(no name)"))),
+                    F.coalesce(F.concat(F.lit(" <"), inline_markdown(F.col("email")), F.lit(">")), F.lit("")), F.lit(" as "), inline_markdown(F.col("role")),
+                    F.lit(" no. "), F.col("position").cast("string"), F.lit("\n  `"), inline_markdown(F.col("identity_id")), F.lit("`, at origin `"),
+                    inline_markdown(F.col("source_id")), F.lit("`, read from `"), inline_markdown(F.col("source_raw_path")), F.lit("`\n"))
     return _item(joined, 2, "people", text, [F.col("role"), _number_key(F.col("position")), F.col("identity_id")])
 
 
 def record_fields_section(tables: Tables) -> DataFrame:
     fields = tables["field_definitions"].select("snapshot_id", F.col("id").alias("field_id"), "name", "field_type", "source_id", "source_raw_path")
     joined = tables["record_field_values"].join(fields, ["snapshot_id", "field_id"])
-    text = F.concat(F.lit("\n### "), inline_markdown(or_else(F.col("name"), F.lit("unnamed field"))), F.lit("\n\n"),
-                    _meta("Portable field ID", F.col("field_id")), _optional("Field type", F.col("field_type")),
-                    _meta("Semantics", F.col("semantics_state")), _meta("Source ID", F.col("source_id")),
-                    _meta("Raw evidence path", F.col("source_raw_path")), code_block(F.col("observed_value_json")))
+    text = F.concat(F.lit("\n### "), inline_markdown(or_else(F.col("name"), F.lit("(no name)"))), F.lit("\n\n"),
+                    _meta("field id here", F.col("field_id")), _optional("sort of field", F.col("field_type")),
+                    _meta("how to read it", F.col("semantics_state")), _meta("id at origin", F.col("source_id")),
+                    _meta("read from", F.col("source_raw_path")), code_block(F.col("observed_value_json")))
     return _item(joined, 3, "fields", text, [F.col("field_id")])
 
 
@@ -159,12 +157,12 @@ def record_comments_section(tables: Tables) -> DataFrame:
     people = tables["identities"].select("snapshot_id", F.col("id").alias("author_identity_id"), F.col("username").alias("author"),
                                          F.col("source_id").alias("author_source_id"))
     joined = tables["comments"].join(people, ["snapshot_id", "author_identity_id"], "left")
-    body = F.coalesce(code_block(F.col("body_text")), code_block(F.col("body_json")), F.lit("_This comment archived no readable body._\n"))
-    text = F.concat(F.lit("\n### Comment "), inline_markdown(F.col("id")), F.lit("\n\n"), _meta("Source ID", F.col("source_id")),
-                    _meta("Raw evidence path", F.col("source_raw_path")),
-                    _optional("Parent comment portable ID", F.col("parent_comment_id")),
-                    _optional("Created at source", F.col("date_created_source")), _optional("Author", F.col("author")),
-                    _optional("Author source ID", F.col("author_source_id")), body)
+    body = F.coalesce(code_block(F.col("body_text")), code_block(F.col("body_json")), F.lit("*(nothing to read was kept)*\n"))
+    text = F.concat(F.lit("\n### Said in "), inline_markdown(F.col("id")), F.lit("\n\n"), _meta("id at origin", F.col("source_id")),
+                    _meta("read from", F.col("source_raw_path")),
+                    _optional("answers comment", F.col("parent_comment_id")),
+                    _optional("made", F.col("date_created_source")), _optional("by", F.col("author")),
+                    _optional("by, at origin", F.col("author_source_id")), body)
     return _item(joined, 4, "comments", text, [F.when(F.col("date_created_source").isNull(), "1").otherwise("0"),
                                                F.col("date_created_source"), F.col("id")])
 
@@ -173,28 +171,27 @@ def record_links_section(tables: Tables) -> DataFrame:
     """Links that touch the record at either end; a link from a record to itself is listed once."""
     links = tables["relationships"].withColumn("record_id", F.explode(F.array_distinct(F.filter(
         F.array("from_record_id", "to_record_id"), lambda end: end.isNotNull()))))
-    external = F.lit("external")
-    text = F.concat(F.lit("- "), inline_markdown(F.col("kind")), F.lit(" `"), inline_markdown(F.col("id")), F.lit("`: from source `"),
-                    inline_markdown(F.col("from_source_id")), F.lit("` ("), inline_markdown(or_else(F.col("from_record_id"), external)),
-                    F.lit(") to source `"), inline_markdown(F.col("to_source_id")), F.lit("` ("),
-                    inline_markdown(or_else(F.col("to_record_id"), external)), F.lit("); "),
-                    inline_markdown(F.col("resolution_state")), F.lit("; raw `"), inline_markdown(F.col("source_raw_path")), F.lit("`\n"))
+    outside = F.lit("outside")
+    def end(side):
+        return [F.lit("`"), inline_markdown(F.col(f"{side}_source_id")), F.lit("` = "), inline_markdown(or_else(F.col(f"{side}_record_id"), outside))]
+
+    text = F.concat(F.lit("* "), *end("from"), F.lit(" -- "), inline_markdown(F.col("kind")), F.lit(" --> "), *end("to"), F.lit("\n  "),
+                    inline_markdown(F.col("resolution_state")), F.lit(", link `"), inline_markdown(F.col("id")), F.lit("`, read from `"),
+                    inline_markdown(F.col("source_raw_path")), F.lit("`\n"))
     return _item(links, 5, "links", text, [F.col("id")])
 
 
 def record_attachments_section(tables: Tables) -> DataFrame:
-    text = F.concat(F.lit("- "), inline_markdown(or_else(F.col("filename"), F.lit("unnamed"))), F.lit("; portable `"),
-                    inline_markdown(F.col("id")), F.lit("`; source `"), inline_markdown(F.col("source_id")), F.lit("`; status "),
-                    inline_markdown(F.col("download_status")),
-                    F.coalesce(F.concat(F.lit("; media type "), inline_markdown(F.col("media_type"))), F.lit("")),
-                    F.coalesce(F.concat(F.lit("; checksum `"), inline_markdown(F.col("checksum")), F.lit("`")), F.lit("")),
-                    F.lit("; raw `"), inline_markdown(F.col("source_raw_path")), F.lit("`\n"))
+    text = F.concat(F.lit("* "), inline_markdown(or_else(F.col("filename"), F.lit("(no name)"))),
+                    F.coalesce(F.concat(F.lit(" ("), inline_markdown(F.col("media_type")), F.lit(")")), F.lit("")), F.lit(": "), inline_markdown(F.col("download_status")),
+                    F.coalesce(F.concat(F.lit(", sum `"), inline_markdown(F.col("checksum")), F.lit("`")), F.lit("")), F.lit("\n  `"), inline_markdown(F.col("id")),
+                    F.lit("`, at origin `"), inline_markdown(F.col("source_id")), F.lit("`, read from `"), inline_markdown(F.col("source_raw_path")), F.lit("`\n"))
     return _item(tables["attachments"], 6, "attachments", text, [F.col("id")])
 
 
-SECTIONS = [(record_tags_section, "\n## Tags\n\n"), (record_people_section, "\n## Identities\n\n"),
-            (record_fields_section, "\n## Custom fields\n"), (record_comments_section, "\n## Comments\n"),
-            (record_links_section, "\n## Relationships\n\n"), (record_attachments_section, "\n## Attachments\n\n")]
+SECTIONS = [(record_tags_section, "\n## Labels\n\n"), (record_people_section, "\n## Who\n\n"),
+            (record_fields_section, "\n## Values of fields\n"), (record_comments_section, "\n## Talk\n"),
+            (record_links_section, "\n## Ties\n\n"), (record_attachments_section, "\n## Files\n\n")]
 ITEM_KEYS = ["section_no", "k1", "k2", "k3"]
 
 
@@ -203,18 +200,18 @@ def record_header(records: DataFrame) -> DataFrame:
     def long_text(label, column):
         return F.coalesce(F.concat(F.lit(f"\n## {label}\n\n"), code_block(F.col(column))), F.lit(""))
 
-    dates = [("Created at source", "date_created_source"), ("Updated at source", "date_updated_source"),
-             ("Closed at source", "date_closed_source"), ("Done at source", "date_done_source"),
-             ("Start at source", "start_date_source"), ("Due at source", "due_date_source")]
+    dates = [("made", "date_created_source"), ("changed", "date_updated_source"),
+             ("closed", "date_closed_source"), ("finished", "date_done_source"),
+             ("begins", "start_date_source"), ("due by", "due_date_source")]
     text = F.concat(
-        F.lit("# "), inline_markdown(or_else(F.col("title"), F.col("kind"))), F.lit("\n\n"), _meta("Kind", F.col("kind")),
-        _meta("Portable ID", F.col("id")), _meta("Source type", F.col("source_type")), _meta("Source ID", F.col("source_id")),
-        _meta("Raw evidence path", F.col("source_raw_path")), _optional("Parent record portable ID", F.col("parent_record_id")),
-        _optional("Status", F.col("status")), _optional("Status type", F.col("status_type")), _optional("Priority", F.col("priority")),
-        _optional("Archived", F.col("archived").cast("string")), *[_optional(label, F.col(column)) for label, column in dates],
-        _optional("Time estimate ms", F.col("time_estimate_ms").cast("string")),
-        _optional("Time spent ms", F.col("time_spent_ms").cast("string")), _optional("Points", F.col("points").cast("string")),
-        long_text("Description", "description"), long_text("Text content", "text_content"))
+        F.lit("# "), inline_markdown(or_else(F.col("title"), F.col("kind"))), F.lit("\n\n"), _meta("is a", F.col("kind")),
+        _meta("id here", F.col("id")), _meta("type at origin", F.col("source_type")), _meta("id at origin", F.col("source_id")),
+        _meta("read from", F.col("source_raw_path")), _optional("inside record", F.col("parent_record_id")),
+        _optional("state", F.col("status")), _optional("state group", F.col("status_type")), _optional("urgency", F.col("priority")),
+        _optional("put away", F.col("archived").cast("string")), *[_optional(label, F.col(column)) for label, column in dates],
+        _optional("planned ms", F.col("time_estimate_ms").cast("string")),
+        _optional("worked ms", F.col("time_spent_ms").cast("string")), _optional("weight", F.col("points").cast("string")),
+        long_text("What it is about", "description"), long_text("Plain text", "text_content"))
     return _item(records.withColumn("record_id", F.col("id")), 0, "record", text, [])
 
 
@@ -256,7 +253,7 @@ def document_parts(blocks: DataFrame, blocks_per_part: int = PART_BLOCKS) -> Dat
         return grouped.select(*key, "part", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("content"))
 
     small = joined(blocks.join(large, key, "left_anti").withColumn("part", F.lit(0).cast("long")), ITEM_KEYS)
-    numbered = ordered_positions(blocks.join(large, key, "left_semi"), key, ITEM_KEYS)
+    numbered = ordered_positions(blocks.join(large, key, "left_semi"), key, [*ITEM_KEYS, "text"])
     part = F.floor((F.col("position") - 1) / blocks_per_part).cast("long")
     return small.unionByName(joined(numbered.withColumn("part", part), ["position"]))
 
@@ -284,10 +281,10 @@ def index_documents(tables: Tables, prefix: str = DEFAULT_PREFIX) -> DataFrame:
         "snapshot_id", F.lit("collections").alias("table"), "id", F.lit("Collection").alias("label"), "name",
         F.col("container_id").alias("above_id"), "above_source", *PROVENANCE)
     rows = union_all([f.select(*columns) for f in (workspaces, containers, collections)])
-    text = F.concat(F.lit("# "), inline_markdown(or_else(F.col("name"), F.col("label"))), F.lit("\n\n"), _meta("Kind", F.col("label")),
-                    _meta("Portable ID", F.col("id")), _meta("Source type", F.col("source_type")), _meta("Source ID", F.col("source_id")),
-                    _meta("Raw evidence path", F.col("source_raw_path")), _optional("Parent portable ID", F.col("above_id")),
-                    _optional("Parent source ID", F.col("above_source")))
+    text = F.concat(F.lit("# "), inline_markdown(or_else(F.col("name"), F.col("label"))), F.lit("\n\n"), _meta("is a", F.col("label")),
+                    _meta("id here", F.col("id")), _meta("type at origin", F.col("source_type")), _meta("id at origin", F.col("source_id")),
+                    _meta("read from", F.col("source_raw_path")), _optional("inside", F.col("above_id")),
+                    _optional("inside, at origin", F.col("above_source")))
     paths = view_paths(tables, prefix).filter("table <> 'records'")
     return rows.join(paths, ["snapshot_id", "table", "id"]).select("snapshot_id", "table", "id", "path", text.alias("content"))
 
