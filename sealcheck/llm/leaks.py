@@ -13,13 +13,13 @@ from sealcheck.llm.common import KEY, row_key, whole_row
 from sealcheck.llm.words import PUNCTUATION, word_hashes
 
 PASSAGE = 32
-RANK = 256
+RANK = 128
 EXTRA = 16
 COSINE = 0.4
 MIN_TERMS = 3
 PARAPHRASE = 0.6
 VERBATIM = 0.8
-COMMON = 0.05
+COMMON = 0.02
 BLOCK_ITEMS = 2048
 BLOCK_WORDS = 200_000
 SEED = 20_240_602
@@ -39,6 +39,8 @@ class Items:
     vectors: np.ndarray | None = None
     latent: np.ndarray | None = None
     keys: list[np.ndarray] | None = None
+    holders: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    need: np.ndarray | None = None
 
     def rows(self) -> np.ndarray:
         """Items by term, 1 where the item has it."""
@@ -158,6 +160,10 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK, extra: int = EXTRA, pas
     left, _, _ = np.linalg.svd(factor, full_matrices=False)
     items.vectors = (idf[:, None] * left[:, :rank]).astype(np.float32)
     latent = own.astype(np.float32) @ items.vectors
+    # Which items hold a term: all holders term by term, where each term's begin, and how many they are.
+    size = (own > 0).sum(axis=0)
+    items.holders = (np.nonzero(own.T)[1], np.cumsum(size) - size, size)
+    items.need = np.minimum(MIN_TERMS, (own > 0).sum(axis=1))
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     # Without a given answer, the rarest third of an item's terms stands for it.
     items.keys = [a if len(a) else items.terms[np.flatnonzero(r)[np.argsort(-idf[np.flatnonzero(r)], kind="stable")][:max(1, int(r.sum()) // 3)]]
@@ -191,13 +197,25 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 owner = np.concatenate([np.full(len(w), d) for d, w, _ in held])
                 where, term = np.concatenate([w for _, w, _ in held]), np.concatenate([t for _, _, t in held])
                 held, size = [], 0
-                seam = owner * (1 << 40) + where
-                rows = _sums(items.vectors[term], seam)
-                first = np.flatnonzero(np.concatenate([[True], seam[1:] != seam[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]))
+                sizes = np.diff(np.concatenate([first, [len(term)]]))
+                # Only windows that share enough terms with one item are worth projecting.
+                holder, start, count = items.holders
+                window = np.repeat(np.arange(len(first)), sizes)
+                times = count[term]
+                item = holder[np.repeat(start[term] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
+                pair, shared = np.unique(np.repeat(window, times) * len(items.ids) + item, return_counts=True)
+                some = np.unique(pair[shared >= items.need[pair % len(items.ids)]] // len(items.ids))
+                if not len(some):
+                    return
+                keep = np.zeros(len(first), bool)
+                keep[some] = True
+                rows = _sums(items.vectors[term[keep[window]]], window[keep[window]])
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
                 for s in range(0, len(rows), 8192):
                     r, i = np.nonzero(rows[s:s + 8192] @ items.latent.T >= cosine)
-                    for d, w, item in zip(owner[first[s + r]].tolist(), where[first[s + r]].tolist(), i.tolist()):
+                    at = first[some[s + r]]
+                    for d, w, item in zip(owner[at].tolist(), where[at].tolist(), i.tolist()):
                         near.setdefault((d, item), []).append(w)
 
             near: dict[tuple[int, int], list[int]] = {}
@@ -208,12 +226,8 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 # Windows overlap by half, so a place lies in two; a term counts once in each.
                 window = place // step
                 pair = np.unique(np.concatenate([window, window[window > 0] - 1]) * len(items.terms) + np.concatenate([term, term[window > 0]]))
-                window, term = pair // len(items.terms), pair % len(items.terms)
-                _, where, counts = np.unique(window, return_inverse=True, return_counts=True)
-                enough = counts[where] >= MIN_TERMS
-                if enough.any():
-                    held.append((d, window[enough], term[enough]))
-                    size += int(enough.sum())
+                held.append((d, pair // len(items.terms), pair % len(items.terms)))
+                size += len(pair)
                 if size > 40_000:
                     flush()
             if size:
@@ -238,8 +252,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, ra
                verbatim: float = VERBATIM, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and benchmark item found in it: row key, doc_id, item_id, share, first_word, last_word.
 
-    Documents are cut into overlapping windows of 32 words; windows with three terms of the benchmark or more are
-    projected into the latent space of `fit` and compared with every item by cosine. Where it reaches `cosine`,
+    Documents are cut into overlapping windows of 32 words; windows that share three terms with some item (all, if it
+    has fewer) are projected into the latent space of `fit` and compared with every item by cosine. Where it reaches `cosine`,
     share is the longest common subsequence of the item's words and those around the window, over the item's
     length. The item is found if share is at least `verbatim`, or at least `paraphrase` and half the answer's
     words stand there too (the item's rarest terms if the benchmark has no column `answer`).
