@@ -21,8 +21,9 @@ BLOCK = 1000
 # Of 125 components a pair at 0.8 agrees in 100, give or take 4.5; this is 4.5 times that below.
 AGREE = 0.64
 HUB_ROWS = 500
-SIGN_ITEMS = 30_000
+SIGN_ITEMS = 100_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def bag(text: str | None, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,12 +39,12 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
     Each item has one Poisson process per weight interval [0,1), [1,2), [2,4), [4,8), ... with rate `size` times
     the interval's width. A point has a time, a component and a weight level inside the interval; it counts if
     the level lies below the item's weight. A component keeps its earliest point. Points come in order of time up
-    to a limit that suits the bag's total weight, which is doubled until every component has a point: no later one
+    to a limit that suits the bag's total weight, which is raised until every component has a point: no later one
     could change the outcome, so a heavy bag costs no more points than a light one. Bags must not be empty.
     """
     items, weights = (np.concatenate(x) for x in zip(*bags))
     bag_of = np.repeat(np.arange(len(bags)), [len(i) for i, _ in bags])
-    limit = (np.log(size) + 3) / np.bincount(bag_of, weights, len(bags))
+    limit = (np.log(size) + 1) / np.bincount(bag_of, weights, len(bags))
     count = 1 + np.ceil(np.log2(weights)).astype(np.int64)
     owner = np.repeat(np.arange(len(items)), count)
     level = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
@@ -67,12 +68,16 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
             short = ~np.isfinite(best).reshape(len(bags), size).all(axis=1)
             if not short.any():
                 return name.reshape(len(bags), size)
-            limit[short] *= 2
+            limit[short] *= 1.5
             live = np.flatnonzero(short[bag_of])
             continue
         more = mix(u[live] ^ STEP)
-        ok = low[live] + (more >> np.uint64(40)).astype(np.int64) % width[live] < weight[live]
-        part, when, who = bag_of[live[ok]] * size + (more[ok] % np.uint64(size)).astype(np.int64), time[live[ok]], u[live[ok]]
+        part, when, who = bag_of[live] * size + (((more & LOW) * np.uint64(size)) >> np.uint64(32)).astype(np.int64), time[live], u[live]
+        wide = np.flatnonzero(width[live] > 1)
+        if len(wide):
+            ok = np.ones(len(live), bool)
+            ok[wide] = low[live[wide]] + (more[wide] >> np.uint64(40)).astype(np.int64) % width[live[wide]] < weight[live[wide]]
+            part, when, who = part[ok], when[ok], who[ok]
         np.minimum.at(best, part, when)
         won = best[part] == when
         name[part[won]] = who[won]
