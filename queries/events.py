@@ -56,6 +56,14 @@ def latest(m):
     return E.latest_events(m.event_log.select("connector", "workspace_id", "destination", "operation_id", F.col("sequence").cast("long").alias("sequence"), "type"), 7)
 
 
+@query("i04_latest_events_large", """SELECT connector, workspace_id, operation_id, sequence, type FROM event_log
+QUALIFY row_number() OVER (PARTITION BY connector, workspace_id ORDER BY operation_id DESC, sequence DESC) <= 5000""")
+def latest_large(m):
+    """A limit beyond a thousand over a wider scope is still cut in each task before the shuffle."""
+    events = m.event_log.select("connector", "workspace_id", "operation_id", F.col("sequence").cast("long").alias("sequence"), "type")
+    return E.latest_events(events, 5000, ["connector", "workspace_id"])
+
+
 @query("i05_activity", """SELECT connector, workspace_id, destination, count(*) AS recorded, count(*) FILTER (WHERE outcome = 'FAILED') AS failed, arg_max(type, k) AS last_type,
   arg_max(coalesce(outcome, '-'), k) AS last_outcome, max(operation_id) AS last_operation_id, arg_max(sequence, k) AS last_sequence
 FROM (SELECT *, operation_id || lpad(CAST(sequence AS VARCHAR), 9, '0') AS k FROM event_log) GROUP BY 1, 2, 3""")

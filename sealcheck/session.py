@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Ranks are cut in each task before the shuffle for any limit in use, not only up to 1000 rows a group.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
 }
 
 

@@ -16,28 +16,35 @@ def test_first_connector(spark, tmp_path):
     tables, problems, *_ = archive.normalized(spark, str(tmp_path))
     assert problems.collect() == []
     records = {r.source_id: r for r in tables["records"].collect()}
-    assert records["101"].parent_record_id == records["100"].id and records["101"].points == 1.5
-    assert records["100"].date_created_source == "1700" and records["100"].priority == "high"
+    assert records["hole"].parent_record_id == records["rose"].id and records["depth"].parent_record_id == records["hole"].id
+    assert len({records[r].collection_id for r in ("rose", "hole", "depth")}) == 1 != records["rake"].collection_id
+    assert records["rose"].date_created_source == "1600" and records["rose"].points == 2.25 and records["hole"].priority == "low"
     comments = {r.source_id: r for r in tables["comments"].collect()}
-    assert comments["c2"].record_id == records["100"].id and comments["c2"].body_text == "reply"
-    assert comments["c2"].parent_comment_id == comments["c1"].id
-    assert [(r.role, r.position) for r in tables["record_identities"].orderBy("role").collect()] == [("assignee", 0), ("creator", 0)]
-    assert tables["identities"].count() == 1
+    assert comments["r"].record_id == records["hole"].id and comments["q"].body_text == "How deep?"
+    assert comments["r"].parent_comment_id == comments["q"].id
+    roles = [(r.role, r.position) for r in tables["record_identities"].orderBy("role", "position").collect()]
+    assert roles == [("assignee", 0), ("assignee", 1), ("creator", 0), ("watcher", 0)]
+    assert tables["identities"].count() == 2 and [r.name for r in tables["record_tags"].orderBy("position").collect()] == ["thorns", "sun"]
     attachment = tables["attachments"].first()
-    assert (attachment.download_status, attachment.source_url) == ("PENDING", "https://f/a1")
-    assert tables["relationships"].first().resolution_state == "RESOLVED"
+    assert (attachment.download_status, attachment.source_url) == ("PENDING", "https://files/plan")
+    assert {(r.kind, r.source_id, r.resolution_state) for r in tables["relationships"].collect()} == {
+        ("task_dependency", "hole->rake", "RESOLVED"), ("task_link", "rake<->rose", "RESOLVED")}
+    values = {r.observed_value_json for r in tables["record_field_values"].collect()}
+    assert values == {'"clay"', '["red","white"]', "null"}
+    verdicts = connectors.field_verdicts("clickup", tables["record_field_values"], tables["field_definitions"])
+    assert {r.verdict for r in verdicts.collect()} == {"VALID"}
 
 
 def test_evidence_findings(spark, tmp_path):
     archive.land(str(tmp_path))
     raw = tmp_path / "healthy" / "raw"
-    (raw / "lists.json").unlink()
-    (raw / "spaces.json").write_bytes((raw / "spaces.json").read_bytes().replace(b'"S"', b'"T"'))
+    (raw / "lists-g.json").unlink()
+    (raw / "top.json").write_bytes((raw / "top.json").read_bytes().replace(b'"Garden"', b'"Barren"'))
     ledger = json.loads((raw / "requests.json").read_text())
-    ledger[2]["raw_path"] = "../fields.json"
+    ledger[2]["raw_path"] = "../up.json"
     (raw / "requests.json").write_text(json.dumps(ledger))
     responses, found = E.read_evidence(spark, str(tmp_path))
-    assert {(r.code, r.key) for r in found.collect()} == {("BODY_MISSING", "lists.json"), ("CHECKSUM_DIFFERS", "spaces.json"), ("PATH_UNSAFE", "../fields.json")}
+    assert {(r.code, r.key) for r in found.collect()} == {("BODY_MISSING", "lists-g.json"), ("CHECKSUM_DIFFERS", "top.json"), ("PATH_UNSAFE", "../up.json")}
     assert responses.count() == len(archive.BODIES) - 3
 
 

@@ -3,7 +3,7 @@
 import json
 import random
 
-from sealcheck.operators.events import dedupe_events
+from sealcheck.operators.events import dedupe_events, latest_events
 from sealcheck.operators.state import project_state
 from sealcheck.sources.events import read_events, stream_events
 from sealcheck.streaming.events import dedupe_stream, run_available, state_stream
@@ -53,3 +53,9 @@ def test_rotated_file_comes_before_the_current_one(spark, tmp_path):
     events, unreadable = read_events(spark, str(tmp_path), writer_key="writer_version")
     assert unreadable.first().unreadable == 0 and {r.schema_version for r in events.collect()} == {2}
     assert [r.message for r in dedupe_events(events).collect()] == ["first"]
+
+
+def test_large_limits_are_cut_before_the_shuffle(spark):
+    events = spark.range(100_000).selectExpr("id % 3 AS connector", "CAST(id AS STRING) AS operation_id", "id AS sequence")
+    plan = latest_events(events, 5000, ["connector"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2, plan

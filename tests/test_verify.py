@@ -15,29 +15,29 @@ SET = lambda column, value, where="true": lambda f, bad: f.withColumn(column, F.
 DROP = lambda where: lambda f, bad: f.filter(~(bad & F.expr(where)))
 TWICE = lambda where: lambda f, bad: f.unionByName(f.filter(bad & F.expr(where)))
 MUTATIONS = {
-    "file_missing": ("files", DROP("path = 'raw/lists.json'"), "manifest_file_inventory"),
-    "file_hidden": ("manifest_files", DROP("path = 'raw/lists.json'"), "manifest_file_inventory"),
+    "file_missing": ("files", DROP("path = 'raw/lists-g.json'"), "manifest_file_inventory"),
+    "file_hidden": ("manifest_files", DROP("path = 'raw/lists-g.json'"), "manifest_file_inventory"),
     "schema_missing": ("files", DROP("path = 'schema.json'"), "archive_structure"),
-    "file_changed": ("files", SET("checksum", "'sha256:0'", "path = 'raw/lists.json'"), "file_checksums"),
+    "file_changed": ("files", SET("checksum", "'sha256:0'", "path = 'raw/lists-g.json'"), "file_checksums"),
     "row_twice": ("record_tags", TWICE("true"), "table_constraints"),
     "status_rule": ("attachments", SET("error", "'x'"), "table_constraints"),
     "ledger_gap": ("ledger", DROP("sequence = 3"), "raw_evidence_integrity"),
     "run_unfinished": ("runs", SET("status", "'RUNNING'"), "raw_evidence_integrity"),
     "digest_changed": ("digests", SET("logical_digest", "'sha256:0'"), "raw_evidence_integrity"),
     "other_workspace": ("archive_metadata", SET("value", "'w2'", "key = 'source_workspace_id'"), "archive_metadata_consistency"),
-    "id_not_derivable": ("records", SET("source_id", "'999'", "source_id = '102'"), "portable_identifier_derivation"),
+    "id_not_derivable": ("records", SET("source_id", "'999'", "source_id = 'rake'"), "portable_identifier_derivation"),
     "role_to_nothing": ("record_identities", SET("identity_id", "'nobody'"), "referential_integrity"),
     "foreign_workspace": ("comments", SET("workspace_id", "'elsewhere'"), "referential_integrity"),
-    "parent_cycle": ("records", SET("parent_record_id", "id", "source_id = '100'"), "referential_integrity"),
+    "parent_cycle": ("records", SET("parent_record_id", "id", "source_id = 'rose'"), "referential_integrity"),
     "overstated_link": ("relationships", SET("to_record_id", "NULL", "true"), "referential_integrity"),
     "binary_altered": ("files", SET("checksum", "'sha256:0'", "path LIKE 'attachments/%'"), "attachment_integrity"),
     "binary_missing": ("files", DROP("path LIKE 'attachments/%'"), "attachment_integrity"),
     "value_outside_options": ("record_field_values", SET("observed_value_json", "'5'"), "custom_field_evidence"),
     "stronger_semantics": ("record_field_values", SET("semantics_state", "'EXECUTED'"), "custom_field_evidence"),
     "hidden_discrepancy": ("relationships", SET("resolution_state", "'PARTIAL_EXTERNAL'"), "discrepancy_reconciliation"),
-    "record_removed": ("records", DROP("source_id = '102'"), "source_object_reconciliation"),
-    "comment_removed": ("comments", DROP("source_id = 'c2'"), "count_reconciliation"),
-    "record_moved": ("records", SET("parent_record_id", "NULL", "source_id = '101'"), "hierarchy_reconstruction"),
+    "record_removed": ("records", DROP("source_id = 'rake'"), "source_object_reconciliation"),
+    "comment_removed": ("comments", DROP("source_id = 'r'"), "count_reconciliation"),
+    "record_moved": ("records", SET("parent_record_id", "NULL", "source_id = 'hole'"), "hierarchy_reconstruction"),
     "attachment_moved": ("attachments", SET("record_id", "'elsewhere'"), "hierarchy_reconstruction"),
     "raw_path_outside": ("comments", SET("source_raw_path", "'x/y.json'"), "raw_evidence_references"),
     "counts_overstated": ("manifest_inventory", SET("archived", "archived + 1", "entity = 'records'"), "count_reconciliation"),
