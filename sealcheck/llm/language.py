@@ -17,6 +17,7 @@ MAX_LANGS = 64
 LANDMARKS = 256
 RIDGE = 1e-3
 SIZE = 64
+BATCH_GRAMS = 500_000
 OFFSETS = (0, SIZE, SIZE + SIZE ** 2)
 TOTAL = SIZE + SIZE ** 2 + SIZE ** 3
 
@@ -92,6 +93,19 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     return letters, classes, weights, known
 
 
+def scores(found: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Scores of a batch of texts: the product of their scaled presence vectors, kept sparse, with the weights."""
+    out = np.zeros((len(found), weights.shape[1]), np.float32)
+    size = np.array([len(f) for f in found], np.int64)
+    full = np.flatnonzero(size)
+    for part in np.split(full, np.flatnonzero(np.diff(np.cumsum(size[full]) // BATCH_GRAMS)) + 1):
+        if len(part):
+            place = np.concatenate([found[i] for i in part.tolist()])
+            scale = np.concatenate([_scale(found[i]) for i in part.tolist()])
+            out[part] = np.add.reduceat(scale[:, None] * weights[place], np.cumsum(size[part]) - size[part], axis=0)
+    return out
+
+
 def predictor(spark, model):
     """A vectorised Column function text -> (lang, score, evidence) for a fitted model."""
     shared = spark.sparkContext.broadcast(model)
@@ -99,16 +113,16 @@ def predictor(spark, model):
     @F.pandas_udf("lang string, score double, evidence boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         letters, classes, weights, known = shared.value
-        out = []
-        for text in texts:
-            if text is None or not any(map(str.isalpha, text)) or not classes:
-                out.append(("und", 0.0, False))
-                continue
-            found = grams(text, letters)
-            scores = _scale(found) @ weights[found] if len(found) else np.zeros(len(classes))
-            best = int(np.argmax(scores))
-            out.append((classes[best], float(np.clip((1 + scores[best]) / 2, 0, 1)) if len(found) else 0.0, bool(known[found].any())))
-        return pd.DataFrame(out, columns=["lang", "score", "evidence"])
+        lettered = np.array([bool(classes) and text is not None and any(map(str.isalpha, text)) for text in texts], bool)
+        found = [grams(text, letters) if ok else np.zeros(0, np.int64) for text, ok in zip(texts, lettered)]
+        some = np.array([len(f) > 0 for f in found], bool)
+        if not classes:
+            return pd.DataFrame({"lang": ["und"] * len(texts), "score": 0.0, "evidence": False})
+        score = scores(found, weights)
+        best = score.argmax(axis=1)
+        return pd.DataFrame({"lang": np.where(lettered, np.array(classes, object)[best], "und"),
+                             "score": np.where(some, np.clip((1 + score[np.arange(len(best)), best].astype(float)) / 2, 0, 1), 0.0),
+                             "evidence": [bool(known[f].any()) for f in found]})
 
     return predict
 
