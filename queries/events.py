@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from queries.mapping import text
 from queries.oracle import pid as sql_pid, s
+from queries.organize import DOCUMENTS, clean
 from queries.registry import findings, query
 from queries.seal import sql_aggregate
 from sealcheck import rules as R
 from sealcheck.connectors import clickup, notion
 from sealcheck.functions.ids import digest, scope_key
-from sealcheck.operators import events as E, health as H, state as S
+from sealcheck.operators import events as E, health as H, organize as O, state as S
+from sealcheck.schemas import PORTABLE_COLUMNS
 from sealcheck.session import shared_folder
 from sealcheck.sources import documents as SD, events as SE, evidence as SV, portable as SP
 from sealcheck.streaming import events as ST
@@ -384,11 +386,10 @@ def attach(m):
 
 # --- readers and writers, over data written from the tables
 
-@query("a06_portable_round_trip", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", snapshot_id, count(*) AS n FROM {t} GROUP BY 2" for t in (
-    "records", "comments", "relationships", "attachments", "record_tags")))
+@query("a06_portable_round_trip", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", snapshot_id, count(*) AS n FROM {t} GROUP BY 2" for t in PORTABLE_COLUMNS))
 def round_trip(m):
-    """Tables written and read back: nothing lost, and snapshots stay apart."""
-    names = ["records", "comments", "relationships", "attachments", "record_tags"]
+    """All tables written and read back: nothing lost, and snapshots stay apart."""
+    names = list(PORTABLE_COLUMNS)
     path = folder(m, "portable")
     SP.write_portable({name: m.tables[name] for name in names}, path)
     stored = SP.read_portable(m.spark, path, names)
@@ -451,11 +452,10 @@ def objects(m):
     return SV.source_objects(packed)
 
 
-@query("a10_write_documents", f"""SELECT 's1' AS snapshot_id, {sql_pid('customer', s('o_custkey'))} AS collection_id, count(*) AS n FROM orders GROUP BY 2""")
+@query("a10_write_documents", DOCUMENTS)
 def write_documents(m):
+    """Every record document, written as parts in order and read back."""
     path = folder(m, "documents")
-    rows = m.records.filter("snapshot_id = 's1' AND kind = 'order'").select("snapshot_id", "collection_id", F.col("title").alias("path"), F.lit(0).cast("long").alias("part"),
-                                                                          F.col("title").alias("content"))
-    SD.write_documents(rows, path)
-    return m.spark.read.schema("snapshot_id string, collection_id string, path string, part bigint, content string").json(path).groupBy("snapshot_id", "collection_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    SD.write_documents(O.record_documents(clean(m)), path)
+    stored = m.spark.read.schema("snapshot_id string, collection_id string, record_id string, path string, part bigint, content string").json(path)
+    return stored.withColumn("content", F.sha2("content", 256))

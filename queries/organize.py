@@ -130,11 +130,14 @@ HEADINGS = {1: "Labels', 2", 2: "Who', 2", 3: "Values of fields', 1", 4: "Talk',
 HEADING = "CASE section_no " + " ".join(f"WHEN {n} THEN chr(10) || '## {v.split(chr(39))[0]}' || repeat(chr(10), {v[-1]})" for n, v in HEADINGS.items()) + " END"
 
 
-@query("h06_record_documents", PATHS + "items AS (" + " UNION ALL ".join(ITEMS.values()) + f"""),
+DOCUMENTS = PATHS + "items AS (" + " UNION ALL ".join(ITEMS.values()) + f"""),
 blk AS ({HEADER} UNION ALL SELECT DISTINCT snapshot_id, record_id, section_no, section, '', '', '', {HEADING} FROM items UNION ALL SELECT * FROM items),
 doc AS (SELECT record_id, string_agg(text, '' ORDER BY section_no, k1, k2, k3) AS content FROM blk GROUP BY 1)
 ---
-SELECT 's1' AS snapshot_id, rdp.collection_id, record_id, rdp.dir || '/record.md' AS path, 0 AS part, sha256(content) AS content FROM doc JOIN rdp ON rdp.id = doc.record_id""")
+SELECT 's1' AS snapshot_id, rdp.collection_id, record_id, rdp.dir || '/record.md' AS path, 0 AS part, sha256(content) AS content FROM doc JOIN rdp ON rdp.id = doc.record_id"""
+
+
+@query("h06_record_documents", DOCUMENTS)
 def documents(m):
     return O.record_documents(clean(m)).withColumn("content", F.sha2("content", 256))
 
