@@ -104,34 +104,50 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
-def _alike(threshold: int, every: bool):
-    """Pairs of one large bucket (or of two blocks of it) in different components whose sketches agree often enough.
+def _jaccard(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard of two bags (items in order, counts, sum of counts)."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    both = a[0][at] == b[0]
+    shared = np.minimum(a[1][at[both]], b[1][both]).sum()
+    return shared / (a[2] + b[2] - shared)
 
-    With `every` all such pairs, else the best one for each two components. Members of the largest component are
-    not compared with each other.
+
+def _join_up(threshold: int, similarity: float):
+    """Links between the components of one large bucket (or of two blocks of it), enough to connect what is near.
+
+    Pairs whose sketches agree often enough are verified on their bags in order of agreement, unless links found
+    before connect them already. Members of the largest component are not compared with each other.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in by_group(batches, "task", ["tid", "sketch", "component", "block", "low", "high"]):
+        for group in by_group(batches, "task", ["tid", "sketch", "items", "counts", "component", "block", "low", "high"]):
             component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
             if component.max() == 0:
                 continue
             sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
             block, crossed = group["block"].to_numpy(), group["low"].iloc[0] != group["high"].iloc[0]
-            out = []
-            for i in np.flatnonzero(component != np.bincount(component).argmax()).tolist():
+            bags = [(np.frombuffer(i, np.uint64), n := np.frombuffer(c, np.uint32).astype(np.int64), n.sum()) for i, c in zip(group["items"], group["counts"])]
+            root = list(range(int(component.max()) + 1))
+            tid, out = group["tid"].to_numpy(), []
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            main = np.bincount(component).argmax()
+            for i in np.flatnonzero(component != main).tolist():
                 agree = (sketch == sketch[i]).sum(axis=1)
-                ok = (agree >= threshold) & (component != component[i])
+                # Two nodes outside the largest component are met once.
+                ok = (agree >= threshold) & (component != component[i]) & ((component == main) | (np.arange(len(group)) < i))
                 if crossed:
                     ok &= block != block[i]
-                out += [(i, j, agree[j]) for j in np.flatnonzero(ok).tolist()]
-            if not every:
-                best: dict[tuple[int, int], tuple] = {}
-                for i, j, n in out:
-                    pair = (min(component[i], component[j]), max(component[i], component[j]))
-                    best[pair] = max(best.get(pair, (0, 0, 0)), (n, i, j))
-                out = [(i, j, n) for n, i, j in best.values()]
-            tid = group["tid"].to_numpy()
-            yield pd.DataFrame([(max(tid[i], tid[j]), min(tid[i], tid[j])) for i, j, _ in out], columns=["a", "b"])
+                near = np.flatnonzero(ok)
+                for j in near[np.argsort(-agree[near], kind="stable")].tolist():
+                    x, y = top(component[i]), top(component[j])
+                    if x != y and _jaccard(bags[i], bags[j]) >= similarity - 1e-12:
+                        root[x] = y
+                        out.append((tid[i], tid[j]))
+            yield pd.DataFrame(out, columns=["a", "b"])
     return run
 
 
@@ -154,9 +170,7 @@ def _verify(similarity: float):
                 if h == tid:
                     hub = (h, items, counts, counts.sum())
                     continue
-                _, i, j = np.intersect1d(hub[1], items, assume_unique=True, return_indices=True)
-                shared = np.minimum(hub[2][i], counts[j]).sum()
-                if shared >= similarity * (hub[3] + counts.sum() - shared) - 1e-9:
+                if _jaccard(hub[1:], (items, counts, counts.sum())) >= similarity - 1e-12:
                     out.append((tid, hub[0]))
             yield pd.DataFrame(out, columns=["a", "b"])
     return run
@@ -185,9 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Equal texts are one node. Pairs of buckets of at most `small` nodes are all verified. In a larger bucket every
     node is verified against the one that shares most buckets, so a large group of copies costs one comparison a
     member. Where a bucket then still holds several components, sketches of the signatures (one byte each) are
-    compared across them inside tasks, in blocks of bounded size; pairs that agree in a share of `agree` or more,
-    which a pair at 0.8 misses with probability 3e-6, are verified: first the best pair for each two components,
-    then, of what is still apart, all of them.
+    compared across them inside tasks, in blocks of bounded size, and pairs that agree in a share of `agree` or
+    more, which a pair at 0.8 misses with probability 3e-6, are verified there. Only links leave a task.
 
     Texts shorter than five words are one run of all their words. Null texts and those without a word stand
     alone. Equal rows are in one class and are both kept here. An empty table gives no row; columns other than
@@ -210,26 +223,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     stars = many.select("bucket", "tid").join(hubs, "bucket").filter("tid != h.tid").select(F.col("tid").alias("a"), F.col("h.tid").alias("b"))
     tested = cut_lineage(pairs.union(stars).distinct())
     links = cut_lineage(verified(tested, bags, similarity, hub_rows))
-    sketches = signed.select("tid", "sketch").groupBy("tid").agg(F.first("sketch").alias("sketch"))
-    for every in (False, True):
-        groups = components(links).withColumnRenamed("node", "tid")
-        state = many.select("bucket", "tid", "n").join(groups, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
-        # A bucket is open while its nodes are in more than one component.
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-        state = cut_lineage(state.join(mixed, "bucket"))
-        if state.isEmpty():
-            break
+    groups = components(links).withColumnRenamed("node", "tid")
+    state = many.select("bucket", "tid", "n").join(groups, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
+    # A bucket is open while its nodes are in more than one component.
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
+    state = cut_lineage(state.join(mixed, "bucket"))
+    if not state.isEmpty():
+        sketches = signed.select("tid", "sketch").groupBy("tid").agg(F.first("sketch").alias("sketch"))
         blocks = F.ceil(F.col("n") / block)
-        state = state.join(sketches, "tid").withColumn("block", F.pmod(F.xxhash64("tid"), blocks))
-        state = state.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        state = state.withColumn("block", F.pmod(F.xxhash64("tid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         state = state.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("task", F.xxhash64("bucket", "low", "high"))
-        state = state.select("task", "tid", "sketch", "component", "block", "low", "high").repartition("task").sortWithinPartitions("task")
-        more = state.mapInPandas(_alike(round(agree * bands * rows), every), "a binary, b binary").distinct()
-        more = cut_lineage(more.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        tested = tested.union(more)
-        links = links.union(cut_lineage(verified(more, bags, similarity, hub_rows)))
+        state = state.join(sketches, "tid").join(bags, "tid").select("task", "tid", "sketch", "items", "counts", "component", "block", "low", "high")
+        state = state.repartition("task").sortWithinPartitions("task")
+        links = links.union(cut_lineage(state.mapInPandas(_join_up(round(agree * bands * rows), similarity), "a binary, b binary").distinct()))
     groups = components(links).withColumnRenamed("node", "tid")
     place = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id"), F.col("tid"), F.col(KEY))
     # A text without words is a node of its own row.
