@@ -199,6 +199,10 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 held, size = [], 0
                 first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]))
                 sizes = np.diff(np.concatenate([first, [len(term)]]))
+                enough = np.repeat(sizes >= items.need.min(), sizes)
+                owner, where, term = owner[enough], where[enough], term[enough]
+                sizes = sizes[sizes >= items.need.min()]
+                first = np.cumsum(sizes) - sizes
                 # Only windows that share enough terms with one item are worth projecting.
                 holder, start, count = items.holders
                 window = np.repeat(np.arange(len(first)), sizes)

@@ -13,6 +13,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# What a byte adds to the polynomial: never 0, so leading bytes count.
+VALUE = LOWER.astype(np.uint64) + np.uint64(1)
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -38,14 +40,18 @@ def word_hashes(raw: bytes, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.nd
 
     A hash is the polynomial of the word's bytes, taken from running sums over the text, and its length.
     """
-    data = LOWER[np.frombuffer(raw, np.uint8)]
-    gap = np.concatenate([[True], gaps[data], [True]])
+    data = np.frombuffer(raw, np.uint8)
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = gaps[data]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
     power, inverse = powers(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])])
+    total = np.zeros(len(data) + 1, np.uint64)
+    terms = VALUE[data]
+    terms *= power[:len(data)]
+    np.cumsum(terms, out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
