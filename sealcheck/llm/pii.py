@@ -18,9 +18,8 @@ BASE = {
 GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}+"
-CONTEXT = 80
 DISCLOSURE = 0.8
-SUPPORT = 3
+SUPPORT = 1
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
@@ -58,27 +57,66 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.coalesce(found, F.array().cast(SPAN))
 
 
-def _near(text: Column, span: Column, context: int) -> Column:
-    """Whole words within `context` characters of a span, placed in the text."""
-    low = F.greatest(span["s"] - context, F.lit(0))
-    left = F.substring(text, low + 1, span["s"] - low)
-    right = F.substring(text, span["e"] + 1, F.lit(context))
-    before = F.filter(located(left, TERM, "term"), lambda t: (low == 0) | (t["s"] > 0))
-    after = F.filter(located(right, TERM, "term"), lambda t: (F.length(right) < context) | (t["e"] < context))
+def _words(text: Column) -> Column:
+    """The different words of a text, letters lowered."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    def shift(terms: Column, by: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(t["kind"], (t["s"] + by).alias("s"), (t["e"] + by).alias("e"), F.lower(t["v"]).alias("v")))
-    return F.concat(shift(before, low), shift(after, span["e"]))
 
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a blank in place of its base spans."""
+    order = F.array_sort(base, lambda a, b: a["s"] - b["s"])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(
+        a["out"], F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.lit(" ")).alias("out"))
+    return F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def _marked(text: Column, terms: Column, base: Column) -> Column:
+    """Every place in the text where one of `terms` is a whole word clear of the base spans."""
+    steps = F.zip_with(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-def find_personal_data(docs: DataFrame, context: int = CONTEXT, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    def step(a: Column, x: Column) -> Column:
+        s, e = a["at"] + x["g"], a["at"] + x["g"] + F.length(x["h"])
+        hit = F.array_contains(terms, F.lower(x["h"])) & ~F.exists(base, lambda b: (b["s"] < e) & (s < b["e"]))
+        span = F.struct(F.lit("term").alias("kind"), s.alias("s"), e.alias("e"), F.lower(x["h"]).alias("v"))
+        return F.struct(e.alias("at"), F.when(hit, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    return F.aggregate(F.filter(steps, lambda x: x["h"].isNotNull()), start, step, lambda a: a["out"])
+
+
+def revealing_terms(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(term): what reveals some entity, from rows of text_id, text, base and entities; see find_personal_data."""
+    total = rows.count()
+    words = F.explode(_words(F.col("text"))).alias("term")
+    terms = rows.select(words).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # Copies of a text are one row with their number.
+    copies = rows.filter(F.size("entities") > 0).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.first(
+        F.struct("text", "base", "entities")).alias("x")).select("text_id", "n", "x.*")
+    copies = cut_lineage(copies.select("text_id", "n", "entities", _words(_outside(F.col("text"), F.col("base"))).alias("words")))
+    named = copies.select("text_id", "n", F.explode("entities").alias("entity"))
+    counted = named.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    # Entities of one text only have equal counts with all its terms: one stands for them.
+    lone = F.when(F.col("texts") == 1, F.concat(F.lit("="), "text_id")).otherwise(F.col("entity"))
+    named = named.select("text_id", "entity").join(counted, "entity").groupBy("text_id").agg(F.collect_set(F.struct(lone.alias("entity"), "n_e")).alias("held"))
+    # No pair can be stronger than one whose entity never stands without the term.
+    hopeful = F.filter("held", lambda h: F.log2((total + 1) / (F.col("n_t") + 1)) >= disclosure * F.log2(total / h["n_e"]))
+    pairs = (copies.select("text_id", "n", F.explode("words").alias("term")).join(terms, "term").join(named, "text_id")
+             .select("term", "n_t", "n", F.explode(hopeful).alias("h")))
+    joint = pairs.groupBy("term", "h.entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts"), F.first("n_t").alias("n_t"), F.first("h.n_e").alias("n_e"))
+    pmi = F.log2((F.col("n_te") + F.col("n_e") / total) * total / ((F.col("n_t") + 1) * F.col("n_e")))
+    return joint.filter((F.col("n_e") < total) & (F.col("texts") >= support) & (pmi >= disclosure * F.log2(total / F.col("n_e")))).select("term").distinct()
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """One row per document: doc_id, base and terms, arrays of (kind, s, e, v) with code point places, end exclusive.
 
     Base spans are the four kinds of the contract. A protected entity is the value of a base span (letters
-    lowered, else digits only). The corpus tells how strongly a term near an entity reveals it: with rows counted,
-    PMI = log2(n(t,e) N / (n(t) n(e))) against the information content IC = -log2(n(e) / N). A term within
-    `context` characters of an entity is a span of kind `term` if PMI >= disclosure * IC and the pair stands in
-    at least `support` different texts. n(t) counts the documents that hold the term anywhere.
+    lowered, else digits only). The corpus tells how strongly a term of the texts that hold an entity reveals it: with
+    rows counted, PMI = log2(P(e|t) / P(e)) against the information content IC = -log2 P(e), P(e) = n(e) / N. One
+    observation at P(e) is added to those of the term, P(e|t) = (n(t,e) + P(e)) / (n(t) + 1), so that a single
+    meeting weighs less than many, and still decides when it says enough. A term reveals an entity if
+    PMI >= disclosure * IC; `support` can ask for more different texts that hold both. Every occurrence of a term
+    that reveals some entity is a span of kind `term`, in all documents. A term is counted once in a row.
 
     Null text is empty and has no span. Equal rows each get their spans. An empty table gives no row. A term that
     touches a base span is part of it and left out. Columns other than doc_id and text are ignored.
@@ -87,29 +125,11 @@ def find_personal_data(docs: DataFrame, context: int = CONTEXT, disclosure: floa
     rows = docs.select("doc_id", text.alias("text"), row_key("doc_id", "text").alias(KEY), F.md5(text).alias("text_id"))
     rows = rows.withColumn("base", F.concat(*[base_spans(F.col("text"), k) for k in BASE]))
     entity = lambda x: F.concat(x["kind"], F.lit(":"), F.when(x["kind"] == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", "")))
-    clear = lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-    near = F.when(F.size("base") > 0, F.transform("base", lambda b: F.struct(
-        entity(b).alias("entity"), F.filter(_near(F.col("text"), b, context), clear).alias("terms"))))
-    rows = cut_lineage(rows.select("doc_id", KEY, "text_id", "base", near.alias("near")))
-
-    pairs = rows.select(KEY, F.explode("near").alias("n")).select(KEY, "n.entity", F.explode("n.terms").alias("t"))
-    pairs = pairs.select(KEY, "entity", F.col("t.v").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    held = F.array_distinct(F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(t["v"].alias("term"), n["entity"].alias("entity"))))))
-    texts = rows.select("text_id", F.explode(held).alias("p")).groupBy("p.term", "p.entity", "text_id").agg(F.count(F.lit(1)).alias("n"))
-    joint = texts.groupBy("term", "entity").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    entities = (rows.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.count()
-    pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    strong = (joint.join(terms, "term").join(entities, "entity")
-              .filter(pmi >= disclosure * -F.log2(F.col("n_e") / total)).select("term", "entity"))
-    spans = (pairs.join(strong, ["term", "entity"], "left_semi").select(KEY, F.lit("term").alias("kind"), "s", "e", F.col("term").alias("v")).distinct()
-             .groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind", "v"))).alias("found")))
-    found = F.transform(F.coalesce("found", F.array().cast("array<struct<s:int,e:int,kind:string,v:string>>")),
-                        lambda t: F.struct(t["kind"], t["s"], t["e"], t["v"]))
-    return rows.join(spans, KEY, "left").select("doc_id", KEY, "base", found.alias("terms"))
+    rows = cut_lineage(rows.withColumn("entities", F.array_distinct(F.transform("base", entity))))
+    strong = cut_lineage(revealing_terms(rows, disclosure, support))
+    held = rows.select(KEY, F.explode(_words(F.col("text"))).alias("term")).join(strong, "term").groupBy(KEY).agg(F.collect_set("term").alias("held"))
+    found = F.when(F.col("held").isNull(), F.array().cast(SPAN)).otherwise(_marked(F.col("text"), F.col("held"), F.col("base")))
+    return rows.join(held, KEY, "left").select("doc_id", KEY, "base", found.alias("terms"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:

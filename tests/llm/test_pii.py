@@ -47,6 +47,17 @@ def test_revealing_terms(spark):
     assert not any(r["terms"] for r in pii.find_personal_data(documents(spark, rows), support=4).collect())
 
 
+def test_terms_of_rare_entities_far_away_and_elsewhere(spark):
+    # One address in one text; the word that gives it away stands far from it, twice, and once more in another text.
+    filler = "the usual words come here again " * 20
+    rows = [(0, f"Quixote {filler} write to q@corp.example {filler} quixote"), (1, f"{filler} again Quixote {filler}")]
+    rows += [(i, f"{filler} write to x{i % 40}@other.example") for i in range(10, 610)]
+    found = {r["doc_id"]: r["terms"] for r in pii.find_personal_data(documents(spark, rows)).collect()}
+    places = {d: [(m.start(), m.end()) for m in re.finditer("quixote", t.lower())] for d, t in rows}
+    assert len(places[0]) == 2 and len(places[1]) == 1
+    assert {d: [(t["s"], t["e"]) for t in ts] for d, ts in found.items()} == places
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     assert sorted(map(repr, spans(pii.find_personal_data(docs)))) == sorted(repr((r["doc_id"], base(r["text"]))) for r in docs.collect())
