@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -37,6 +38,23 @@ def test_schedule_keeps_all_blocks_and_the_weights(spark):
         assert all(abs(seen[s] - weights[s] / total * (t + 1)) < 1 + 2e-3 * (t + 1) for s in weights)
 
 
+@pytest.mark.parametrize("weights", [[0.9995, 0.0005], [1, 1, 1], [n ** 0.5 for n in (71, 13, 900, 4, 4, 57, 310, 2)], [0.61, 0.2, 0.13, 0.05, 0.01], [3e-9, 1, 7]])
+def test_deviation_from_the_target_below_one_block_over_many_periods(weights):
+    first = 20_000
+    total = sum(Fraction(w) for w in weights)
+    share = [Fraction(w) / total for w in weights]
+    sizes = [int(first * x) + 1 for x in share]
+    given, seen = [0] * len(weights), set()
+    for source, block, release, slot, deadline in mixing.schedule(sizes, weights):
+        assert block == given[source] and release <= slot < deadline and slot == len(seen)
+        seen.add((source, block))
+        given[source] += 1
+        if slot + 1 <= first:
+            assert release == block / share[source] // 1 and deadline == -(-(block + 1) / share[source] // 1) or given[source] == sizes[source]
+            assert all(abs(g - x * (slot + 1)) < 1 for g, x in zip(given, share))
+    assert given == sizes
+
+
 def test_weights_left_out_and_zero(spark):
     docs = spark.createDataFrame([(i, "x", "a" if i % 3 else "b") for i in range(90)], "doc_id long, text string, source string")
     got = mixing.mix(docs, {"a": 1.0}, block_rows=1).orderBy("mix_position").collect()
