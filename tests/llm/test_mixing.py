@@ -55,6 +55,13 @@ def test_deviation_from_the_target_below_one_block_over_many_periods(weights):
     assert given == sizes
 
 
+def test_more_sources_than_the_old_limit(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"host{i % 2100}") for i in range(4300)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4300)) and sorted(r["mix_slot"] for r in got) == list(range(4300))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+
+
 def test_weights_left_out_and_zero(spark):
     docs = spark.createDataFrame([(i, "x", "a" if i % 3 else "b") for i in range(90)], "doc_id long, text string, source string")
     got = mixing.mix(docs, {"a": 1.0}, block_rows=1).orderBy("mix_position").collect()
