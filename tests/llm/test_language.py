@@ -57,3 +57,19 @@ def test_one_class_ties_and_no_labels(spark):
     assert {r["lang_pred"] for r in language.predict_languages(docs).collect()} == {"und"}
     one = docs.withColumn("lang", F.lit("zz"))
     assert {r["lang_pred"] for r in language.predict_languages(one).collect()} == {"zz"}
+
+
+def test_scripts_with_many_letters_and_more_than_64_languages(spark):
+    # Latin with accents and Cyrillic alone have more than 62 letters; each other script comes on top.
+    alphabets = {"la": "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçñ", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω",
+                 "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "he": "אבגדהוזחטיכלמנסעפצקרשת", "zh": "".join(map(chr, range(0x4e00, 0x4f00))),
+                 "ja": "".join(map(chr, range(0x3042, 0x3090))), "ko": "".join(map(chr, range(0xac00, 0xad00)))}
+    alphabets |= {f"x{i:02d}": "".join(map(chr, range(0x13000 + 12 * i, 0x13000 + 12 * i + 12))) for i in range(70)}
+    rows = [(1000 * i + k, prose(1000 * i + k, 25, letters), lang) for i, (lang, letters) in enumerate(alphabets.items()) for k in range(60 if i < 2 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = language.predict_languages(docs).collect()
+    assert len(told) == len(rows) and all(r["lang_pred"] == r["lang"] and r["lang_evidence"] for r in told)
+    assert language.keep_identified(docs).count() == len(rows)
+    # A script that no row is labelled with stays unknown.
+    other = spark.createDataFrame([(-1, prose(5, 25, "აბგდევზთიკლმ"), None)], docs.schema)
+    assert language.keep_identified(docs.union(other)).count() == len(rows)
