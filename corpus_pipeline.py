@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that near-duplicate an earlier one, and documents that have no other line."""
+    """Drops lines that near-duplicate an earlier one, short ones that repeat one, and documents that have no other line."""
     configure(spark)
-    return dedup_lines(docs)
+    return dedup_lines(docs, min_chars=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,17 +343,19 @@ def near_lines(docs: DataFrame, min_chars: int = CHARS_PER_EDIT, **options) -> D
     """One row per line of at least `min_chars` characters: row key, doc_id, line_no (from 0), class_doc, class_line, n_links, kept.
 
     Lines are what newlines separate. Different lines link if their edit distance is at most one per ten
-    characters of the shorter, two at most; classes are what links connect. The class is named after its first
+    characters of the shorter, two at most; classes are what links connect. Lines under ten characters allow no edit:
+    with `min_chars` below ten, equal ones are a class without any join, and blank ones are layout and have no row. The class is named after its first
     line, by doc_id (null last) and line number; kept says that a line is that one. n_links counts the different
     lines linked. Null text has no line; equal rows have the same lines, which are kept in each of them. An empty
     table gives no row; columns other than doc_id and text are ignored.
     """
     rows = docs.select(row_key("doc_id", "text").alias(KEY), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.filter(F.length("line") >= min_chars)
+    per = options.get("per", CHARS_PER_EDIT)
+    rows = rows.filter((F.length("line") >= min_chars) & ((F.length("line") >= per) | F.col("line").rlike(r"\S")))
     place = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id"), F.col("line_no"))
     lines = cut_lineage(rows.groupBy("line").agg(F.min(place).alias("first")).select(
         F.monotonically_increasing_id().alias("line_id"), "line", "first"))
-    links = edit_join(lines.select("line_id", "line"), **options)
+    links = edit_join(lines.filter(F.length("line") >= per).select("line_id", "line"), **options)
     groups = components(links.select(F.col("line_id").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "line_id")
     groups = cut_lineage(groups.join(lines.select("line_id", "first"), "line_id"))
     named = groups.join(groups.groupBy("component").agg(F.min("first").alias("class")), "component").select("line_id", "class")

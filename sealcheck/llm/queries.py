@@ -32,7 +32,7 @@ def op1_language_id(documents):
 
 @query("documents")
 def op2_line_dedup(documents):
-    return lines.near_lines(documents).select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept")
+    return lines.near_lines(documents, min_chars=1).select("doc_id", "line_no", "class_doc", "class_line", "n_links", "kept")
 
 
 @query("documents")

@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from sealcheck.llm import lines
+from sealcheck.llm.queries import QUERIES
 from tests.llm.cases import awkward, documents, empty, prose
 
 
@@ -75,6 +77,17 @@ def test_classes_and_texts(spark):
     assert left == {1: f"{b}\n\nshort", 2: "short\nAn own line which stays here.", 5: "short", 6: "Other text of enough length"}
 
 
+def test_short_lines_repeat_exactly(spark, tmp_path):
+    rows = [(1, "Share\nA line with a text of its own.\n\nx"), (2, "Share\n \n\nAnother text which stands here only."), (3, "Share"), (4, "Shore\nx")]
+    docs = documents(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["kept"]) for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (1, 0, 0, True), (1, 1): (1, 1, 0, True), (1, 3): (1, 3, 0, True), (2, 0): (1, 0, 0, False), (2, 3): (2, 3, 0, True),
+                   (3, 0): (1, 0, 0, False), (4, 0): (4, 0, 0, True), (4, 1): (1, 3, 0, False)}
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left == {1: rows[0][1], 2: " \n\nAnother text which stands here only.", 4: "Shore"}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     got = lines.dedup_lines(docs)
