@@ -20,6 +20,7 @@ IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 TERM = r"\p{L}{3,}+"
 DISCLOSURE = 0.8
 SUPPORT = 1
+SIEVE = 1 << 17
 SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
 
 
@@ -107,6 +108,19 @@ def revealing_terms(rows: DataFrame, disclosure: float, support: int) -> DataFra
     return joint.filter((F.col("n_e") < total) & (F.col("texts") >= support) & (pmi >= disclosure * F.log2(total / F.col("n_e")))).select("term").distinct()
 
 
+def _sieve(terms: DataFrame) -> Column:
+    """Whether the hash of `term` is one of those of `terms`, told by a table of bits of fixed size.
+
+    Words of other hashes need not travel; those that stay are joined with the terms themselves.
+    """
+    place = F.pmod(F.xxhash64("term"), F.lit(64 * SIEVE))
+    word, bit = F.floor(place / 64).cast("int"), (place % 64).cast("int")
+    found = terms.groupBy(word.cast("long").alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    every = terms.sparkSession.range(SIEVE).join(found, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bits = cut_lineage(every.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("bits")))
+    return F.call_function("shiftright", F.get(bits.scalar(), word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """One row per document: doc_id, base and terms, arrays of (kind, s, e, v) with code point places, end exclusive.
 
@@ -127,7 +141,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     entity = lambda x: F.concat(x["kind"], F.lit(":"), F.when(x["kind"] == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", "")))
     rows = cut_lineage(rows.withColumn("entities", F.array_distinct(F.transform("base", entity))))
     strong = cut_lineage(revealing_terms(rows, disclosure, support))
-    held = rows.select(KEY, F.explode(_words(F.col("text"))).alias("term")).join(strong, "term").groupBy(KEY).agg(F.collect_set("term").alias("held"))
+    held = rows.select(KEY, F.explode(_words(F.col("text"))).alias("term")).filter(_sieve(strong)).join(strong, "term").groupBy(KEY).agg(F.collect_set("term").alias("held"))
     found = F.when(F.col("held").isNull(), F.array().cast(SPAN)).otherwise(_marked(F.col("text"), F.col("held"), F.col("base")))
     return rows.join(held, KEY, "left").select("doc_id", KEY, "base", found.alias("terms"))
 
