@@ -84,6 +84,17 @@ def _found(words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return place, at[place]
 
 
+def _certain(words: np.ndarray, terms: np.ndarray, passage: int) -> int:
+    """How many terms of an item stand together in some window of a text, wherever in the text a copy of the item begins."""
+    place, term = _found(words, terms)
+    step, least = passage // 2, len(words)
+    for offset in range(step):
+        window = (place + offset) // step
+        pair = np.unique(np.concatenate([window, window - 1]) * len(terms) + np.concatenate([term, term]))
+        least = min(least, int(np.unique(pair // len(terms), return_counts=True)[1].max(initial=0)))
+    return least
+
+
 def _sums(values: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Sums of rows over equal neighbouring groups."""
     return np.add.reduceat(values, np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])), axis=0)
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK, extra: int = EXTRA, pas
     # Which items hold a term: all holders term by term, where each term's begin, and how many they are.
     size = (own > 0).sum(axis=0)
     items.holders = (np.nonzero(own.T)[1], np.cumsum(size) - size, size)
-    items.need = np.minimum(MIN_TERMS, (own > 0).sum(axis=1))
+    items.need = np.clip([_certain(w, items.terms, passage) // 2 for w in items.words], 1, MIN_TERMS)
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     # Without a given answer, the rarest third of an item's terms stands for it.
     items.keys = [a if len(a) else items.terms[np.flatnonzero(r)[np.argsort(-idf[np.flatnonzero(r)], kind="stable")][:max(1, int(r.sum()) // 3)]]
@@ -209,9 +220,15 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 times = count[term]
                 item = holder[np.repeat(start[term] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))]
                 pair, shared = np.unique(np.repeat(window, times) * len(items.ids) + item, return_counts=True)
-                some = np.unique(pair[shared >= items.need[pair % len(items.ids)]] // len(items.ids))
+                pair = pair[shared >= items.need[pair % len(items.ids)]]
+                some = np.unique(pair // len(items.ids))
                 if not len(some):
                     return
+                # Items that are sure of few terms cannot be told by their cosine: the subsequence alone decides.
+                few = pair[items.need[pair % len(items.ids)] < MIN_TERMS]
+                at = first[few // len(items.ids)]
+                for d, w, i in zip(owner[at].tolist(), where[at].tolist(), (few % len(items.ids)).tolist()):
+                    near.setdefault((d, i), []).append(w)
                 keep = np.zeros(len(first), bool)
                 keep[some] = True
                 rows = _sums(items.vectors[term[keep[window]]], window[keep[window]])
@@ -243,6 +260,8 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 for w in sorted(set(windows)):
                     low, high = max(0, w * step - len(wanted)), w * step + passage + len(wanted)
                     region = words[low:high]
+                    if np.isin(region, wanted).sum() < paraphrase * len(wanted):
+                        continue
                     share = common_subsequence(wanted, region) / len(wanted)
                     if share > best[0] and (share >= verbatim or share >= paraphrase and 2 * np.isin(items.keys[item], region).sum() >= len(items.keys[item])):
                         best = (share, low, min(high, len(words)))
@@ -256,9 +275,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, passage: int = PASSAGE, ra
                verbatim: float = VERBATIM, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and benchmark item found in it: row key, doc_id, item_id, share, first_word, last_word.
 
-    Documents are cut into overlapping windows of 32 words; windows that share three terms with some item (all, if it
-    has fewer) are projected into the latent space of `fit` and compared with every item by cosine. Where it reaches `cosine`,
-    share is the longest common subsequence of the item's words and those around the window, over the item's
+    Documents are cut into overlapping windows of 32 words; windows that share enough terms with some item (half of
+    what a copy of it is sure to have in one window, one at least and three at most) are projected into the latent space of `fit` and compared with every item by cosine. Where it reaches `cosine`, and for every
+    item of which fewer than three terms are asked, share is the longest common subsequence of the item's words and those around the window, over the item's
     length. The item is found if share is at least `verbatim`, or at least `paraphrase` and half the answer's
     words stand there too (the item's rarest terms if the benchmark has no column `answer`).
 

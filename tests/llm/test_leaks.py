@@ -59,6 +59,22 @@ def test_answers_decide_paraphrases(spark):
     assert [r["doc_id"] for r in leaks.find_leaks(docs, benchmark).collect()] == [1]
 
 
+def test_templated_items_at_every_offset(spark):
+    # A template with three slots spread over 26 words; what tells an item are its slots.
+    template = prose(40, 26).split()
+
+    def item(i, changed=None):
+        words = list(template)
+        for k, at in enumerate((0, 10, 25)):
+            words[at] = f"slot{k}x{'other' if k == changed else ''}{i}"
+        return " ".join(words)
+
+    benchmark = spark.createDataFrame([(i, item(i)) for i in range(200)], "item_id long, text string")
+    rows = [(100 * c + o, f"{prose(1000 + 100 * c + o, 60 + o)} {item(o, c - 1 if c else None)} {prose(3000 + 100 * c + o, 60)}") for c in range(4) for o in range(16)]
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(documents(spark, rows), benchmark).collect()}
+    assert {(d, d % 100) for d, _ in rows} <= found
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     same = docs.filter("doc_id = 6").first()["text"]
