@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sealcheck.session import cut_lineage
 
@@ -51,6 +51,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select("b", "b")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
+def running(frame: DataFrame, group: list[str], order: list[str], sums: dict[str, str] | None = None, xors: dict[str, str] | None = None) -> DataFrame:
+    """Running totals along `order` inside each group, the row itself included, also when one group spans many tasks.
+
+    `sums` and `xors` name new columns and the column each adds up, or combines by exclusive or. Rows are dealt to ranges
+    over group and order together, so a hot group takes as many ranges as it needs; what it holds in earlier ranges is
+    added to each row. At most one group crosses each border, so these shifts are at most twice as many as ranges.
+    Rows that are equal in group and order may stand in any order among themselves.
+    """
+    wanted = [(new, old, F.sum, lambda a, b: a + b) for new, old in (sums or {}).items()]
+    wanted += [(new, old, F.bit_xor, lambda a, b: a.bitwiseXOR(b)) for new, old in (xors or {}).items()]
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(frame.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*group, "_range").agg(*[total(old).alias(new) for new, old, total, _ in wanted])
+    shifts = parts.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("_range").alias("_at"), *[total(new).over(before).alias(f"_{new}") for new, _, total, _ in wanted])
+    shifts = shifts.filter(" OR ".join(f"_{new} IS NOT NULL" for new, *_ in wanted))
+    out = placed.select("*", *[total(old).over(inside).alias(new) for new, old, total, _ in wanted])
+    same = F.col("_range") == F.col("_at")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = out.join(F.broadcast(shifts), same, "left")
+    return out.select(*frame.columns, *[join(F.col(new), F.coalesce(f"_{new}", F.lit(0))).alias(new) for new, _, _, join in wanted])
+
+
 def by_group(batches, key: str, columns: list[str]):
     """Whole groups of rows that come sorted by `key`, one frame per group, whatever the batches cut."""
     held = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, pii, suffix, vectors, warc
+from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, pii, suffix, threads, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -99,3 +99,30 @@ def op5_warc_fixity(pages):
         F.col("page_id").alias("position"), F.when(damage == "0b", F.regexp_replace(record, "\r\n\r\n\\z", "!\r\n\r\n")).otherwise(record).alias("record"))
     found = warc.fixity_audit(pages.select(F.col("page_id").alias("position"), record.alias("record")), replica)
     return found.withColumnRenamed("position", "page_id")
+
+
+# Spark's crc32, bit by bit over the digits of a number.
+CRC = ("xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda s, c: "
+       "list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295::BIGINT)")
+
+
+@query("conversations", f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ numbered AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS p,
+  struct_pack(role := role, text := text) AS said FROM said),
+ convs AS (SELECT conv_id, {CRC.format('conv_id')} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM said)),
+ parts AS (SELECT c.conv_id, 0 AS own, p, said FROM convs c JOIN numbered n ON n.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, said FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND p > h),
+ built AS (SELECT c.conv_id, coalesce(list(said ORDER BY own, p) FILTER (p IS NOT NULL), []) AS path FROM convs c LEFT JOIN parts USING (conv_id) GROUP BY c.conv_id),
+ opened AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM built),
+ nodes AS (SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends FROM opened GROUP BY ALL),
+ valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+  CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(node[depth].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL) c USING (node)),
+ below AS (SELECT node[1:d] AS node, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM valued) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN below USING (node) LEFT JOIN nodes p ON v.depth > 0 AND p.node = v.node[1:v.depth - 1]""")
+def op11_prefix_trie(conversations):
+    return threads.prefix_tree(threads.regraft(threads.turns(conversations))).drop("turn_id")
