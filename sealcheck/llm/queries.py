@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, pii, suffix, threads, vectors, warc
+from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, phrases, pii, suffix, threads, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -126,3 +126,32 @@ SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
 FROM valued v JOIN below USING (node) LEFT JOIN nodes p ON v.depth > 0 AND p.node = v.node[1:v.depth - 1]""")
 def op11_prefix_trie(conversations):
     return threads.prefix_tree(threads.regraft(threads.turns(conversations))).drop("turn_id")
+
+
+@query("documents", """
+WITH RECURSIVE pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+ places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+ grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS gram, count(*) AS f FROM places, range(1, 4) AS s(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+ words AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+ often AS (SELECT *, string_split(gram, ' ') AS w FROM grams WHERE f >= 10),
+ cuts AS (SELECT c.lang, c.gram, c.k, c.f AS a, x.k AS cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM often c JOIN often x ON c.lang = x.lang AND x.k < c.k AND x.gram = array_to_string(c.w[1:x.k], ' ')
+  JOIN often y ON c.lang = y.lang AND y.k = c.k - x.k AND y.gram = array_to_string(c.w[x.k + 1:], ' ') WHERE c.k > 1),
+ beside AS (SELECT lang, array_to_string(w[1:2], ' ') AS gram, f, TRUE AS out FROM often WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f, FALSE FROM often WHERE k = 3),
+ near AS (SELECT lang, gram, max(f) FILTER (out) AS most_out, max(f) FILTER (NOT out) AS most_in FROM beside GROUP BY ALL),
+ best AS (SELECT DISTINCT ON (lang, gram) c.* FROM cuts c LEFT JOIN near USING (lang, gram)
+  WHERE k = 3 OR 50 * a > 100 * coalesce(greatest(most_out, most_in), 0) ORDER BY score, cut),
+ links AS (SELECT x.lang, x.gram AS "from", y.gram AS "to" FROM often x JOIN often y ON x.k = 3 AND y.k = 3 AND x.lang = y.lang AND x.w[2:3] = y.w[1:2]
+  JOIN often m ON m.k = 2 AND m.lang = x.lang AND m.w = x.w[2:3] AND m.f = x.f AND m.f = y.f),
+ walk AS (SELECT lang, gram AS origin, gram AS ahead, gram AS behind FROM often WHERE k = 3
+  UNION ALL SELECT w.lang, origin, a."to", b."from" FROM walk w LEFT JOIN links a ON a.lang = w.lang AND a."from" = w.ahead LEFT JOIN links b ON b.lang = w.lang AND b."to" = w.behind
+  WHERE a."to" IS NOT NULL OR b."from" IS NOT NULL),
+ path AS (SELECT lang, origin AS gram, count(ahead) + count(behind) + 1 AS path_words FROM walk GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM best)
+SELECT lang, rank, gram AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score, coalesce(path_words, k) AS path_words
+FROM ranked JOIN words USING (lang) LEFT JOIN path USING (lang, gram) WHERE rank <= 2000""")
+def op12_phrases(documents):
+    return phrases.mine_phrases(documents)
