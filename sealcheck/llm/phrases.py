@@ -7,14 +7,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sealcheck.session import cut_lineage
 
 LONGEST = 3
 MIN_COUNT = 10
 KEEP = 2000
-HELD = 400_000
+HELD = 1_000_000
+# Words and nodes above this share of a sample of so many texts are dealt out in parts. The sample moves rows, never a result.
+HOT_SHARE = 1 / 5000
+SAMPLE = 2000
+ROUTES = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
@@ -51,6 +55,19 @@ def _grams(longest: int, held: int):
     return run
 
 
+def _hot(texts: DataFrame, longest: int) -> list[list[str]]:
+    """Words and, if grams are longer, pairs that hold more than HOT_SHARE of a sample of texts: 1 / HOT_SHARE of each at most."""
+    rows = texts.count()
+    some = texts.sample(min(1.0, SAMPLE / max(rows, 1)), seed=1).mapInArrow(_grams(longest, HELD), "lang string, gram string, n long")
+    out = []
+    for size in range(1, min(longest, 3)):
+        # Every place starts one gram, so a phrase is counted by the grams it starts.
+        starts = some.filter(F.size(F.split("gram", " ")) >= size).groupBy("lang", F.substring_index("gram", " ", size).alias("start")).agg(F.sum("n").alias("n"))
+        total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+        out.append(sorted({r.start for r in starts.withColumn("all", total).filter(F.col("n") > F.col("all") * HOT_SHARE).select("start").collect()}))
+    return out
+
+
 def phrase_counts(documents: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, held: int = HELD) -> DataFrame:
     """(lang, gram, size, n): every phrase of up to `longest` words that occurs min_count times or more, and size 0: all words.
 
@@ -63,23 +80,35 @@ def phrase_counts(documents: DataFrame, longest: int = LONGEST, min_count: int =
     once and leaves no row.
     """
     texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_grams(longest, held), "lang string, gram string, n long")
-    # Grams are combined in the tasks already, so they go straight to where equal ones meet.
-    rows = counted.repartition("lang", "gram").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.size(F.split("gram", " ")))
-    known = F.lit(False)
+    counted = texts.mapInArrow(_grams(longest, held), "lang string, gram string, n long").withColumn("size", F.size(F.split("gram", " ")))
+    # Grams are combined in the tasks already and sorted, so they go straight to where their first word is at home, and
+    # most nodes are whole there. Hot words go by node, hot nodes by gram.
+    route = F.substring_index("gram", " ", 1)
+    hot = _hot(texts, longest)
+    for size, many in enumerate(hot, 1):
+        route = F.when(F.substring_index("gram", " ", size).isin(many), F.substring_index("gram", " ", size + 1)).otherwise(route) if many else route
+    rows = counted.withColumn("route", F.pmod(F.xxhash64("lang", route), F.lit(ROUTES)).cast("int")).repartition("route")
+    rows = rows.groupBy("route", "lang", "gram", "size").agg(F.sum("n").alias("n")).withColumn("known", F.lit(False))
     for size in range(longest, 0, -1):
-        # A row of this size is final: it stays if it is frequent, and flows into the phrase without its last word.
-        here = (F.col("size") == size) & ~known
-        shorter = F.substring_index("gram", " ", size - 1) if size > 1 else F.lit("")
-        keep = F.struct("gram", "size", "n", F.lit(True).alias("known"))
-        flow = F.struct(shorter.alias("gram"), F.lit(size - 1).alias("size"), "n", F.lit(False).alias("known"))
-        rows = rows.select("lang", F.explode(F.when(here & (F.col("n") >= min_count), F.array(keep, flow)).when(here, F.array(flow))
-                                             .otherwise(F.array(F.struct("gram", "size", "n", known.alias("known"))))).alias("x"))
-        rows = rows.select("lang", "x.*").groupBy("lang", "gram", "size", "known").agg(F.sum("n").alias("n"))
-        known = F.col("known")
+        whole = ~F.col("gram").isin(hot[size - 1]) if size <= len(hot) and hot[size - 1] else F.lit(True)
+        rows = _flow(rows, size, whole, min_count, ["route", "lang"])
+    # What is left unknown are hot phrases, counted in several places.
+    rows = rows.groupBy("lang", "gram", "size", "known").agg(F.sum("n").alias("n"))
+    for size in range(longest - 1, 0, -1):
+        rows = _flow(rows, size, F.lit(True), min_count, ["lang"])
     return cut_lineage(rows.select("lang", "gram", "size", "n"))
 
 
+def _flow(rows: DataFrame, size: int, whole: Column, min_count: int, keys: list[str]) -> DataFrame:
+    """Whole counts of one size become known, if they are frequent, and flow into the phrase without its last word."""
+    here = (F.col("size") == size) & ~F.col("known") & whole
+    shorter = F.substring_index("gram", " ", size - 1) if size > 1 else F.lit("")
+    keep = F.struct("gram", "size", "n", F.lit(True).alias("known"))
+    flow = F.struct(shorter.alias("gram"), F.lit(size - 1).alias("size"), "n", F.lit(False).alias("known"))
+    split = F.when(here & (F.col("n") >= min_count), F.array(keep, flow)).when(here, F.array(flow)).otherwise(F.array(F.struct("gram", "size", "n", "known")))
+    return rows.select(*keys, F.explode(split).alias("x")).groupBy(*keys, "x.gram", "x.size", "x.known").agg(F.sum("x.n").alias("n"))
+
+
 def _drop_first(gram: str, size: int):
     return F.substring_index(gram, " ", 1 - size) if size > 1 else F.lit("")
 
