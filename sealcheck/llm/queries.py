@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sealcheck.llm import language, leaks, lines, minhash, mixing, ngrams, phrases, pii, suffix, threads, vectors, warc
+from sealcheck.llm import language, leaks, lines, minhash, mixing, nearest, ngrams, phrases, pii, suffix, threads, vectors, warc
 from sealcheck.llm.common import held_out
 from sealcheck.session import configure
 
@@ -155,3 +155,8 @@ SELECT lang, rank, gram AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score A
 FROM ranked JOIN words USING (lang) LEFT JOIN path USING (lang, gram) WHERE rank <= 2000""")
 def op12_phrases(documents):
     return phrases.mine_phrases(documents)
+
+
+@query("embeddings")
+def op13_nearest_vectors(embeddings):
+    return nearest.nearest(embeddings)
