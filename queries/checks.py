@@ -11,7 +11,7 @@ from queries.registry import coded, findings, query
 from queries.seal import COUNTED, OBSERVED, SHOWN, capability_rules
 from sealcheck import rules as R
 from sealcheck.connectors import clickup, notion
-from sealcheck.operators import checks as K
+from sealcheck.operators import checks as K, seal as S
 from sealcheck.operators.findings import union_findings
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
 from sealcheck.schemas import ENTITY_TABLES, PORTABLE_COLUMNS, portable_columns
@@ -143,6 +143,19 @@ def constraints(m):
     return K.table_constraints(damaged_tables(m))
 
 
+def sealed_digests(m, capabilities):
+    """(manifest, recomputed): the manifest holds the digests of the index and of the capabilities as they were sealed; of what is
+    read again, the index of s2 has lost its last line."""
+    last = m.index.filter("type = 'line'").agg(F.max("id").alias("last"))
+    damaged = m.index.join(F.broadcast(last), (F.col("snapshot_id") == "s2") & (F.col("type") == "line") & (F.col("id") == F.col("last")), "left_anti")
+    kept = S.capability_digest(capabilities).select("snapshot_id", F.col("digest").alias("capability_digest"))
+
+    def of(index):
+        return S.logical_digest(index).select("snapshot_id", F.col("digest").alias("logical_digest")).join(kept, "snapshot_id")
+
+    return m.manifest.drop("logical_digest", "capability_digest").join(of(m.index), "snapshot_id"), of(damaged)
+
+
 @query("f06_raw_evidence_integrity", LEDGER.replace("---\n", "") .rstrip().rstrip(",") + """,
 cap AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 's1' ELSE 's2' END AS snapshot_id, 'cap_' || p_partkey AS id, p_name AS name, p_partkey % 2 = 1 AS bad, p_partkey AS k, p_type FROM part),
 rw AS (SELECT *, CASE p_type WHEN 'SMALL' THEN 'UNKNOWN' ELSE 'AVAILABLE' END AS availability FROM cap WHERE NOT (bad AND k % 19 = 0)),
@@ -163,7 +176,6 @@ def raw_evidence(m):
                             "workspace_id": F.when(bad, "w9").otherwise("w1")})
     broken = m.both(m.landed).filter("bad AND path LIKE 'raw/page/%' AND number % 7 = 0")
     bodies = K.finding(broken, "read_evidence", "BYTES_DIFFER", "body", F.col("path"))
-    digests = m.snapshots.select("snapshot_id", F.when(bad, "sha256:x").otherwise("sha256:d").alias("logical_digest"), F.lit("sha256:c").alias("capability_digest"))
     key = F.col("p_partkey")
     declared = m.read("part").select(
         F.when(key % 2 == 0, "s1").otherwise("s2").alias("snapshot_id"), F.concat(F.lit("cap_"), text("p_partkey")).alias("id"), F.col("p_name").alias("name"),
@@ -172,7 +184,8 @@ def raw_evidence(m):
     raw = declared.filter(~(odd & (key % 19 == 0))).withColumn("availability", F.when(F.col("p_type") == "SMALL", "UNKNOWN").otherwise("AVAILABLE"))
     sealed = declared.filter(~(odd & (key % 29 == 0))).withColumns({
         "name": F.when(odd & (key % 17 == 0), "changed").otherwise(F.col("name")), "availability": F.when(odd & (key % 23 == 0), "FAILED").otherwise("AVAILABLE")})
-    return K.raw_evidence_integrity(runs, ledger, bodies, m.manifest, digests, raw, sealed)
+    manifest, digests = sealed_digests(m, raw)
+    return K.raw_evidence_integrity(runs, ledger, bodies, manifest, digests, raw, sealed)
 
 
 DOCUMENTED = "(SELECT CAST(o_orderkey AS VARCHAR) AS snapshot_id, o_orderkey AS k FROM orders) d"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from queries.checks import sealed_digests
 from queries.columns import damaged_ledger
 from queries.mapping import text
 from queries.registry import ORACLES, query
@@ -102,10 +103,12 @@ def sealed(m) -> Sealed:
     ledger, run = damaged_ledger(m)
     runs = run.withColumns({"status": F.lit("COMPLETE"), "connector": F.lit("tpch"), "workspace_id": F.lit("w1")})
     broken = m.both(m.landed).filter("bad AND path LIKE 'raw/page/%' AND number % 7 = 0")
-    digests = m.snapshots.select("snapshot_id", F.when(bad, "sha256:x").otherwise("sha256:d").alias("logical_digest"), F.lit("sha256:c").alias("capability_digest"))
+    manifest, digests = sealed_digests(m, declared)
+    stored = m.archive_metadata.join(manifest.select("snapshot_id", "logical_digest"), "snapshot_id").withColumn(
+        "value", F.when(F.col("key") == "source_snapshot_logical_digest", F.col("logical_digest")).otherwise(F.col("value"))).drop("logical_digest")
     observed = connectors.observe(declared, [c[0] for c in connectors.clickup.CAPABILITIES])
     readable = m.snapshots.select("snapshot_id", F.explode(F.array(F.lit("manifest"), F.lit("database"), F.lit("evidence"))).alias("input"), F.lit(True).alias("readable"))
-    return Sealed("clickup", m.snapshots, m.tables, m.index, m.expected, m.files, m.manifest, m.manifest_files, m.manifest_attachments, m.manifest_inventory,
+    return Sealed("clickup", m.snapshots, {**m.tables, "archive_metadata": stored}, m.index, m.expected, m.files, manifest, m.manifest_files, m.manifest_attachments, m.manifest_inventory,
                   m.manifest_observed, m.manifest_discrepancies, observed, declared, runs, ledger,
                   finding(broken, "read_evidence", "BYTES_DIFFER", "body", F.col("path")), digests, readable)
 
@@ -115,12 +118,13 @@ def parts_of(*names: str) -> str:
     return " UNION ALL ".join(f"SELECT snapshot_id, check_name, code FROM ({ORACLES[name]})" for name in names)
 
 
-WHOLE = """all_codes AS (""" + parts_of("f01_archive_structure", "f03_manifest_file_inventory", "f04_file_checksums", "f08_archive_metadata_consistency", "f09_portable_identifier_derivation",
+WHOLE = """all_codes AS (""" + parts_of("f01_archive_structure", "f03_manifest_file_inventory", "f04_file_checksums", "f09_portable_identifier_derivation",
                                        "f10_referential_integrity", "f13_attachment_integrity", "f14_custom_field_evidence", "f15_discrepancy_reconciliation",
                                        "f16_source_object_reconciliation", "f17_hierarchy_reconstruction", "f18_raw_evidence_references", "f19_count_reconciliation") + """
   UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', code FROM (""" + ORACLES["c09_ledger_contiguity"] + """)
   UNION ALL SELECT snapshot_id, 'table_constraints', 'DUPLICATE_KEY' FROM (SELECT snapshot_id FROM record_field_values GROUP BY snapshot_id, record_id, field_id HAVING count(*) > 1)
   UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', 'BYTES_DIFFER' FROM snaps WHERE bad UNION ALL SELECT snapshot_id, 'raw_evidence_integrity', 'LOGICAL_DIGEST_DIFFERS' FROM snaps WHERE bad
+  UNION ALL SELECT snapshot_id, 'archive_metadata_consistency', 'VALUE_DIFFERS' FROM manifest WHERE schema_version <> 3 OR workspace_id <> CASE WHEN bad THEN 'w2' ELSE 'w1' END
   UNION ALL SELECT snapshot_id, 'manifest_integrity', 'VERSION_UNSUPPORTED' FROM snaps WHERE bad UNION ALL SELECT snapshot_id, 'manifest_integrity', 'VERIFICATION_STATUS_MISSING' FROM snaps WHERE bad
   UNION ALL SELECT snapshot_id, c, 'UNPROVEN_X' FROM snaps, (VALUES ('source_consistency_scope'), ('access_scope_completeness'), ('limitation_preservation')) v(c)),
 lvl AS (SELECT snapshot_id, check_name, max(CASE WHEN starts_with(code, 'UNPROVEN_') THEN 1 WHEN code = 'UNRESOLVED_ATTACHMENT' THEN 2 ELSE 3 END) AS l FROM all_codes GROUP BY 1, 2)

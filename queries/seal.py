@@ -141,9 +141,10 @@ def observe(m):
 
 def sql_digest(columns: list[str], source: str, group: str = "snapshot_id") -> str:
     row = " || ".join(f"coalesce('=' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
-    words = [f"CAST(sum(('0x' || substr(h, {4 * n + 1}, 4))::BIGINT) AS BIGINT)" for n in range(16)]
-    joined = " || ',' || ".join(["CAST(count(*) AS VARCHAR)"] + [f"CAST({w} AS VARCHAR)" for w in words])
-    return f"SELECT {group}, count(*) AS n_rows, 'sha256:' || sha256({joined}) AS digest FROM (SELECT {group}, sha256({row}) AS h FROM {source}) GROUP BY 1"
+    # Tables of up to 256 * 4096 rows a group have one level of buckets.
+    return f"""SELECT {group}, CAST(sum(n) AS BIGINT) AS n_rows, 'sha256:' || sha256(CAST(sum(n) AS VARCHAR) || ',' || sha256(string_agg(prefix || '=' || node, ',' ORDER BY prefix))) AS digest
+      FROM (SELECT {group}, substr(h, 1, 2) AS prefix, sum(n) AS n, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS node
+        FROM (SELECT {group}, h, count(*) AS n FROM (SELECT {group}, sha256({row}) AS h FROM {source}) GROUP BY ALL) GROUP BY ALL) GROUP BY 1"""
 
 
 @query("e07_table_digest", sql_digest(["id", "kind", "collection_id", "parent_record_id", "title", "status"], "records"))

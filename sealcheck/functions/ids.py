@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sealcheck.session import cut_lineage
+
 NUL = "\x00"
 DEFAULT_PREFIX = "sc_"
 
@@ -56,17 +58,47 @@ def row_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat(*fields), 256)
 
 
-def table_digest(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = ("snapshot_id",)) -> DataFrame:
-    """Order-free digest of a table's content per group.
+# Row hashes a leaf of the digest tree holds on average at most, and children of a node.
+LEAF_ROWS = 4096
+FAN_OUT = 256
+MAX_LEVELS = 6
+
+
+def _listed(parts: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ","), 256)
+
+
+def table_digest(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = ("snapshot_id",), leaf: int = LEAF_ROWS) -> DataFrame:
+    """Order-free digest of a table's content per group: (by, n_rows, digest).
 
-    Each row hash is cut into 16 words of 16 bits; the words are summed over the rows and the sums and the
-    row count are hashed. Sums combine before the shuffle, so a group of any size costs one row per task,
-    neither sorting nor collecting it, and the result is independent of order and partitioning. A word sum
-    stays inside BIGINT for up to 2^47 rows.
+    The root of a tree over sorted row hashes, so another table with the same digest is a SHA-256 collision. Equal
+    hashes are counted first, also in the map tasks. Leaves are buckets by hash prefix: the sorted hashes with their
+    counts are hashed as one list. Nodes are hashed the same way over their children, one per two hex digits. A group
+    gets as many levels as its rows need for leaves of `leaf` rows, so its digest depends on its own rows alone and no
+    task holds more than one leaf or 256 children. An empty group has no digest.
     """
-    words = [f"w{n}" for n in range(16)]
-    hashed_rows = frame.select(*by, row_hash(columns).alias("h"))
-    split = hashed_rows.select(*by, *[
-        F.conv(F.substring("h", 4 * n + 1, 4), 16, 10).cast("long").alias(word) for n, word in enumerate(words)])
-    sums = split.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(word).alias(word) for word in words])
-    return sums.select(*by, "n_rows", digest(F.concat_ws(",", "n_rows", *words)).alias("digest"))
+    def per_group(other: DataFrame, **extra: Column) -> DataFrame:
+        return other.select(*[F.col(c).alias(f"_{c}") for c in by], *[c.alias(n) for n, c in extra.items()])
+
+    def same() -> Column:
+        both = F.lit(True)
+        for c in by:
+            both &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return both
+
+    sizes = cut_lineage(frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")))
+    levels = F.lit(MAX_LEVELS)
+    for n in range(MAX_LEVELS - 1, 0, -1):
+        levels = F.when(F.col("n_rows") <= leaf * FAN_OUT ** n, n).otherwise(levels)
+    deepest = sizes.agg(F.max(levels)).first()[0] or 1
+    hashes = frame.select(*by, row_hash(columns).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("n"))
+    placed = hashes.join(per_group(sizes, levels=levels), same())
+    nodes = placed.groupBy(*by, F.substring("h", 1, 2 * F.col("levels")).alias("prefix")).agg(_listed(F.concat("h", F.lit(":"), F.col("n").cast("string"))).alias("node"))
+    for level in range(deepest, 0, -1):
+        # Groups with fewer levels wait as they are until theirs is reached.
+        here = F.length("prefix") == 2 * level
+        above = F.when(here, F.substring("prefix", 1, 2 * level - 2)).otherwise(F.col("prefix"))
+        nodes = nodes.groupBy(*by, above.alias("above"), here.alias("here")).agg(
+            _listed(F.concat("prefix", F.lit("="), "node")).alias("joined"), F.first("node").alias("node"))
+        nodes = nodes.select(*by, F.col("above").alias("prefix"), F.when(F.col("here"), F.col("joined")).otherwise(F.col("node")).alias("node"))
+    return nodes.join(per_group(sizes, n_rows=F.col("n_rows")), same()).select(*by, "n_rows", digest(F.concat_ws(",", "n_rows", "node")).alias("digest"))

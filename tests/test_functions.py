@@ -1,8 +1,10 @@
 """Column functions against plain Python on awkward text, and JSON semantics."""
 
+import hashlib
 import json
 import random
 import unicodedata
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -100,6 +102,45 @@ def test_digest_ignores_order_and_partitions_but_not_content(spark):
     assert digest([("s", "", None)], 1) != digest([("s", None, "")], 1)
 
 
+def tree_digest(rows, leaf):
+    """The tree of one group in plain Python."""
+    hashes = Counter(hashlib.sha256("".join("-" if v is None else f"={len(v.encode())}:{v}" for v in row).encode()).hexdigest() for row in rows)
+    levels = next(n for n in range(1, 7) if n == 6 or len(rows) <= leaf * 256 ** n)
+
+    def node(prefix):
+        if len(prefix) == 2 * levels:
+            parts = [f"{h}:{n}" for h, n in hashes.items() if h.startswith(prefix)]
+        else:
+            parts = [f"{p}={node(p)}" for p in {h[:len(prefix) + 2] for h in hashes if h.startswith(prefix)}]
+        return hashlib.sha256(",".join(sorted(parts)).encode()).hexdigest()
+
+    return "sha256:" + hashlib.sha256(f"{len(rows)},{node('')}".encode()).hexdigest()
+
+
+def test_digest_is_the_root_of_a_tree_of_buckets(spark):
+    data = [("big", str(n % 700), None if n % 7 else "é") for n in range(900)] + [("small", "a", None), ("small", "a", None), (None, "x", "y")]
+    frame = spark.createDataFrame([(*r, 1) for r in data], "snapshot_id string, a string, b string, n int")
+    for leaf in (4096, 2, 1):
+        got = {r.snapshot_id: (r.n_rows, r.digest) for r in ids.table_digest(frame, ["a", "b"], leaf=leaf).collect()}
+        for group in ("big", "small", None):
+            rows = [r[1:] for r in data if r[0] == group]
+            assert got[group] == (len(rows), tree_digest(rows, leaf))
+    assert ids.table_digest(frame.limit(0), ["a", "b"]).count() == 0
+
+
+def test_digest_tells_changed_moved_and_doubled_rows(spark):
+    base = [("s", str(n)) for n in range(300)] + [("t", str(n)) for n in range(300, 400)]
+
+    def digests(rows):
+        return {r.snapshot_id: r.digest for r in ids.table_digest(spark.createDataFrame(rows, "snapshot_id string, a string"), ["a"]).collect()}
+
+    want = digests(base)
+    changed, moved, doubled = digests([("s", "x")] + base[1:]), digests([("t", "0")] + base[1:]), digests(base[:1] + base)
+    assert len({d["s"] for d in (want, changed, moved, doubled)}) == 4 and moved["t"] != want["t"] == doubled["t"]
+    # The same rows and the same count, other multiplicities.
+    assert digests([("s", "0"), ("s", "0"), ("s", "2")])["s"] != digests([("s", "0"), ("s", "2"), ("s", "2")])["s"]
+
+
 def test_deep_and_refused_json():
     deep = "[" * 5000 + "1.50" + "]" * 5000
     assert J._canonical(deep) == deep
