@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from queries.mapping import text
 from queries.oracle import pid as sql_pid, s
@@ -13,9 +14,11 @@ from sealcheck import rules as R
 from sealcheck.connectors import clickup, notion
 from sealcheck.functions.ids import digest, scope_key
 from sealcheck.operators import events as E, health as H, organize as O, state as S
-from sealcheck.schemas import PORTABLE_COLUMNS
+from sealcheck.schemas import LEDGER, PORTABLE_COLUMNS, SOURCE_OBJECT
 from sealcheck.session import shared_folder
 from sealcheck.sources import documents as SD, events as SE, evidence as SV, portable as SP
+from sealcheck.sources.arrays import read_array
+from sealcheck.sources.files import list_files
 from sealcheck.streaming import events as ST
 
 EVENT_KEY = "operation_id || '/' || sequence"
@@ -420,15 +423,62 @@ def stream_events(m):
     return m.spark.read.parquet(target)
 
 
-@query("a09_file_inventory", """SELECT 'events' AS snapshot_id, CAST(sum(strlen(props) + 1) AS BIGINT) AS total_bytes, TRUE AS all_hashed FROM events""")
+@query("a09_file_inventory", """SELECT 'events' AS snapshot_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS total_bytes, TRUE AS all_hashed FROM (
+  SELECT concat_ws('|', event_id, user_id, event_type, props) AS line FROM events)""")
 def inventory(m):
     """Files of one written folder: the bytes add up whatever the number of files."""
     path = folder(m, "files")
-    m.read("events").select("props").write.text(f"{path}/events")
+    m.read("events").select(F.concat_ws("|", text("event_id"), text("user_id"), "event_type", "props")).write.text(f"{path}/events")
     listed = SV.file_inventory(m.spark, path)
     return listed.groupBy("snapshot_id").agg(F.sum("bytes").alias("total_bytes"), F.bool_and(F.col("checksum").rlike("^sha256:[0-9a-f]{64}$")).alias("all_hashed"))
 
 
+PLANTED = ["AKIA", "sk_live", "BEGIN RSA", "ghp_", "the password", "ündü", "zzzzz"]
+
+
+@query("b12_secret_scan", f"""SELECT concat('s', doc_id % 97) AS snapshot_id, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS total_bytes,
+  bool_or({" OR ".join(f"contains(coalesce(text, ''), '{secret}')" for secret in PLANTED)}) AS has_secret FROM documents GROUP BY 1""")
+def secret_scan(m):
+    """Documents as files of 97 archives, all searched for all secrets in one pass over the landed bytes."""
+    path = folder(m, "secrets")
+    m.read("documents").select(F.concat(F.lit("s"), (F.col("doc_id") % 97).cast("string")).alias("archive"), F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("archive").text(path)
+    listed = SV.file_inventory(m.spark, path, PLANTED).withColumn("snapshot_id", F.substring_index("snapshot_id", "=", -1))
+    return listed.groupBy("snapshot_id").agg(F.sum("bytes").alias("total_bytes"), F.bool_or("has_secret").alias("has_secret"))
+
+
+def document_files(m, name: str, rows, document) -> DataFrame:
+    """(path, bytes) of JSON documents of about 2000 rows each, written by many tasks, one document a file."""
+    path = folder(m, name)
+    parts = -(-rows.count() // 2000)
+    packed = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(max(parts, 1))).alias("part")).agg(document.alias("value"))
+    packed.write.partitionBy("part").text(path)
+    return list_files(m.spark, path)
+
+
+@query("a01_read_ledger", """SELECT l_orderkey * 10 + l_linenumber AS sequence, 'get "' || l_returnflag || '" },{ [' AS operation, '/x\\' || l_partkey || '"]},' AS path,
+  CAST(l_linenumber AS INTEGER) AS attempt, CASE WHEN l_linestatus = 'F' THEN 'SUCCESS' ELSE 'FAILED_ATTEMPT' END AS outcome, CAST(l_suppkey AS BIGINT) AS bytes FROM lineitem""")
+def ledger_rows(m):
+    """Every line as a request attempt with quotes, brackets and backslashes in its texts, each ledger read in ranges of 64 KiB."""
+    rows = m.read("lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("sequence"), F.concat(F.lit('get "'), "l_returnflag", F.lit('" },{ [')).alias("operation"),
+        F.concat(F.lit("/x\\"), text("l_partkey"), F.lit('"]},')).alias("path"), F.col("l_linenumber").cast("int").alias("attempt"),
+        F.when(F.col("l_linestatus") == "F", "SUCCESS").otherwise("FAILED_ATTEMPT").alias("outcome"), F.col("l_suppkey").cast("long").alias("bytes"))
+    files = document_files(m, "ledgers", rows, F.to_json(F.collect_list(F.struct(*rows.columns))))
+    return read_array(files, LEDGER, range_bytes=1 << 16).select(*rows.columns)
+
+
+@query("a03_read_source_objects", "SELECT snapshot_id, type, id, parent_type, parent_id, composite FROM source_index")
+def object_files(m):
+    """The whole object index through documents of another array, counts and the index, read in ranges of 64 KiB."""
+    rows = m.index.select("snapshot_id", "type", "id", "parent_type", "parent_id", "composite")
+    objects = F.collect_list(F.struct("snapshot_id", "type", "id", "parent_type", "parent_id", "composite"))
+    other = F.array(*[F.struct(F.lit(c).alias("id"), F.lit('source_objects":[{"').alias("note")) for c in ("a", "b")])
+    document = F.to_json(F.struct(F.lit(2).alias("schema_version"), other.alias("capabilities"), F.struct(F.array(F.lit(1), F.lit(2)).alias("n")).alias("counts"),
+                                  objects.alias("source_objects"), F.array(F.lit("]")).alias("tail")))
+    schema = StructType([*SOURCE_OBJECT.fields, StructField("snapshot_id", StringType())])
+    return read_array(document_files(m, "inventories", rows, document), schema, "source_objects", 1 << 16).select(*rows.columns)
+
+
 @query("a02_join_evidence", """SELECT page_id + 1 AS sequence, CASE WHEN page_id % 13 = 0 THEN 'PATH_UNSAFE' WHEN page_id % 7 = 0 THEN 'BODY_MISSING' WHEN page_id % 5 = 0 THEN 'BYTES_DIFFER' WHEN page_id % 3 = 0 THEN 'CHECKSUM_DIFFERS' ELSE 'SOUND' END AS outcome FROM pages""")
 def evidence(m):
     """Pages as response bodies: unsafe paths, missing, resized and altered ones are told from sound ones."""
