@@ -82,8 +82,8 @@ def parts(m: Mapping):
     return m.evidence, index, owner
 
 
-def details(m: Mapping):
-    return N.record_details(m.evidence, VOCABULARY)[0]
+def details(m: Mapping, *wanted: str):
+    return N.record_details(m.evidence, VOCABULARY, wanted=wanted)[0]
 
 
 def rid(expression: str) -> str:
@@ -118,7 +118,7 @@ UNION ALL SELECT {LINE}, 'line', {sql_pid('customer', s('o_custkey'))}, {rid(s('
 FROM lines JOIN orders ON o_orderkey = l_orderkey""")
 def records(m):
     responses, index, owner = parts(m)
-    table, _ = N.normalize_records(index, N.record_details(responses, VOCABULARY)[0], owner, VOCABULARY)
+    table, _ = N.normalize_records(index, details(m, *N.RECORD_MEMBERS), owner, VOCABULARY)
     return table.select("id", "kind", "collection_id", "parent_record_id", "title", "status", "status_type", "priority", "archived", "date_created_source",
                         "time_estimate_ms", F.col("points").cast("long").alias("points"), "source_raw_path")
 
@@ -127,7 +127,7 @@ def records(m):
   CAST(o_orderkey AS VARCHAR) AS key, NULL AS detail FROM orders, (VALUES (1), (2)) v(t) WHERE (t = 1 AND o_orderkey % 77 = 0) OR (t = 2 AND o_orderkey % 13 = 0)""")
 def record_findings(m):
     responses, index, owner = parts(m)
-    return N.normalize_records(index, N.record_details(responses, VOCABULARY)[0], owner, VOCABULARY)[1]
+    return N.normalize_records(index, details(m, *N.RECORD_MEMBERS), owner, VOCABULARY)[1]
 
 
 @query("d06_normalize_comments", f"""SELECT {sql_pid('turn', 'turn_id')} AS id, {rid(s('conv_id'))} AS record_id, CASE WHEN turn > 0 THEN {sql_pid('turn', "(conv_id || '-' || (turn - 1))")} END AS parent_comment_id,
@@ -147,7 +147,7 @@ PEOPLE = f"""ppl AS (SELECT 'c' || o_custkey AS person, CASE WHEN o_orderkey % 1
 
 
 def people(m):
-    return N.observed_people(details(m))
+    return N.observed_people(details(m, *[member for _, member, _ in N.ROLES]))
 
 
 @query("d07_normalize_identities", PEOPLE + f"""SELECT {sql_pid('identity', 'person')} AS id, arg_min(username, path) AS username, min(email) AS email, min(path) AS source_raw_path, min(username) <> max(username) AS conflict
@@ -167,7 +167,7 @@ def roles(m):
 UNION ALL SELECT {ORDER}, o_orderpriority, 1, NULL FROM orders WHERE o_orderkey % 50 <> 0
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, 1, 'NAME_MISSING' FROM orders WHERE o_orderkey % 50 = 0""")
 def tags(m):
-    table, found = N.normalize_tags(details(m), VOCABULARY)
+    table, found = N.normalize_tags(details(m, "tags"), VOCABULARY)
     return table.select("record_id", "name", "position", F.lit(None).cast("string").alias("code")).unionByName(
         found.select(F.col("key").alias("record_id"), F.lit(None).cast("string").alias("name"), F.col("detail").cast("long").alias("position"), "code"))
 
@@ -212,7 +212,7 @@ UNION ALL SELECT CAST(doc_id AS VARCHAR), 'nope', NULL, 'UNKNOWN_FIELD' FROM lb
 def values(m):
     responses, index, _ = parts(m)
     known, _ = N.normalize_field_definitions(index, responses, VOCABULARY)
-    table, found = N.normalize_field_values(N.record_details(responses, VOCABULARY)[0], known, VOCABULARY)
+    table, found = N.normalize_field_values(details(m, N.VALUES), known, VOCABULARY)
     return table.select("record_id", "field_id", "observed_value_json", F.lit(None).cast("string").alias("code")).unionByName(
         found.select(F.col("key").alias("record_id"), F.col("entity").alias("field_id"), F.lit(None).cast("string").alias("observed_value_json"), "code"))
 
@@ -224,7 +224,7 @@ SELECT {sql_pid('document', s('doc_id'))} AS id, {rid(s('doc_id'))} AS record_id
 UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL, 'SIZE_INVALID' FROM dc WHERE doc_id % 11 = 0""")
 def attachments(m):
     responses, _, owner = parts(m)
-    table, found = N.normalize_attachments(N.record_details(responses, VOCABULARY)[0], owner, VOCABULARY)
+    table, found = N.normalize_attachments(details(m, "attachments"), owner, VOCABULARY)
     none = F.lit(None).cast("string")
     return table.select("id", "record_id", "filename", "expected_size", "source_url", "download_status", none.alias("code")).unionByName(found.select(
         F.col("key").alias("id"), none.alias("record_id"), none.alias("filename"), none.cast("long").alias("expected_size"), none.alias("source_url"),
@@ -243,7 +243,7 @@ kn AS (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders)
   CASE WHEN b.k IS NOT NULL THEN {rid('t')} END AS to_record_id, f AS from_source_id, t AS to_source_id, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'RESOLVED' ELSE 'PARTIAL_EXTERNAL' END AS resolution_state
 FROM mn LEFT JOIN kn a ON a.k = f LEFT JOIN kn b ON b.k = t""")
 def relationships(m):
-    mentions, _ = N.observed_links(details(m), VOCABULARY)
+    mentions, _ = N.observed_links(details(m, *[link.array for link in VOCABULARY.links]), VOCABULARY)
     known = m.index.filter("snapshot_id = 's1' AND type IN ('order', 'line')").select("snapshot_id", "id")
     return N.normalize_relationships(mentions, known, VOCABULARY).select("id", "kind", "from_record_id", "to_record_id", "from_source_id", "to_source_id", "resolution_state")
 

@@ -57,13 +57,28 @@ def raw_fields(document: Column, names: list[str]) -> dict[str, RawField]:
 
 
 def with_members(frame: DataFrame, document: str, names: list[str], slot: str) -> tuple[DataFrame, dict[str, RawField]]:
-    """As raw_fields, parsing once into two struct columns of the frame."""
+    """As raw_fields, parsing once into two struct columns of the frame.
+
+    They come out of a generator of one row, so that no filter on them is moved below it and parses again.
+    """
     text, variant = f"_{slot}_text", f"_{slot}_variant"
-    parsed = frame.withColumns({text: F.from_json(document, _struct_of(names, "string")),
-                                variant: F.from_json(document, _struct_of(names, "variant"))})
+    parsed = frame.select("*", F.inline(F.array(F.struct(F.from_json(document, _struct_of(names, "string")).alias(text),
+                                                         F.from_json(document, _struct_of(names, "variant")).alias(variant)))))
     return parsed, {name: _field(F.col(text)[name], F.col(variant)[name]) for name in names}
 
 
+def stored(field: RawField) -> Column:
+    """A member as a column that can be written: its text and kind. `restored` reads it."""
+    return F.struct(field.text.alias("text"), field.kind.alias("kind"))
+
+
+def restored(column: Column) -> RawField:
+    text, kind = column["text"], column["kind"]
+    # The JSON of a text is that of an array of it, without the brackets.
+    quoted = F.to_json(F.array(text))
+    return RawField(text, kind, F.when(kind == "string", F.substring(quoted, 2, F.length(quoted) - 2)).when(kind == "null", "null").otherwise(text))
+
+
 def raw_string(field: RawField) -> Column:
     return F.when(field.kind == "string", field.text)
 
@@ -155,10 +170,14 @@ _BAD = object()
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|(-?Infinity|NaN))')
 
 
+_DECODER = json.JSONDecoder(parse_int=_Literal, parse_float=_Literal, parse_constant=lambda name: _BAD)
+_ESCAPED = re.compile(r'[\x00-\x1f"\\<>&]')
+
+
 def _parse(text: str):
     """The value of a JSON text with number literals kept; a refused constant becomes a mark inside the value."""
     try:
-        return json.loads(text, parse_int=_Literal, parse_float=_Literal, parse_constant=lambda name: _BAD)
+        return _DECODER.decode(text)
     except RecursionError:
         return _parse_deep(text)
 
@@ -206,6 +225,8 @@ def _parse_deep(text: str):
 
 
 def _quote(value: str) -> str:
+    if value.isascii() and not _ESCAPED.search(value):
+        return f'"{value}"'
     text = json.dumps(value.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), ensure_ascii=False)
     for char in "<>&\u2028\u2029":
         text = text.replace(char, f"\\u{ord(char):04x}")
@@ -291,24 +312,41 @@ def canonical_override(documents: pd.Series, members: pd.Series) -> pd.Series:
     return pd.Series([_override(text, other) for text, other in zip(documents, members)], dtype="object")
 
 
-def _elements(text, name):
-    """(whether the text is JSON, elements of the member); an element that is no JSON is null, the others stay."""
-    if text is None:
-        return False, None
-    try:
-        parsed = _parse(text)
-    except ValueError:
-        return False, None
+def _list(parsed, name):
+    """Canonical elements of an array member, null where one is no JSON; null if there is no such array."""
     items = parsed.get(name) if isinstance(parsed, dict) else None
     if not isinstance(items, list):
-        return True, None
+        return None
     out = []
     for item in items:
         try:
             out.append(_encode(item))
         except _Refused:
             out.append(None)
-    return True, out
+    return out
+
+
+def _elements(text, name):
+    """(whether the text is JSON, elements of the member)."""
+    try:
+        return (False, None) if text is None else (True, _list(_parse(text), name))
+    except ValueError:
+        return False, None
+
+
+def _arrays(text, names):
+    """Elements of several members of one document, which is parsed once."""
+    try:
+        parsed = None if text is None else _parse(text)
+    except ValueError:
+        parsed = None
+    return [_list(parsed, name) for name in names]
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def canonical_arrays(documents: pd.Series, names: pd.Series) -> pd.Series:
+    """As the items of canonical_elements, for several array members at once, in the order of `names`."""
+    return pd.Series([_arrays(text, wanted) for text, wanted in zip(documents, names)], dtype="object")
 
 
 @F.pandas_udf(StructType().add("readable", BooleanType()).add("items", ArrayType(StringType())))

@@ -6,19 +6,21 @@ silently and nothing is invented for it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealcheck.functions.ids import DEFAULT_PREFIX, NUL, portable_id
-from sealcheck.functions.jsonfn import (canonical_elements, canonical_member, field_semantics_state, mistyped, priority_field, raw_bool,
-                                        raw_double, raw_int, raw_scalar, raw_string, rich_text, source_id,
-                                        status_fields, with_members)
+from sealcheck.functions.jsonfn import (RawField, canonical_arrays, canonical_member, field_semantics_state, mistyped, priority_field, raw_bool,
+                                        raw_double, raw_int, raw_scalar, raw_string, restored, rich_text, source_id,
+                                        status_fields, stored, with_members)
 from sealcheck.functions.text import is_blank, strip_url_query
 from sealcheck.operators.findings import coded, finding, union_all, union_findings
 from sealcheck.operators.pages import explode_pages, first_or_conflict
 from sealcheck.operators.trees import resolve_ancestor
 from sealcheck.schemas import portable_columns
+from sealcheck.session import cut_lineage
 
 Result = tuple[DataFrame, DataFrame]
 KEY = ["snapshot_id", "id"]
@@ -185,11 +187,46 @@ def normalize_collections(index: DataFrame, names: DataFrame, workspaces: DataFr
 
 # --- records
 
-def record_details(responses: DataFrame, vocabulary: Vocabulary) -> Result:
-    """One detail body per record; a repeated id is a finding."""
-    parsed, members = with_members(operation(responses, vocabulary.detail_operation), "body", ["id"], "head")
-    detail = parsed.select("snapshot_id", raw_scalar(members["id"]).alias("id"), archive_path().alias("raw_path"),
-                           "sequence", "body")
+DATES = {"date_created_source": "date_created", "date_updated_source": "date_updated",
+         "date_closed_source": "date_closed", "date_done_source": "date_done",
+         "start_date_source": "start_date", "due_date_source": "due_date"}
+RECORD_MEMBERS = ["name", "description", "text_content", "status", "priority", "archived", "time_estimate",
+                  "time_spent", "points", *DATES.values()]
+ROLES = (("creator", "creator", False), ("assignee", "assignees", True), ("watcher", "watchers", True))
+# Arrays whose elements are read from the text of the body, and those that keep number literals and so are read in Python.
+PLAIN_ARRAYS = [*[member for _, member, many in ROLES if many], "tags", "attachments"]
+VALUES = "custom_fields"
+
+
+def exact_arrays(vocabulary: Vocabulary) -> list[str]:
+    return list(dict.fromkeys([VALUES, *[link.array for link in vocabulary.links]]))
+
+
+def record_details(responses: DataFrame, vocabulary: Vocabulary, once: bool = False, wanted: Sequence[str] | None = None) -> Result:
+    """One row per record with every member the portable tables take from its detail body; a repeated id is a finding.
+
+    This is the only place a body is parsed: `m_<member>` holds text and kind of a member, `exact` the canonical elements
+    of the arrays in `exact_arrays`. With `once` the rows are written, and all tables of a normalization are read from
+    them; a table taken alone can name the only members `wanted`, the others then read as absent.
+    """
+    exact, plain = exact_arrays(vocabulary), [*RECORD_MEMBERS, *[member for _, member, many in ROLES if not many], *PLAIN_ARRAYS]
+    taken = [name for name in (*plain, *exact) if wanted is None or name in wanted]
+    parsed, members = with_members(operation(responses, vocabulary.detail_operation), "body", ["id", *taken], "head")
+    holds, nothing = F.lit(False), F.lit(None).cast("string")
+    for name in taken:
+        holds |= (members[name].kind == "array") if name in exact else F.lit(False)
+    items = canonical_arrays(F.when(holds, F.col("body")), F.array(*map(F.lit, exact)))
+
+    def kept(name: str) -> Column:
+        if name not in taken:
+            return F.struct(nothing.alias("text"), F.lit("null").alias("kind"))
+        return stored(members[name]) if name in plain else F.struct(nothing.alias("text"), members[name].kind.alias("kind"))
+
+    detail = parsed.select(
+        "snapshot_id", raw_scalar(members["id"]).alias("id"), archive_path().alias("raw_path"), "sequence",
+        *[kept(name).alias(f"m_{name}") for name in (*plain, *exact)],
+        items.alias("exact"))
+    detail = cut_lineage(detail) if once else detail
     usable = detail.filter(~is_blank(F.col("id")))
     repeated = usable.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return usable, union_findings([
@@ -197,11 +234,9 @@ def record_details(responses: DataFrame, vocabulary: Vocabulary) -> Result:
         finding(repeated, "record_details", "DUPLICATE_DETAIL", "record", F.col("id"))])
 
 
-DATES = {"date_created_source": "date_created", "date_updated_source": "date_updated",
-         "date_closed_source": "date_closed", "date_done_source": "date_done",
-         "start_date_source": "start_date", "due_date_source": "due_date"}
-RECORD_MEMBERS = ["name", "description", "text_content", "status", "priority", "archived", "time_estimate",
-                  "time_spent", "points", *DATES.values()]
+def member(name: str) -> RawField:
+    """A member of a record's body, as `record_details` holds it."""
+    return restored(F.col(f"m_{name}"))
 
 
 def record_collections(index: DataFrame, vocabulary: Vocabulary) -> Result:
@@ -225,7 +260,7 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
     collections, unplaced = record_collections(index, vocabulary)
     joined = (_indexed(index, vocabulary.record_types).join(collections, ["snapshot_id", "type", "id"], "left")
               .join(details.drop("sequence"), KEY, "left").join(workspaces, "snapshot_id"))
-    parsed, members = with_members(joined, "body", RECORD_MEMBERS, "record")
+    parsed, members = joined, {name: member(name) for name in RECORD_MEMBERS}
     status, status_type = status_fields(members["status"])
     values = {"title": raw_string(members["name"]), "description": raw_string(members["description"]),
               "text_content": raw_string(members["text_content"]), "status": status, "status_type": status_type,
@@ -254,37 +289,43 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
     return table, union_findings([unplaced, coded(parsed, "normalize_records", rules, F.col("type"), F.col("id"))])
 
 
-def _elements(details: DataFrame, member: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(elements, findings) of one optional array of the detail bodies; see explode_pages for `exact`."""
-    parsed, members = with_members(details, "body", [member], "array")
-    items = canonical_elements(F.col("body"), F.lit(member))["items"] if exact else F.from_json(members[member].text, "array<string>")
-    exploded = parsed.filter(members[member].kind == "array").select(
-        "snapshot_id", F.col("id").alias("record"), "raw_path", "sequence", F.posexplode(items).alias("position", "element"))
-    wrong = finding(parsed.filter(~members[member].kind.isin("null", "array")), "record_details", "NOT_AN_ARRAY", member, F.col("id"))
-    if not exact:
+def _items(name: str, vocabulary: Vocabulary) -> Column:
+    """The elements of an array member as JSON texts; null if it is none."""
+    exact = exact_arrays(vocabulary)
+    return F.get(F.col("exact"), F.lit(exact.index(name))) if name in exact else F.from_json(member(name).text, "array<string>")
+
+
+def _elements(details: DataFrame, name: str, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """(elements, findings) of one optional array of the detail bodies; one whose element is no JSON is a finding."""
+    kind = member(name).kind
+    exploded = details.filter(kind == "array").select(
+        "snapshot_id", F.col("id").alias("record"), "raw_path", "sequence", F.posexplode(_items(name, vocabulary)).alias("position", "element"))
+    wrong = finding(details.filter(~kind.isin("null", "array")), "record_details", "NOT_AN_ARRAY", name, F.col("id"))
+    if name not in exact_arrays(vocabulary):
         return exploded, wrong
-    unread = finding(exploded.filter("element IS NULL"), "record_details", "ELEMENT_NOT_JSON", member, F.concat_ws("#", "raw_path", "position"))
+    unread = finding(exploded.filter("element IS NULL"), "record_details", "ELEMENT_NOT_JSON", name, F.concat_ws("#", "raw_path", "position"))
     return exploded.filter("element IS NOT NULL"), union_findings([wrong, unread])
 
 
-ROLES = (("creator", "creator", False), ("assignee", "assignees", True), ("watcher", "watchers", True))
+def observed_people(details: DataFrame, roles=ROLES) -> DataFrame:
+    """Every person a record names, with role and position, all roles in one pass."""
+    def named(role: str, position: Column, person: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), position.cast("long").alias("position"), person.alias("person"))
 
+    def each(role: str):
+        return lambda person, position: named(role, position, person)
 
-def observed_people(details: DataFrame, roles=ROLES) -> DataFrame:
-    """Every person a record names, with role and position, as raw JSON."""
-    parts = []
-    for role, member, many in roles:
+    none, lists = F.array().cast("array<struct<role:string,position:bigint,person:string>>"), []
+    for role, name, many in roles:
+        field = member(name)
         if many:
-            exploded, _ = _elements(details, member)
-            people = exploded.select("snapshot_id", "record", "raw_path", F.col("position").cast("long").alias("position"),
-                                     F.col("element").alias("person"))
+            found = F.transform(F.when(field.kind == "array", F.from_json(field.text, "array<string>")), each(role))
         else:
-            parsed, members = with_members(details, "body", [member], "person")
-            people = parsed.filter(members[member].kind == "object").select(
-                "snapshot_id", F.col("id").alias("record"), "raw_path", F.lit(0).cast("long").alias("position"),
-                members[member].text.alias("person"))
-        parts.append(people.withColumn("role", F.lit(role)))
-    parsed, members = with_members(union_all(parts), "person", ["id", "username", "email"], "who")
+            found = F.when(field.kind == "object", F.array(named(role, F.lit(0), field.text)))
+        lists.append(F.coalesce(found, none))
+    people = details.select("snapshot_id", F.col("id").alias("record"), "raw_path", F.explode(F.concat(*lists)).alias("p")).select(
+        "snapshot_id", "record", "raw_path", "p.*")
+    parsed, members = with_members(people, "person", ["id", "username", "email"], "who")
     return parsed.select("snapshot_id", "record", "raw_path", "role", "position",
                          raw_scalar(members["id"]).alias("person_id"), raw_string(members["username"]).alias("username"),
                          raw_string(members["email"]).alias("email"))
@@ -317,7 +358,7 @@ def normalize_roles(people: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def normalize_tags(details: DataFrame, vocabulary: Vocabulary) -> Result:
-    exploded, findings = _elements(details, "tags")
+    exploded, findings = _elements(details, "tags", vocabulary)
     parsed, members = with_members(exploded, "element", ["name"], "tag")
     name = raw_string(members["name"])
     table = shaped(parsed.filter(name.isNotNull()), "record_tags", {
@@ -354,7 +395,7 @@ def normalize_field_definitions(index: DataFrame, responses: DataFrame, vocabula
 
 def normalize_field_values(details: DataFrame, definitions: DataFrame, vocabulary: Vocabulary) -> Result:
     """One row per (record, field) that is present. An explicit null is kept; an absent key is skipped."""
-    exploded, findings = _elements(details, "custom_fields", exact=True)
+    exploded, findings = _elements(details, VALUES, vocabulary)
     parsed, members = with_members(exploded, "element", ["id"], "value")
     values = parsed.select("snapshot_id", "record", raw_scalar(members["id"]).alias("field"),
                            canonical_member(F.col("element"), F.lit("value")).alias("observed"))
@@ -374,7 +415,7 @@ def normalize_field_values(details: DataFrame, definitions: DataFrame, vocabular
 
 def normalize_attachments(details: DataFrame, workspaces: DataFrame, vocabulary: Vocabulary) -> Result:
     """Attachment metadata with a sanitized URL; UNRESOLVED when the source offers no download URL."""
-    exploded, findings = _elements(details, "attachments")
+    exploded, findings = _elements(details, "attachments", vocabulary)
     names = ["id", "title", "mimetype", "size", "url", "url_w_query"]
     joined, members = with_members(exploded.join(workspaces, "snapshot_id"), "element", names, "file")
     identifier, size = raw_scalar(members["id"]), raw_int(members["size"])
@@ -400,7 +441,8 @@ def normalize_attachments(details: DataFrame, workspaces: DataFrame, vocabulary:
 
 # --- comments
 
-def observed_comments(responses: DataFrame, vocabulary: Vocabulary) -> Result:
+def observed_comments(responses: DataFrame, vocabulary: Vocabulary, once: bool = False) -> Result:
+    """Comments as the pages list them, with their author; with `once` they are written and pages are parsed no more."""
     elements, missing = explode_pages(operation(responses, *vocabulary.comment_operations), "comments", exact=True)
     parsed, members = with_members(elements, "element",
                                    ["id", "date", "user", "comment", "comment_text"], "comment")
@@ -413,6 +455,7 @@ def observed_comments(responses: DataFrame, vocabulary: Vocabulary) -> Result:
                           raw_scalar(members["date"]).alias("date"), body.alias("body_json"), written.alias("body_text"),
                           raw_scalar(person["id"]).alias("person_id"), raw_string(person["username"]).alias("username"),
                           raw_string(person["email"]).alias("email"))
+    observed = cut_lineage(observed) if once else observed
     repeated = observed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND id IS NOT NULL")
     return observed.filter("id IS NOT NULL"), union_findings([
         missing, finding(observed.filter("id IS NULL"), "observed_comments", "INVALID_ID", "comment", F.col("raw_path")),
@@ -454,19 +497,33 @@ def normalize_comments(index: DataFrame, observed: DataFrame, workspaces: DataFr
 
 def observed_links(details: DataFrame, vocabulary: Vocabulary) -> Result:
     """Links listed on records, one row per mention: id `a->b`, or `min<->max` for an undirected link."""
-    mentions, findings = [], []
-    for link in vocabulary.links:
-        exploded, wrong = _elements(details, link.array, exact=True)
-        parsed, members = with_members(exploded, "element", [link.left, link.right], "link")
-        left, right = raw_scalar(members[link.left]), raw_scalar(members[link.right])
-        ends = (left, right) if link.directed else (F.least(left, right), F.greatest(left, right))
-        arrow = "->" if link.directed else "<->"
-        mentions.append(parsed.filter(~is_blank(left) & ~is_blank(right)).select(
-            "snapshot_id", F.lit(link.kind).alias("kind"), F.concat(ends[0], F.lit(arrow), ends[1]).alias("id"),
-            ends[0].alias("from_id"), ends[1].alias("to_id"), "record", "position", "element", "raw_path"))
-        findings += [wrong, finding(parsed.filter(is_blank(left) | is_blank(right)), "observed_links", "ENDPOINT_MISSING",
-                                    link.kind, F.col("record"), F.col("position"))]
-    return union_all(mentions), union_findings(findings)
+    def each(n: int):
+        return lambda element, position: F.struct(F.lit(n).alias("link"), position.alias("position"), element.alias("element"))
+
+    exact, findings, lists = exact_arrays(vocabulary), [], []
+    for n, link in enumerate(vocabulary.links):
+        kind = member(link.array).kind
+        findings.append(finding(details.filter(~kind.isin("null", "array")), "record_details", "NOT_AN_ARRAY", link.array, F.col("id")))
+        items = F.get(F.col("exact"), F.lit(exact.index(link.array)))
+        lists.append(F.coalesce(F.transform(items, each(n)), F.array().cast("array<struct<link:int,position:int,element:string>>")))
+    listed = details.select("snapshot_id", F.col("id").alias("record"), "raw_path", F.explode(F.concat(*lists)).alias("x")).select(
+        "snapshot_id", "record", "raw_path", "x.*")
+    parsed, members = with_members(listed.filter("element IS NOT NULL"), "element",
+                                   list(dict.fromkeys(end for link in vocabulary.links for end in (link.left, link.right))), "link")
+
+    def by_link(value) -> Column:
+        return F.element_at(F.array(*map(value, vocabulary.links)), F.col("link") + 1)
+
+    left, right = by_link(lambda k: raw_scalar(members[k.left])), by_link(lambda k: raw_scalar(members[k.right]))
+    directed, kind, array = by_link(lambda k: F.lit(k.directed)), by_link(lambda k: F.lit(k.kind)), by_link(lambda k: F.lit(k.array))
+    ends = parsed.select("snapshot_id", "record", "position", "element", "raw_path", kind.alias("kind"), directed.alias("directed"),
+                         F.when(directed, left).otherwise(F.least(left, right)).alias("from_id"), F.when(directed, right).otherwise(F.greatest(left, right)).alias("to_id"),
+                         (is_blank(left) | is_blank(right)).alias("lacks"))
+    arrow = F.when(F.col("directed"), "->").otherwise("<->")
+    mentions = ends.filter("NOT lacks").select("snapshot_id", "kind", F.concat("from_id", arrow, "to_id").alias("id"), "from_id", "to_id", "record", "position", "element", "raw_path")
+    unread = finding(listed.filter("element IS NULL").withColumn("array", array), "record_details", "ELEMENT_NOT_JSON", F.col("array"), F.concat_ws("#", "raw_path", "position"))
+    lacking = finding(ends.filter("lacks"), "observed_links", "ENDPOINT_MISSING", F.col("kind"), F.col("record"), F.col("position"))
+    return mentions, union_findings([*findings, unread, lacking])
 
 
 def normalize_relationships(mentions: DataFrame, records: DataFrame, vocabulary: Vocabulary) -> DataFrame:

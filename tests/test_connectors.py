@@ -1,12 +1,14 @@
 """Both connectors on small landed responses, the registry, and version refusal."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sealcheck import connectors
-from sealcheck.connectors import notion
+from sealcheck.connectors import clickup, notion
+from sealcheck.operators import normalize as N
 from sealcheck.sources import evidence as E
 from tests import archive
 
@@ -98,3 +100,20 @@ def test_unknown_connector(spark):
     assert connectors.field_verdicts("nobody", values, values).first().verdict == "UNPROVEN"
     assert connectors.names() == ["clickup", "notion"]
     assert connectors.declared_capabilities("notion", spark.createDataFrame([("s",)], "snapshot_id string")).filter(F.col("availability") != "UNKNOWN").count() == 0
+
+
+def test_bodies_are_parsed_once(spark, tmp_path):
+    """Tables are read from what was parsed, not from bodies, and agree with tables taken alone."""
+    archive.land(str(tmp_path))
+    responses, _ = E.read_evidence(spark, str(tmp_path))
+    header, index = E.read_source_objects(spark, str(tmp_path))
+    workspaces = E.read_runs(spark, str(tmp_path)).selectExpr("snapshot_id", "workspace_id AS workspace_source_id", "workspace_name")
+    tables, _ = clickup.normalize(responses, index, workspaces)
+    for name in ("records", "identities", "record_identities", "record_tags", "comments", "relationships", "attachments"):
+        plan = tables[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"(?<![a-z_])(body|content)#", plan), name
+    details, _ = N.record_details(responses, clickup.VOCABULARY)
+    alone = N.observed_people(details)
+    assert {(r.record, r.role, r.position, r.person_id) for r in alone.collect()} == {
+        ("rose", "creator", 0, "31"), ("rose", "assignee", 0, "32"), ("rose", "assignee", 1, "31"), ("rake", "watcher", 0, "32")}
+    assert N.normalize_roles(alone, clickup.VOCABULARY).count() == tables["record_identities"].count() == 4
