@@ -124,7 +124,7 @@ def state_stream(m):
     target = folder(m, "state")
     stream = SE.stream_events(m.spark, write_log(m), files_per_trigger=2).filter("NOT unreadable")
     ST.run_available(ST.state_stream(stream), target, folder(m, "offsets"))
-    return m.spark.read.parquet(target).withColumn("attempt_sequence", F.col("attempt_sequence").cast("long"))
+    return ST.read_merged(m.spark, target).withColumn("attempt_sequence", F.col("attempt_sequence").cast("long"))
 
 
 @query("i02_dedupe_stream", "SELECT operation_id, sequence, type FROM event_log")
@@ -135,7 +135,7 @@ def dedupe_stream(m):
     stream = SE.stream_events(m.spark, path, files_per_trigger=4).filter("NOT unreadable").select(
         "operation_id", F.col("sequence").cast("long").alias("sequence"), "type")
     ST.run_available(ST.dedupe_stream(stream), target, folder(m, "offsets"), mode="append")
-    return m.spark.read.parquet(target)
+    return ST.read_appended(m.spark, target)
 
 
 def state_records(m):
@@ -420,7 +420,7 @@ def stream_events(m):
     stream = SE.stream_events(m.spark, write_log(m, damaged=True), files_per_trigger=3).filter("NOT unreadable").select(
         "operation_id", F.col("sequence").cast("long").alias("sequence"), "type")
     ST.run_available(stream, target, folder(m, "offsets"), mode="append")
-    return m.spark.read.parquet(target)
+    return ST.read_appended(m.spark, target)
 
 
 @query("a09_file_inventory", """SELECT 'events' AS snapshot_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS total_bytes, TRUE AS all_hashed FROM (

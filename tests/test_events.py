@@ -3,10 +3,13 @@
 import json
 import random
 
+import pytest
+
 from sealcheck.operators.events import dedupe_events, latest_events
 from sealcheck.operators.state import project_state
 from sealcheck.sources.events import read_events, stream_events
-from sealcheck.streaming.events import dedupe_stream, run_available, state_stream
+from sealcheck.streaming import events as S
+from sealcheck.streaming.events import dedupe_stream, read_appended, read_merged, run_available, state_stream
 
 KINDS = [("operation.started", "STARTED", {}), ("operation.completed", "SUCCEEDED", {"archive_path": "/a"}), ("operation.failed", "FAILED", {"reason": "NETWORK_FAILURE"}),
          ("verification.recorded", "SUCCEEDED", {"result": "VERIFIED", "archive_path": "/a", "manifest_checksum": "c"}), ("connector.unhealthy", None, {"health_state": "DEGRADED", "reason": "NONE"})]
@@ -38,10 +41,51 @@ def test_stream_equals_batch(spark, tmp_path):
     want = project_state(unique)
     stream = stream_events(spark, str(log), files_per_trigger=1).filter("NOT unreadable")
     run_available(state_stream(stream), str(tmp_path / "state"), str(tmp_path / "c1"))
-    got = spark.read.parquet(str(tmp_path / "state"))
+    got = read_merged(spark, str(tmp_path / "state"))
     assert got.count() == 3 and got.select(*want.columns).exceptAll(want).count() == 0
     run_available(dedupe_stream(stream.select("operation_id", "sequence", "type")), str(tmp_path / "unique"), str(tmp_path / "c2"), mode="append")
-    assert spark.read.parquet(str(tmp_path / "unique")).count() == len(lines)
+    assert read_appended(spark, str(tmp_path / "unique")).count() == len(lines)
+
+
+def test_a_batch_that_failed_counts_once(spark, tmp_path, monkeypatch):
+    """The second batch fails half way and after its write; the run is taken up again and gives the batch result."""
+    chance, log = random.Random(8), tmp_path / "log"
+    log.mkdir()
+    for n in range(4):
+        (log / f"events-{n}.jsonl").write_text("".join(line(20 * n + i, 1, i % 5, chance) + "\n" for i in range(20)))
+    stream = stream_events(spark, str(log), files_per_trigger=1).filter("NOT unreadable")
+    want = project_state(read_events(spark, str(log))[0])
+    state, rows = str(tmp_path / "state"), str(tmp_path / "rows")
+
+    for early in (True, False):
+        for mode, target, source, name in (("update", state + str(early), state_stream(stream), "merge_batch"),
+                                           ("append", rows + str(early), stream.select("operation_id", "sequence", "type"), "append_batch")):
+            whole, left = getattr(S, name), [1]
+
+            def failing(*arguments, whole=whole, left=left, early=early):
+                write = whole(*arguments)
+
+                def run(batch, number):
+                    if number != 1 or not left:
+                        return write(batch, number)
+                    left.pop()
+                    if early:
+                        (batch.limit(2)).write.mode("append").parquet(f"{arguments[0]}/{'version' if 'state' in arguments[0] else 'batch'}={number}")
+                        (tmp_path / arguments[0].split("/")[-1] / f"{'version' if 'state' in arguments[0] else 'batch'}={number}" / "_SUCCESS").unlink()
+                    else:
+                        write(batch, number)
+                    raise ValueError("lost")
+                return run
+
+            monkeypatch.setattr(S, name, failing)
+            with pytest.raises(Exception, match="lost"):
+                run_available(source, target, target + "-offsets", mode)
+            run_available(source, target, target + "-offsets", mode)
+            monkeypatch.setattr(S, name, whole)
+        got = read_merged(spark, state + str(early))
+        assert got.count() == want.count() == 5 and got.select(*want.columns).exceptAll(want).count() == 0
+        assert read_appended(spark, rows + str(early)).count() == 80 == read_appended(spark, rows + str(early)).distinct().count()
+        assert len([p for p in (tmp_path / f"state{early}").iterdir() if p.name.startswith("version=")]) == 2
 
 
 def test_rotated_file_comes_before_the_current_one(spark, tmp_path):
