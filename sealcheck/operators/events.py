@@ -94,11 +94,18 @@ def activity(events: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
         F.col("last.operation_id").alias("last_operation_id"), F.col("last.sequence").alias("last_sequence"))
 
 
+# Subscriptions that are sent to every task; more are joined.
+MAX_SENT = 100_000
+
+
 def notifications_due(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events each enabled destination asked for; a delivery problem is never itself delivered.
 
-    `subscriptions` has (destination_id, event_type, enabled).
+    `subscriptions` has (destination_id, event_type, enabled). There are few types, so the destinations of each go to the
+    tasks as one list where their number allows it, and events are not shuffled by type.
     """
     wanted = subscriptions.filter("enabled").select("destination_id", F.col("event_type").alias("type")).distinct()
-    due = events.filter(F.col("type") != R.NEVER_NOTIFIED).join(wanted, "type")
+    sent = F.broadcast if wanted.limit(MAX_SENT + 1).count() <= MAX_SENT else lambda frame: frame
+    lists = sent(wanted.groupBy("type").agg(F.collect_list("destination_id").alias("destinations")))
+    due = events.filter(F.col("type") != R.NEVER_NOTIFIED).join(lists, "type").withColumn("destination_id", F.explode("destinations"))
     return due.select("destination_id", "type", *POSITION, idempotency_key("operation_id", "sequence", "type").alias("idempotency_key"))
