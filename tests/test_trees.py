@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from sealcheck.operators import trees
 from sealcheck.operators.organize import document_parts
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
 from sealcheck.skew import ordered_positions
@@ -44,6 +45,26 @@ def test_ancestors_match_a_plain_walk(spark, seed, floor):
     assert got == {n: walk(parents, n, accepted) for n in parents}
 
 
+def test_a_round_carries_only_what_it_found(spark, monkeypatch):
+    """64 chains of different depth beside 3000 flat nodes: what rounds write falls with the live nodes."""
+    rows = [("s", f"c{c}-{i}", f"c{c}-{i - 1}" if i else None) for c in range(64) for i in range(1 + c)] + [("s", f"f{i}", None) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "snapshot_id string, node string, parent string")
+    written = []
+
+    def counted(part):
+        stored = cut(part)
+        written.append((stored.count(), stored.filter("jump IS NOT NULL").count()))
+        return stored
+
+    cut = trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", counted)
+    got = trees.resolve_ancestor(frame, F.lit(False))
+    assert got.count() == len(rows) and got.filter("outcome <> 'NO_PARENT'").count() == 0
+    rounds = written[1:]
+    assert [live for _, live in rounds] == [sum(max(0, c + 1 - 2 ** k) for c in range(64)) for k in range(7)]
+    assert all(size <= 2 * live for (size, _), (_, live) in zip(rounds[1:], rounds))
+
+
 def test_cycles_include_nodes_that_lead_in(spark):
     parents = forest(3)
     frame = spark.createDataFrame([("s", n, p) for n, p in parents.items()], "snapshot_id string, node string, parent string")
