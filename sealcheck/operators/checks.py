@@ -16,7 +16,7 @@ from sealcheck.operators.capabilities import compare_capabilities, validate_capa
 from sealcheck.operators.findings import coded, finding, first_code, union_all, union_findings
 from sealcheck.operators.pages import ledger_contiguity
 from sealcheck.operators.seal import archived_counts, discrepancies, observed_counts, zero
-from sealcheck.operators.trees import parent_cycles, resolve_ancestor
+from sealcheck.operators.trees import climb, parent_cycles
 from sealcheck.session import cut_lineage
 from sealcheck.schemas import ENTITY_TABLES, MANIFEST_VERSIONS, PORTABLE_COLUMNS, portable_columns
 
@@ -222,18 +222,29 @@ def duplicate_sources(entities: DataFrame) -> DataFrame:
     return indexed.groupBy("snapshot_id", "type", "source_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def orphans(tables: Tables) -> DataFrame:
-    """References that resolve to nothing, over all foreign keys."""
-    parts = []
+def references(tables: Tables) -> DataFrame:
+    """Every non-null foreign key as (snapshot_id, target, ref, rule, key); each child table is read once for all its rules."""
+    rules: dict[str, list] = {}
     for child, key, column, parent in R.FOREIGN_KEYS:
-        targets = tables[parent].select("snapshot_id", F.col("id").alias(column))
-        if key == column:
-            rows = tables[child].select("snapshot_id", column, F.col(column).alias("_key"))
-        else:
-            rows = tables[child].select("snapshot_id", column, F.col(key).alias("_key"))
-        broken = rows.filter(F.col(column).isNotNull()).join(targets, ["snapshot_id", column], "left_anti")
-        parts.append(finding(broken, "referential_integrity", "ORPHAN", f"{child}.{column}", F.col("_key"), F.col(column)))
-    return union_findings(parts)
+        rules.setdefault(child, []).append(F.struct(
+            F.lit(parent).alias("target"), F.col(column).alias("ref"), F.lit(f"{child}.{column}").alias("rule"), F.col(key).alias("key")))
+    return union_all([tables[child].select("snapshot_id", F.inline(F.array(*structs))).filter("ref IS NOT NULL") for child, structs in rules.items()])
+
+
+def orphans(tables: Tables) -> DataFrame:
+    """References that resolve to nothing, over all foreign keys.
+
+    Keys and references of all rules go through one aggregate on (snapshot, table, id), combined before the shuffle, so
+    a parent that many rows name costs one row a task. The ids that are missing are written; only rows naming one are
+    looked up, and where few are missing the optimizer's size check broadcasts them.
+    """
+    named = references(tables)
+    identity = ["snapshot_id", "target", "ref"]
+    parents = union_all([tables[parent].select("snapshot_id", F.lit(parent).alias("target"), F.col("id").alias("ref"), F.lit(True).alias("present"))
+                         for parent in sorted({rule[3] for rule in R.FOREIGN_KEYS})])
+    missing = cut_lineage(parents.unionByName(named.select(*identity, F.lit(False).alias("present")))
+                          .groupBy(*identity).agg(F.bool_or("present").alias("present")).filter("NOT present").drop("present"))
+    return finding(named.join(missing, identity, "left_semi"), "referential_integrity", "ORPHAN", F.col("rule"), F.col("key"), F.col("ref"))
 
 
 def relationship_evidence(relationships: DataFrame, records: DataFrame) -> DataFrame:
@@ -274,11 +285,17 @@ def single_workspace(workspaces: DataFrame) -> DataFrame:
 
 
 def ownership(tables: Tables) -> DataFrame:
-    only = single_workspace(tables["workspaces"])
-    return union_findings([
-        finding(tables[t].join(only, "snapshot_id").filter(_no(F.col("workspace_id") == F.col("only_workspace"))),
-                "referential_integrity", "FOREIGN_WORKSPACE", t, F.col("id"), F.col("workspace_id"))
-        for t in R.WORKSPACE_OWNED])
+    """Rows of a workspace that is not the only one of their snapshot.
+
+    What is joined to the workspaces are the few different workspaces the rows name, not the rows.
+    """
+    owned = union_all([tables[t].select("snapshot_id", F.lit(t).alias("table"), "id", F.struct("workspace_id").alias("workspace"))
+                       for t in R.WORKSPACE_OWNED])
+    named = owned.select("snapshot_id", "workspace").distinct()
+    foreign = named.join(single_workspace(tables["workspaces"]), "snapshot_id").filter(
+        _no(F.col("workspace.workspace_id") == F.col("only_workspace"))).select("snapshot_id", "workspace")
+    return finding(owned.join(foreign, ["snapshot_id", "workspace"], "left_semi"), "referential_integrity", "FOREIGN_WORKSPACE",
+                   F.col("table"), F.col("id"), F.col("workspace.workspace_id"))
 
 
 def referential_integrity(tables: Tables, entities: DataFrame | None = None) -> DataFrame:
@@ -454,6 +471,27 @@ def stored_pointers(tables: Tables) -> DataFrame:
     return rows.groupBy("snapshot_id", "type", F.col("source_id").alias("id")).agg(F.min("o").alias("o")).select("snapshot_id", "type", "id", "o.*")
 
 
+# Nested tables and the table their rows are owned by.
+OWNERS = {"records": "collections", "comments": "records"}
+
+
+def rooted_rows(placed: DataFrame) -> DataFrame:
+    """(snapshot_id, table, portable, rooted): the owner that nested rows lead to, in one walk over archived objects.
+
+    A row directly under an owner starts out settled, so owners are no nodes of the walk and both tables share it.
+    """
+    nested = placed.filter(F.col("table").isin(*OWNERS))
+    owner_table = F.element_at(F.create_map(*[F.lit(name) for pair in OWNERS.items() for name in pair]), F.col("table"))
+    rows = nested.groupBy("snapshot_id", "table", "portable").agg(F.min(F.struct("above", F.col("under") == F.col("table"), F.col("under") == owner_table)).alias("p"))
+    rows = rows.select(F.struct("snapshot_id", "table", "portable").alias("id"), "table", F.col("p.above").alias("above"),
+                       F.coalesce(F.col("p.col2"), F.lit(False)).alias("inside"), F.coalesce(F.col("p.col3"), F.lit(False)).alias("owned"))
+    walk = climb(rows.select(
+        "id", F.when(F.col("inside"), F.struct("id.snapshot_id", "table", F.col("above").alias("portable"))).alias("jump"),
+        F.when(F.col("owned"), F.col("above")).alias("ancestor"),
+        F.when(F.col("owned"), "FOUND").when(~F.col("inside"), "NO_PARENT").alias("outcome")))
+    return walk.filter("outcome = 'FOUND'").select("id.*", F.col("ancestor").alias("rooted"))
+
+
 def hierarchy_reconstruction(index: DataFrame, tables: Tables) -> DataFrame:
     """Stored parent pointers reproduce the source index, nested rows by ancestry.
 
@@ -464,55 +502,43 @@ def hierarchy_reconstruction(index: DataFrame, tables: Tables) -> DataFrame:
                              F.col("table").alias("under"), F.col("portable").alias("above"))
     named = index.withColumn("declares", F.coalesce("parent_type", F.lit("")) != "").select(
         "snapshot_id", "type", "id", "parent_type", "parent_id", "declares")
-    # Read by every rule below; written once so that the joins behind it are not repeated per rule.
+    # Read by the walk and by the rules; written once so that the joins behind it are not repeated.
     placed = cut_lineage(objects.join(named, ["snapshot_id", "type", "id"], "left").join(
-        parents, ["snapshot_id", "parent_type", "parent_id"], "left"))
-    indexed = placed.filter("declares IS NOT NULL AND (NOT declares OR under IS NOT NULL)")
-    lost = placed.filter("declares AND under IS NULL")
-    nodes = placed.select("snapshot_id", "table", F.col("portable").alias("node"), F.col("above").alias("parent"))
-
-    def roots(child: str, stop: str) -> DataFrame:
-        """Nearest ancestor in table `stop` of every row of `child`, walking archived objects only."""
-        walk = resolve_ancestor(nodes.filter(F.col("table").isin(child, stop)), F.col("table") == stop)
-        return walk.filter("outcome = 'FOUND'").select("snapshot_id", F.col("node").alias("portable"), F.col("ancestor").alias("rooted"))
-
-    def rows(table: str) -> DataFrame:
-        return indexed.filter(F.col("table") == table)
-
-    check = "hierarchy_reconstruction"
-    top, above, under = F.col("under").isNull(), F.col("above"), F.coalesce("under", F.lit(""))
-
-    def report(frame: DataFrame, rules: list) -> DataFrame:
-        return coded(frame, check, rules, F.col("type"), F.col("id"))
-
-    def nesting(table: str, owner_table: str) -> DataFrame:
-        own, nested = F.col("owner"), F.col("stored")
-        inside = rows(table).join(roots(table, owner_table), ["snapshot_id", "portable"], "left")
-        return report(inside, [
-            (top, "NO_RECORDED_PARENT"), ((under == owner_table) & nested.isNotNull(), "NESTED_BUT_DIRECT"),
-            ((under == owner_table) & _no(own == above), "WRONG_OWNER"),
-            ((under == table) & _no(nested == above), "WRONG_PARENT"),
-            ((under == table) & F.col("rooted").isNull(), "NOT_TRACEABLE"),
-            ((under == table) & (F.col("rooted") != own), "OWNER_NOT_SUPPORTED"),
-            (~top & ~under.isin(table, owner_table), "UNSUPPORTED_PARENT")])
-
-    workspaces, containers, attachments = rows("workspaces"), rows("containers"), rows("attachments")
-    collections = rows("collections").join(single_workspace(tables["workspaces"]), "snapshot_id", "left")
-    stored = F.col("stored")
-    return union_findings([
-        finding(lost, check, "PARENT_NOT_ARCHIVED", F.col("type"), F.col("id")),
-        report(workspaces, [(~top, "WORKSPACE_HAS_PARENT")]),
-        report(containers, [
-            (top & stored.isNotNull(), "UNRECORDED_PARENT"),
-            ((under == "workspaces") & stored.isNotNull(), "NESTED_BUT_DIRECT"),
-            ((under == "workspaces") & _no(F.col("owner") == above), "WRONG_OWNER"),
-            ((under == "containers") & _no(stored == above), "WRONG_PARENT"),
-            (~top & ~under.isin("workspaces", "containers"), "UNSUPPORTED_PARENT")]),
-        report(collections, [
-            (under != "containers", "NOT_IN_CONTAINER"), ((under == "containers") & _no(stored == above), "WRONG_PARENT"),
-            (F.col("owner") != F.col("only_workspace"), "WRONG_OWNER")]),
-        nesting("records", "collections"), nesting("comments", "records"),
-        report(attachments, [(under != "records", "NOT_ON_RECORD"), ((under == "records") & _no(stored == above), "WRONG_OWNER")])])
+        parents, ["snapshot_id", "parent_type", "parent_id"], "left").select(
+        "snapshot_id", "type", "id", "table", "portable", "stored", "owner", "declares", "under", "above"))
+    # Only rows inside a row of their own table depend on the walk.
+    inside = F.col("table").isin(*OWNERS) & F.col("under").eqNullSafe(F.col("table"))
+    walked = placed.filter(inside).join(rooted_rows(placed), ["snapshot_id", "table", "portable"], "left")
+    only = single_workspace(tables["workspaces"])
+    collections = placed.filter("table = 'collections'").join(only, "snapshot_id", "left")
+    rest = placed.filter(~inside & (F.col("table") != "collections"))
+    rows = rest.unionByName(walked, allowMissingColumns=True).unionByName(collections, allowMissingColumns=True)
+
+    indexed = F.col("declares").isNotNull() & (~F.col("declares") | F.col("under").isNotNull())
+    top, above, under, own, stored = F.col("under").isNull(), F.col("above"), F.coalesce("under", F.lit("")), F.col("owner"), F.col("stored")
+
+    def rules(table: str, *broken: tuple[Column, str]) -> list:
+        return [(indexed & (F.col("table") == table) & condition, code) for condition, code in broken]
+
+    def nesting(table: str) -> list:
+        owner_table = OWNERS[table]
+        return rules(
+            table, (top, "NO_RECORDED_PARENT"), ((under == owner_table) & stored.isNotNull(), "NESTED_BUT_DIRECT"),
+            ((under == owner_table) & _no(own == above), "WRONG_OWNER"), ((under == table) & _no(stored == above), "WRONG_PARENT"),
+            ((under == table) & F.col("rooted").isNull(), "NOT_TRACEABLE"), ((under == table) & (F.col("rooted") != own), "OWNER_NOT_SUPPORTED"),
+            (~top & ~under.isin(table, owner_table), "UNSUPPORTED_PARENT"))
+
+    return coded(rows, "hierarchy_reconstruction", [
+        (F.col("declares") & top, "PARENT_NOT_ARCHIVED"),
+        *rules("workspaces", (~top, "WORKSPACE_HAS_PARENT")),
+        *rules("containers", (top & stored.isNotNull(), "UNRECORDED_PARENT"), ((under == "workspaces") & stored.isNotNull(), "NESTED_BUT_DIRECT"),
+               ((under == "workspaces") & _no(own == above), "WRONG_OWNER"), ((under == "containers") & _no(stored == above), "WRONG_PARENT"),
+               (~top & ~under.isin("workspaces", "containers"), "UNSUPPORTED_PARENT")),
+        *rules("collections", (under != "containers", "NOT_IN_CONTAINER"), ((under == "containers") & _no(stored == above), "WRONG_PARENT"),
+               (own != F.col("only_workspace"), "WRONG_OWNER")),
+        *nesting("records"), *nesting("comments"),
+        *rules("attachments", (under != "records", "NOT_ON_RECORD"), ((under == "records") & _no(stored == above), "WRONG_OWNER"))],
+        F.col("type"), F.col("id"))
 
 
 def raw_evidence_references(entities: DataFrame, files: DataFrame) -> DataFrame:

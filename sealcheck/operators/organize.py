@@ -10,7 +10,7 @@ from sealcheck.functions.text import (attachment_component, code_block, escapes_
                                       plural_kind, safe_component)
 from sealcheck.operators.findings import coded, finding, union_all
 from sealcheck.session import cut_lineage
-from sealcheck.skew import ordered_positions
+from sealcheck.skew import running_total
 
 Tables = dict[str, DataFrame]
 PROVENANCE = ["source_provider", "source_type", "source_id", "source_raw_path"]
@@ -235,34 +235,42 @@ def document_blocks(tables: Tables) -> DataFrame:
     return union_all([record_header(tables["records"]), section_headings(items), items])
 
 
-PART_BLOCKS = 1000
+PART_BYTES = 32 << 20
 
 
-def document_parts(blocks: DataFrame, blocks_per_part: int = PART_BLOCKS) -> DataFrame:
-    """Blocks joined to (snapshot_id, record_id, part, content), at most `blocks_per_part` blocks each.
+def document_parts(blocks: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Blocks joined to (snapshot_id, record_id, part, content), no part above `part_bytes` bytes of UTF-8.
 
-    A record with few blocks is joined whole. One with more is numbered over as many tasks as it needs and cut
-    into parts, so that no record, however large, is collected into one row.
+    A part begins at each half of the bound and takes the blocks that start there. A block above half the bound is cut
+    between characters, so a part ends within the next half. The parts of a document in order are its content. Offsets are
+    running sums over as many tasks as a document needs; one that ends within the first half has part 0 alone, without sums.
+    Equal blocks all stay. `part_bytes` is at least 8, for a character may take four bytes.
     """
-    key = ["snapshot_id", "record_id"]
-    blocks = cut_lineage(blocks)
-    large = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > blocks_per_part).select(*key)
+    if part_bytes < 8:
+        raise ValueError(f"part_bytes is {part_bytes}")
+    key, half = ["snapshot_id", "record_id"], part_bytes // 2
+    # Equal blocks are told apart by their place in the written frame, so that their pieces stay together.
+    blocks = cut_lineage(blocks.withColumn("bytes", F.octet_length("text").cast("long")).withColumn("tie", F.xxhash64("text"))
+                         .withColumn("row", F.monotonically_increasing_id()))
+    large = blocks.groupBy(*key).agg(F.sum("bytes").alias("n")).filter(F.col("n") > half).select(*key)
 
     def joined(frame, order):
         grouped = frame.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("blocks"))
         return grouped.select(*key, "part", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("content"))
 
-    small = joined(blocks.join(large, key, "left_anti").withColumn("part", F.lit(0).cast("long")), ITEM_KEYS)
-    numbered = ordered_positions(blocks.join(large, key, "left_semi"), key, [*ITEM_KEYS, "text"])
-    part = F.floor((F.col("position") - 1) / blocks_per_part).cast("long")
-    return small.unionByName(joined(numbered.withColumn("part", part), ["position"]))
+    small = joined(blocks.join(large, key, "left_anti").withColumn("part", F.lit(0).cast("long")), [*ITEM_KEYS, "tie"])
+    pieces = F.when(F.col("bytes") > half, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{half // 4}}}"), F.lit(0))).otherwise(F.array("text"))
+    cut = blocks.join(large, key, "left_semi").select(*key, *ITEM_KEYS, "tie", "row", F.posexplode(pieces).alias("piece", "text"))
+    size = F.octet_length("text").cast("long")
+    placed = running_total(cut, key, [*ITEM_KEYS, "tie", "row", "piece"], size, "end")
+    return small.unionByName(joined(placed.withColumn("part", F.floor((F.col("end") - size) / half).cast("long")), [*ITEM_KEYS, "tie", "row", "piece"]))
 
 
-def record_documents(tables: Tables, prefix: str = DEFAULT_PREFIX, blocks_per_part: int = PART_BLOCKS) -> DataFrame:
+def record_documents(tables: Tables, prefix: str = DEFAULT_PREFIX, part_bytes: int = PART_BYTES) -> DataFrame:
     """Markdown documents as (snapshot_id, collection_id, record_id, path, part, content); a document is its parts in order."""
     paths = record_paths(tables, prefix).select("snapshot_id", "record_id", "collection_id",
                                                 F.concat_ws("/", "directory", F.lit("record.md")).alias("path"))
-    return document_parts(document_blocks(tables), blocks_per_part).join(paths, ["snapshot_id", "record_id"]).select(
+    return document_parts(document_blocks(tables), part_bytes).join(paths, ["snapshot_id", "record_id"]).select(
         "snapshot_id", "collection_id", "record_id", "path", "part", "content")
 
 

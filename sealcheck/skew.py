@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sealcheck.session import cut_lineage
 
@@ -33,29 +33,32 @@ def lookup(facts: DataFrame, unique: DataFrame, key: str, rows: int, how: str =
     return hot_rows.unionByName(facts.join(hot, key, "left_anti").join(unique, key, how))
 
 
-def ordered_positions(frame: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position",
-                      partitions: int | None = None) -> DataFrame:
-    """1-based position of each row inside its group, also when one group spans many tasks.
+def running_total(frame: DataFrame, group: Sequence[str], order: Sequence[str], amount: Column, name: str,
+                  partitions: int | None = None) -> DataFrame:
+    """Sum of `amount` over the rows of a group up to and with each row, also when one group spans many tasks.
 
     Rows are range-partitioned by group and order together, so a hot group is spread over as many ranges as it
-    needs. Positions are first counted inside a range, then shifted by the rows the same group has in earlier
-    ranges. Only a group that crosses a range boundary needs a shift, so at most one group per boundary, and
-    each has at most one row per range. `order` must be total within a group.
+    needs. Sums are first made inside a range, then shifted by what the same group has in earlier ranges. Only a
+    group that crosses a range boundary needs a shift, at most one per boundary. `order` must be total within a group.
     """
     spark = frame.sparkSession
     ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(frame.repartitionByRange(ranges, *group, *order)
+    placed = cut_lineage(frame.withColumn("_amount", amount.cast("long")).repartitionByRange(ranges, *group, *order)
                          .withColumn("_range", F.spark_partition_id()))
-    inside = Window.partitionBy("_range", *group).orderBy(*order)
-    numbered = placed.withColumn("_inside", F.row_number().over(inside))
-    sizes = placed.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    spanning = (sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"), F.collect_list(
-        F.struct("_range", "_n")).alias("_parts")).filter("_k > 1"))
-    shifts = (spanning.withColumn("_part", F.explode("_parts")).select(
-        *group, F.col("_part._range").alias("_range"),
-        F.aggregate(F.filter("_parts", lambda p: p["_range"] < F.col("_part._range")), F.lit(0).cast("long"),
-                    lambda total, p: total + p["_n"]).alias("_shift")))
-    # One row per range and spanning group: never more than twice the number of ranges.
-    return (numbered.join(F.broadcast(shifts), [*group, "_range"], "left")
+    inside = Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_range").agg(F.sum("_amount").alias("_sum"))
+    # One row per range boundary that lies inside a group: fewer than the number of ranges.
+    shifts = sums.withColumn("_shift", F.sum("_sum").over(earlier)).filter("_shift IS NOT NULL").drop("_sum")
+    # A struct is never null, so groups with a null key find their shift too.
+    key = F.struct("_range", *group).alias("_key")
+    summed = placed.withColumn("_inside", F.sum("_amount").over(inside)).withColumn("_key", key)
+    return (summed.join(F.broadcast(shifts.select(key, "_shift")), "_key", "left")
             .withColumn(name, F.col("_inside") + F.coalesce("_shift", F.lit(0)))
-            .drop("_range", "_inside", "_shift"))
+            .drop("_key", "_range", "_inside", "_shift", "_amount"))
+
+
+def ordered_positions(frame: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position",
+                      partitions: int | None = None) -> DataFrame:
+    """1-based position of each row inside its group, by `running_total`."""
+    return running_total(frame, group, order, F.lit(1), name, partitions)

@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from sealcheck.operators import trees
 from sealcheck.operators.organize import document_parts
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
-from sealcheck.skew import ordered_positions
+from sealcheck.skew import ordered_positions, running_total
 
 
 def forest(seed):
@@ -78,11 +78,37 @@ def test_positions_of_a_hot_group(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == 3000
 
 
-def test_a_large_document_is_cut_and_stays_whole(spark):
-    rows = [("s", "big", 4, "comments", f"{n:05d}", "", "", f"<{n}>") for n in range(2500)] + [("s", "small", 1, "tags", "0", "", "", "t")]
-    blocks = spark.createDataFrame(rows, "snapshot_id string, record_id string, section_no int, section string, k1 string, k2 string, k3 string, text string")
-    parts = document_parts(blocks, 400).orderBy("record_id", "part").collect()
-    big = [r for r in parts if r.record_id == "big"]
-    assert [r.part for r in big] == list(range(7))
-    assert "".join(r.content for r in big) == "".join(f"<{n}>" for n in range(2500))
-    assert [r.content for r in parts if r.record_id == "small"] == ["t"]
+def test_totals_of_a_null_group_over_many_ranges(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 5).alias("g"), F.col("id").alias("o"))
+    want = rows.withColumn("total", F.sum(F.col("o") % 7).over(Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)))
+    got = running_total(rows, ["g"], ["o"], F.col("o") % 7, "total", partitions=16)
+    assert got.exceptAll(want).count() == 0 and got.count() == 2000
+
+
+BLOCKS = "snapshot_id string, record_id string, section_no int, section string, k1 string, k2 string, k3 string, text string"
+
+
+def block(record, key, text, section=4):
+    return "s", record, section, "comments", key, "", "", text
+
+
+@pytest.mark.parametrize("bound", [9, 64, 500, 4001, 100_000])
+def test_parts_stay_within_their_bytes_and_are_the_document(spark, bound):
+    """Many small blocks, long ones of wide characters, equal long ones with equal keys, an empty one, an empty document."""
+    chance = random.Random(bound)
+    rows = [block("big", f"{n:05d}", f"<{n}>" + "ä€😀\n"[n % 4] * chance.randrange(9)) for n in range(600)]
+    rows += [block("wide", f"{n}", "".join(chance.choice("aß€😀") for _ in range(700))) for n in range(4)] + [block("wide", "2b", "")]
+    rows += [block("twins", "0", "".join(map(str, range(900)))) for _ in range(3)] + [block("small", "0", "t", 1), block("empty", "0", "")]
+    want = {record: "".join(r[7] for r in sorted(r for r in rows if r[1] == record)) for record in ("big", "wide", "twins", "small", "empty")}
+    parts = document_parts(spark.createDataFrame(rows, BLOCKS), bound).orderBy("record_id", "part").collect()
+    got = {record: [r for r in parts if r.record_id == record] for record in want}
+    assert {record: "".join(r.content for r in found) for record, found in got.items()} == want
+    assert all([r.part for r in found] == list(range(len(found))) for found in got.values())
+    assert max(len(r.content.encode()) for r in parts) <= bound
+
+
+def test_one_very_long_block_is_cut(spark):
+    rows = spark.range(1).select(F.lit("s").alias("snapshot_id"), F.lit("r").alias("record_id"), F.lit(0).alias("section_no"), F.lit("record").alias("section"),
+                                 F.lit("").alias("k1"), F.lit("").alias("k2"), F.lit("").alias("k3"), F.expr("repeat('0123456789', 10000000)").alias("text"))
+    sizes = [r.n for r in document_parts(rows, 8 << 20).select("part", F.octet_length("content").alias("n")).orderBy("part").collect()]
+    assert sum(sizes) == 100_000_000 and max(sizes) <= 8 << 20
