@@ -238,13 +238,14 @@ def document_blocks(tables: Tables) -> DataFrame:
 PART_BYTES = 32 << 20
 
 
-def document_parts(blocks: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def document_parts(blocks: DataFrame, part_bytes: int = PART_BYTES, about: DataFrame | None = None) -> DataFrame:
     """Blocks joined to (snapshot_id, record_id, part, content), no part above `part_bytes` bytes of UTF-8.
 
     A part begins at each half of the bound and takes the blocks that start there. A block above half the bound is cut
     between characters, so a part ends within the next half. The parts of a document in order are its content. Offsets are
     running sums over as many tasks as a document needs; one that ends within the first half has part 0 alone, without sums.
-    Equal blocks all stay. `part_bytes` is at least 8, for a character may take four bytes.
+    Equal blocks all stay. `part_bytes` is at least 8, for a character may take four bytes. Where `about` is given, one row
+    per (snapshot_id, record_id), its columns are added and documents it does not name are left out.
     """
     if part_bytes < 8:
         raise ValueError(f"part_bytes is {part_bytes}")
@@ -254,23 +255,26 @@ def document_parts(blocks: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame
                          .withColumn("row", F.monotonically_increasing_id()))
     large = blocks.groupBy(*key).agg(F.sum("bytes").alias("n")).filter(F.col("n") > half).select(*key)
 
-    def joined(frame, order):
-        grouped = frame.groupBy(*key, "part").agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("blocks"))
-        return grouped.select(*key, "part", F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("content"))
+    def joined(frame, group, order):
+        grouped = frame.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("blocks"))
+        content = grouped.select(*group, F.array_join(F.transform("blocks", lambda b: b["text"]), "").alias("content"))
+        return content if about is None else content.join(about, key)
 
-    small = joined(blocks.join(large, key, "left_anti").withColumn("part", F.lit(0).cast("long")), [*ITEM_KEYS, "tie"])
+    # Grouped by the key of the join with `about`, so that contents are not shuffled once more.
+    small = joined(blocks.join(large, key, "left_anti"), key, [*ITEM_KEYS, "tie"]).withColumn("part", F.lit(0).cast("long"))
     pieces = F.when(F.col("bytes") > half, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{half // 4}}}"), F.lit(0))).otherwise(F.array("text"))
     cut = blocks.join(large, key, "left_semi").select(*key, *ITEM_KEYS, "tie", "row", F.posexplode(pieces).alias("piece", "text"))
     size = F.octet_length("text").cast("long")
     placed = running_total(cut, key, [*ITEM_KEYS, "tie", "row", "piece"], size, "end")
-    return small.unionByName(joined(placed.withColumn("part", F.floor((F.col("end") - size) / half).cast("long")), [*ITEM_KEYS, "tie", "row", "piece"]))
+    parts = joined(placed.withColumn("part", F.floor((F.col("end") - size) / half).cast("long")), [*key, "part"], [*ITEM_KEYS, "tie", "row", "piece"])
+    return small.unionByName(parts)
 
 
 def record_documents(tables: Tables, prefix: str = DEFAULT_PREFIX, part_bytes: int = PART_BYTES) -> DataFrame:
     """Markdown documents as (snapshot_id, collection_id, record_id, path, part, content); a document is its parts in order."""
     paths = record_paths(tables, prefix).select("snapshot_id", "record_id", "collection_id",
                                                 F.concat_ws("/", "directory", F.lit("record.md")).alias("path"))
-    return document_parts(document_blocks(tables), part_bytes).join(paths, ["snapshot_id", "record_id"]).select(
+    return document_parts(document_blocks(tables), part_bytes, paths).select(
         "snapshot_id", "collection_id", "record_id", "path", "part", "content")
 
 
