@@ -1,11 +1,14 @@
 """Ancestors, cycles and positions against brute force, with and without the hot-key path."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window, functions as F
 
+from sealcheck import rules as R
 from sealcheck.operators import trees
+from sealcheck.operators.checks import orphans, ownership
 from sealcheck.operators.organize import document_parts
 from sealcheck.operators.trees import parent_cycles, resolve_ancestor
 from sealcheck.skew import ordered_positions, running_total
@@ -71,6 +74,54 @@ def test_cycles_include_nodes_that_lead_in(spark):
     assert {r.node for r in parent_cycles(frame).collect()} == {"c0", "c1", "c2", "c3", "c4", "self"}
 
 
+@pytest.mark.parametrize("seed,floor", [(4, 1_000_000), (5, 20)])
+def test_cycles_of_random_graphs(spark, seed, floor):
+    """Every node has any parent, also one that is no node; a repeated node counts with its smallest parent."""
+    chance = random.Random(seed)
+    rows = [(f"s{n % 2}", f"n{n}", chance.choice([None, "gone", "n1"] + [f"n{chance.randrange(400)}"] * 9)) for n in range(400)]
+    rows += [("s0", "n2", "n0"), ("s0", "n2", "n2")]
+    parents = {}
+    for snapshot, node, parent in rows:
+        old = parents.get((snapshot, node))
+        parents[snapshot, node] = old if parent is None else parent if old is None else min(old, parent)
+    want = set()
+    for start in parents:
+        at, steps = start, 0
+        while at in parents and parents[at] is not None and steps <= len(parents):
+            at, steps = (at[0], parents[at]), steps + 1
+        if steps > len(parents):
+            want.add(start)
+    frame = spark.createDataFrame(rows, "snapshot_id string, node string, parent string")
+    got = [(r.snapshot_id, r.node) for r in parent_cycles(frame, share=4, floor=floor).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_orphans_of_all_keys_against_a_plain_lookup(spark):
+    """A hot parent, a hot missing id, an id that exists in another snapshot or table only, nulls and repeated rows."""
+    chance, columns = random.Random(6), {}
+    for child, key, column, parent in R.FOREIGN_KEYS:
+        columns.setdefault(child, {"id"}).update({key, column})
+        columns.setdefault(parent, {"id"})
+    ids = [None, "p0", "p0", "p0", "gone", "gone"] + [f"p{n}" for n in range(12)]
+    rows = {table: [{"snapshot_id": f"s{n % 2}", **{c: chance.choice(ids) for c in sorted(names)}, "id": f"p{n % 9}"} for n in range(40)]
+            for table, names in columns.items()}
+    tables = {table: spark.createDataFrame(found, ", ".join(f"{c} string" for c in found[0])) for table, found in rows.items()}
+    have = {(table, r["snapshot_id"], r["id"]) for table, found in rows.items() for r in found}
+    want = Counter((r["snapshot_id"], f"{child}.{column}", r[key], r[column]) for child, key, column, parent in R.FOREIGN_KEYS
+                   for r in rows[child] if r[column] is not None and (parent, r["snapshot_id"], r[column]) not in have)
+    assert Counter((r.snapshot_id, r.entity, r.key, r.detail) for r in orphans(tables).collect()) == want and want
+
+
+def test_ownership_of_rows(spark):
+    """Only snapshots with exactly one workspace are judged; a row without workspace is in the wrong one."""
+    spaces = spark.createDataFrame([("one", "w"), ("two", "w"), ("two", "v")], "snapshot_id string, id string")
+    owned = spark.createDataFrame([("one", "a", "w"), ("one", "b", "x"), ("one", "c", None), ("one", "d", ""), ("two", "e", "x"), ("none", "f", "x")],
+                                  "snapshot_id string, id string, workspace_id string")
+    found = ownership({"workspaces": spaces, **{table: owned for table in R.WORKSPACE_OWNED}}).collect()
+    assert {(r.entity, r.key, r.detail) for r in found} == {(t, k, d) for t in R.WORKSPACE_OWNED for k, d in (("b", "x"), ("c", None), ("d", ""))}
+    assert len(found) == 3 * len(R.WORKSPACE_OWNED)
+
+
 def test_positions_of_a_hot_group(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 11).alias("g"), (F.col("id") * 37 % 3000).alias("o"))
     want = rows.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("o")))
