@@ -39,6 +39,18 @@ def raw_scalars(m):
                         J.mistyped(members["name"], J.raw_string(members["name"])).alias("bad_name"))
 
 
+@query("b02_verbatim_scalars", """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey || '.50' WHEN 1 THEN o_custkey || 'e2' WHEN 2 THEN '-' || o_custkey || '.0E-03'
+  ELSE CAST(o_custkey AS VARCHAR) END AS n FROM orders) SELECT o_orderkey, n AS scalar, n AS priority, '[' || n || ',"' || n || '"]' AS list FROM t""")
+def verbatim_scalars(m):
+    key, number = F.col("o_orderkey") % 4, text("o_custkey")
+    spelled = (F.when(key == 0, F.concat(number, F.lit(".50"))).when(key == 1, F.concat(number, F.lit("e2")))
+               .when(key == 2, F.concat(F.lit("-"), number, F.lit(".0E-03"))).otherwise(number))
+    document = F.concat(F.lit('{"scalar":'), spelled, F.lit(',"priority":{"priority":'), spelled, F.lit('},"list":['), spelled, F.lit(',"'), spelled, F.lit('"]}'))
+    frame, members = J.with_members(m.read("orders").withColumn("doc", document), "doc", ["scalar", "priority", "list"], "m")
+    return frame.select("o_orderkey", J.raw_scalar(members["scalar"]).alias("scalar"), J.priority_field(members["priority"]).alias("priority"),
+                        members["list"].text.alias("list"))
+
+
 @query("b03_source_id", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'k' || o_orderkey WHEN 1 THEN CAST(o_orderkey AS VARCHAR) END AS source_id FROM orders""")
 def source_ids(m):
     key, number = F.col("o_orderkey") % 5, text("o_orderkey")

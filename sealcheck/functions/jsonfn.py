@@ -1,8 +1,8 @@
 """JSON expressions over raw response text.
 
-Field text comes from a STRING schema, the kind of a field from a VARIANT schema. Strings and integers of any size
-keep their text; a number with a fraction or exponent comes back in its shortest form (1e2 as 100.0), also inside
-objects and arrays. Where the literal must survive, canonical_json, canonical_member and canonical_elements keep it.
+Field text comes from a STRING schema, the kind of a field from a VARIANT schema. Parsing would print a number with a
+fraction or exponent anew (1.50 as 1.5, 1e2 as 100.0), so `exact_numbers` wraps such literals in text first and the
+fields of raw_fields and with_members unwrap them, also inside objects and arrays: every scalar keeps its own spelling.
 """
 
 from __future__ import annotations
@@ -40,19 +40,60 @@ def _struct_of(names: list[str], kind: str) -> str:
     return "struct<" + ",".join(f"{_quoted(n)}:{kind}" for n in names) + ">"
 
 
+# Stands before a number literal that travels as text. A private character; the text's own ones are doubled meanwhile.
+_MARK = "\uE0F1"
+_OWN_MARK = rf"(?<!\\)((?:\\\\)*+)(?:{_MARK}|\\u[eE]0[fF]1)"
+_BROKEN_NUMBER = r"[0-9](?:\.[0-9]|[eE][+-]?[0-9])"
+# \G ties each match to the one before. A match passes over what is no such number: structure, words, whole strings and
+# plain integers. Where the text is no JSON the chain breaks and the rest stays as written.
+_NEXT_NUMBER = (r'\G((?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+"|-?+[0-9]++(?![0-9.eE]))*+)'
+                r'(-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++(?:[eE][+-]?+[0-9]++)?+|[eE][+-]?+[0-9]++))(?=[ \t\r\n,\]}]|$)')
+
+
+def exact_numbers(document: Column) -> Column:
+    """The JSON text with every number that has a fraction or exponent as a marked string of the same spelling.
+
+    One regular expression in the JVM, only for documents that hold such a number at all. Marks of the document's own,
+    plain or escaped, are doubled, so that one mark before a digit is always that of a number.
+    """
+    document = F.when(document.rlike(_OWN_MARK), F.regexp_replace(document, _OWN_MARK, f"$1{_MARK}{_MARK}")).otherwise(document)
+    return F.when(document.rlike(_BROKEN_NUMBER), F.regexp_replace(document, _NEXT_NUMBER, f'$1"{_MARK}$2"')).otherwise(document)
+
+
+def _own(text: Column) -> Column:
+    return F.when(text.contains(_MARK), F.replace(text, F.lit(_MARK * 2), F.lit(_MARK))).otherwise(text)
+
+
+def _is_number(text: Column) -> Column:
+    return text.startswith(_MARK) & ~text.startswith(_MARK * 2)
+
+
+def unwrapped(text: Column) -> Column:
+    """A parsed text with its numbers as they were written and its own marks single again."""
+    nested = F.regexp_replace(text, f'"{_MARK}([0-9-][^"]*+)"', "$1")
+    return F.when(~text.contains(_MARK), text).when(_is_number(text), F.substring(text, 2, F.length(text))).otherwise(_own(nested))
+
+
+def json_items(array: Column) -> Column:
+    """The elements of a JSON array as texts, numbers as written; null if the text is no array."""
+    return F.transform(F.from_json(exact_numbers(array), "array<string>"), unwrapped)
+
+
 def _field(text: Column, variant: Column) -> RawField:
     schema = F.schema_of_variant(variant)
-    kind = (F.when(variant.isNull() | (schema == "VOID"), "null")
+    marked = (schema == "STRING") & _is_number(text)
+    text = unwrapped(text)
+    kind = (F.when(variant.isNull() | (schema == "VOID"), "null").when(marked, "number")
             .when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
             .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
             .otherwise("number"))
-    encoded = F.when(kind == "string", F.to_json(variant)).when(kind == "null", "null").otherwise(text)
+    encoded = F.when(kind == "string", _own(F.to_json(variant))).when(kind == "null", "null").otherwise(text)
     return RawField(text, kind, encoded)
 
 
 def raw_fields(document: Column, names: list[str]) -> dict[str, RawField]:
     """The named members of a JSON object."""
-    text, variant = (F.from_json(document, _struct_of(names, kind)) for kind in ("string", "variant"))
+    text, variant = (F.from_json(exact_numbers(document), _struct_of(names, kind)) for kind in ("string", "variant"))
     return {name: _field(text[name], variant[name]) for name in names}
 
 
@@ -62,8 +103,9 @@ def with_members(frame: DataFrame, document: str, names: list[str], slot: str) -
     They come out of a generator of one row, so that no filter on them is moved below it and parses again.
     """
     text, variant = f"_{slot}_text", f"_{slot}_variant"
-    parsed = frame.select("*", F.inline(F.array(F.struct(F.from_json(document, _struct_of(names, "string")).alias(text),
-                                                         F.from_json(document, _struct_of(names, "variant")).alias(variant)))))
+    exact = exact_numbers(F.col(document))
+    parsed = frame.select("*", F.inline(F.array(F.struct(F.from_json(exact, _struct_of(names, "string")).alias(text),
+                                                         F.from_json(exact, _struct_of(names, "variant")).alias(variant)))))
     return parsed, {name: _field(F.col(text)[name], F.col(variant)[name]) for name in names}
 
 
@@ -84,7 +126,7 @@ def raw_string(field: RawField) -> Column:
 
 
 def raw_scalar(field: RawField) -> Column:
-    """A string or number as text."""
+    """A string or number as text, a number in the spelling of its document."""
     return F.when(field.kind.isin("string", "number"), field.text)
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealcheck.functions.ids import DEFAULT_PREFIX, NUL, portable_id
-from sealcheck.functions.jsonfn import (RawField, canonical_arrays, canonical_member, field_semantics_state, mistyped, priority_field, raw_bool,
+from sealcheck.functions.jsonfn import (RawField, canonical_arrays, canonical_member, field_semantics_state, json_items, mistyped, priority_field, raw_bool,
                                         raw_double, raw_int, raw_scalar, raw_string, restored, rich_text, source_id,
                                         status_fields, stored, with_members)
 from sealcheck.functions.text import is_blank, strip_url_query
@@ -292,7 +292,7 @@ def normalize_records(index: DataFrame, details: DataFrame, workspaces: DataFram
 def _items(name: str, vocabulary: Vocabulary) -> Column:
     """The elements of an array member as JSON texts; null if it is none."""
     exact = exact_arrays(vocabulary)
-    return F.get(F.col("exact"), F.lit(exact.index(name))) if name in exact else F.from_json(member(name).text, "array<string>")
+    return F.get(F.col("exact"), F.lit(exact.index(name))) if name in exact else json_items(member(name).text)
 
 
 def _elements(details: DataFrame, name: str, vocabulary: Vocabulary) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +319,7 @@ def observed_people(details: DataFrame, roles=ROLES) -> DataFrame:
     for role, name, many in roles:
         field = member(name)
         if many:
-            found = F.transform(F.when(field.kind == "array", F.from_json(field.text, "array<string>")), each(role))
+            found = F.transform(F.when(field.kind == "array", json_items(field.text)), each(role))
         else:
             found = F.when(field.kind == "object", F.array(named(role, F.lit(0), field.text)))
         lists.append(F.coalesce(found, none))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sealcheck.functions.jsonfn import canonical_elements
+from sealcheck.functions.jsonfn import canonical_elements, exact_numbers, unwrapped
 from sealcheck.operators.findings import coded, finding, union_findings
 
 SCOPE = ["snapshot_id", "scope"]
@@ -23,7 +23,7 @@ def explode_pages(pages: DataFrame, field: str, required: bool = True, exact: bo
     """
     kept = pages.drop("body").columns
     if not exact:
-        parsed = pages.withColumn("_items", F.from_json("body", f"struct<`{field}`:array<string>>")[field])
+        parsed = pages.withColumn("_items", F.transform(F.from_json(exact_numbers(F.col("body")), f"struct<`{field}`:array<string>>")[field], unwrapped))
         readable = F.lit(True)
     else:
         parsed = pages.withColumn("_parsed", canonical_elements(F.col("body"), F.lit(field))).withColumn("_items", F.col("_parsed.items"))

@@ -92,6 +92,45 @@ def test_raw_members_tell_kinds_apart(spark):
     assert tuple(row) == (None, "5", True, False, None, None, "5", 5, False)
 
 
+NUMBERS = ["1.50", "1e2", "-0.0", "1E+05", "0.1e-3", "12345678901234567890.10", "0", "-7", "100"]
+
+
+def test_scalars_keep_their_spelling(spark):
+    rest = '"s":"1.50, \\\\\\"2e5\\\\\\"","o":{"priority":%s,"t":"x 1.5"},"l":[%s,"1.5",[%s]],"i":5'
+    rows = [(n, '{"v": %s ,%s}' % (n, rest % (n, n, n))) for n in NUMBERS]
+    frame, f = J.with_members(spark.createDataFrame(rows, "n string, d string"), "d", ["v", "s", "o", "l", "i"], "m")
+    for r in frame.select("n", J.raw_scalar(f["v"]).alias("v"), J.raw_string(f["v"]).alias("no"), J.raw_string(f["s"]).alias("s"), f["o"].text.alias("o"),
+                          f["l"].text.alias("l"), J.priority_field(f["o"]).alias("p"), J.raw_double(f["v"]).alias("f"), J.raw_int(f["i"]).alias("i")).collect():
+        assert (r.v, r.no, r.s, r.p, r.f, r.i) == (r.n, None, '1.50, \\"2e5\\"', r.n, float(r.n), 5)
+        assert r.o == '{"priority":%s,"t":"x 1.5"}' % r.n and r.l == '[%s,"1.5",[%s]]' % (r.n, r.n)
+
+
+def test_marks_and_broken_documents(spark):
+    mark = "\uE0F1"
+    cases = {'{"v":1.50,"w":"M1.5"}': ("1.50", "M1.5"), '{"v":1.50,"w":"\\ue0f11.5M\\uE0F1"}': ("1.50", "M1.5MM"), '{"v":2,"w":"\\\\ue0f1"}': ("2", "\\ue0f1"),
+             '{"w":"\\"M2","v":{"a":"M2","b":[1.50,"MM1.50"]}}': (None, '"M2'), '{"v":"M","w":"MM"}': ("M", "MM"),
+             '{"v":01.50}': (None, None), '{"v":1.}': (None, None), '{"v":"1.50"}': ("1.50", None), '{"w":"a1.5","v":2.50}': ("2.50", "a1.5"),
+             "1.50": (None, None), "": (None, None)}
+    cases = {d.replace("M", mark): tuple(x and x.replace("M", mark) for x in e) for d, e in cases.items()}
+    frame, f = J.with_members(spark.createDataFrame([(d,) for d in cases], "d string"), "d", ["v", "w"], "m")
+    rows = frame.select("d", J.raw_scalar(f["v"]).alias("v"), J.raw_string(f["w"]).alias("w"), f["w"].json.alias("j"), f["v"].text.alias("t")).collect()
+    assert {r.d: (r.v, r.w) for r in rows} == cases
+    assert all(r.w is None or json.loads(r.j) == r.w for r in rows)
+    assert [r.t for r in rows if r.d.startswith('{"w":"\\"')] == ['{"a":"M2","b":[1.50,"MM1.50"]}'.replace("M", mark)]
+
+
+def test_array_elements_keep_their_spelling(spark):
+    frame = spark.createDataFrame([('[1.50,"1.50",{"id":1e2,"l":[-0.0]},null,7,"\uE0F13.0"]',), ('{"a":1.50}',), (None,)], "d string")
+    rows = [r.e for r in frame.select(J.json_items(F.col("d")).alias("e")).collect()]
+    assert rows == [["1.50", "1.50", '{"id":1e2,"l":[-0.0]}', None, "7", "\uE0F13.0"], None, None]
+
+
+def test_long_document_of_numbers(spark):
+    body = '{"l":[' + ",".join(["1.50", "7", '"a\\\\nb"', '{"x":[2e1]}'] * 100_000) + '],"v":3.10}'
+    frame, f = J.with_members(spark.createDataFrame([(body,)], "d string"), "d", ["l", "v"], "m")
+    assert tuple(frame.select(J.raw_scalar(f["v"]), F.length(f["l"].text)).first()) == ("3.10", len(body) - len('{"l":,"v":3.10}'))
+
+
 def test_digest_ignores_order_and_partitions_but_not_content(spark):
     rows = [("s", str(n % 50), None if n % 7 else "x") for n in range(500)]
     def digest(data, parts):
