@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sealcheck.llm.common import KEY, row_key, whole_row
@@ -17,22 +19,55 @@ BASE = {
 }
 GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-TERM = r"\p{L}{3,}+"
+# A private character, no letter: stands for the letters of e-mail addresses, the only base spans that have any.
+MASK, OTHER = "\uE0F2", "\uE0F3"
+TERM = rf"[\p{{L}}{MASK}]{{3,}}+"
 DISCLOSURE = 0.8
 SUPPORT = 1
 SIEVE = 1 << 17
-SPAN = "array<struct<kind:string,s:int,e:int,v:string>>"
+ITEM = "struct<kind:string,s:int,e:int,v:string>"
+SPAN = f"array<{ITEM}>"
+STEP = "struct<g:int,h:string>"
+BLOCK = 32
+
+
+def _fold(items: Column, kind: str, state: Column, step: Callable, emit: Callable, out: str, levels: int) -> Column:
+    """(state, out) after all items: out is what `emit` gave, `levels` says how deep blocks are nested."""
+    if not levels:
+        start = F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct(step(a["state"], x).alias("state"), F.array_append(a["out"], emit(a["state"], x)).alias("out")))
+    size = BLOCK ** levels
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{out}>>").alias("out"))
+
+    def add(a: Column, block: Column) -> Column:
+        done = F.array(_fold(block, kind, a["state"], step, emit, out, levels - 1))
+        return F.get(F.transform(done, lambda d: F.struct(d["state"].alias("state"), F.array_append(a["out"], d["out"]).alias("out"))), F.lit(0))
+    return F.aggregate(blocks, start, add, lambda a: F.struct(a["state"].alias("state"), F.flatten(a["out"]).alias("out")))
+
+
+def scan(items: Column, kind: str, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], out: str) -> Column:
+    """What `emit(state, item)` gives for each item, `step` carrying the state on; null ones are left out.
+
+    An array that grows copies all before it, so items go in blocks of 32 and blocks in blocks of 1024 and 32768: an
+    item is copied about 16 times a level whatever their number, only the list of the largest blocks grows as a whole.
+    `kind` and `out` are the types of an item and of a result.
+    """
+    held = F.filter(F.get(F.transform(F.array(items), lambda x: F.when(F.size(x) > 0, _fold(x, kind, state, step, emit, out, 3)["out"])), F.lit(0)), lambda x: x.isNotNull())
+    return F.coalesce(held, F.array().cast(f"array<{out}>"))
+
+
+def _steps(text: Column, pattern: str) -> Column:
+    """Matches of a pattern, each with the length of the gap before it."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))), lambda x: x["h"].isNotNull())
 
 
 def located(text: Column, pattern: str, kind: str) -> Column:
     """Matches of a pattern with their place in code points: the lengths between and of the matches, added up."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.filter(steps, lambda x: x["h"].isNotNull()), start, lambda a, x: F.struct(
-        (a["at"] + x["g"] + F.length(x["h"])).alias("at"),
-        F.array_append(a["out"], F.struct(F.lit(kind).alias("kind"), (a["at"] + x["g"]).alias("s"),
-                                          (a["at"] + x["g"] + F.length(x["h"])).alias("e"), x["h"].alias("v"))).alias("out")), lambda a: a["out"])
+    end = lambda at, x: at + x["g"] + F.length(x["h"])
+    return scan(_steps(text, pattern), STEP, F.lit(0), end, lambda at, x: F.struct(
+        F.lit(kind).alias("kind"), (at + x["g"]).alias("s"), end(at, x).alias("e"), x["h"].alias("v")), ITEM)
 
 
 def luhn(digits: Column) -> Column:
@@ -58,42 +93,33 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.coalesce(found, F.array().cast(SPAN))
 
 
-def _words(text: Column) -> Column:
-    """The different words of a text, letters lowered."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
-
+def shielded(text: Column) -> Column:
+    """The text, as long as before, with the letters of its e-mail addresses masked: no word can be part of a base span."""
+    plain = F.translate(text, MASK, OTHER)
+    gaps, hits = F.split(plain, BASE["email"], -1), F.regexp_extract_all(plain, F.lit(BASE["email"]), F.lit(0))
+    masked = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.regexp_replace(h, r"\p{L}", MASK), F.lit("")))), "")
+    return F.when(text.contains("@"), masked).otherwise(plain)
 
-def _outside(text: Column, base: Column) -> Column:
-    """The text with a blank in place of its base spans."""
-    order = F.array_sort(base, lambda a, b: a["s"] - b["s"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(
-        a["out"], F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.lit(" ")).alias("out"))
-    return F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
+def _words(text: Column) -> Column:
+    """The different words of a text, letters lowered, but for those that touch a masked letter."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower), lambda w: ~w.contains(MASK)))
 
-def _marked(text: Column, terms: Column, base: Column) -> Column:
-    """Every place in the text where one of `terms` is a whole word clear of the base spans."""
-    steps = F.zip_with(F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s, e = a["at"] + x["g"], a["at"] + x["g"] + F.length(x["h"])
-        hit = F.array_contains(terms, F.lower(x["h"])) & ~F.exists(base, lambda b: (b["s"] < e) & (s < b["e"]))
-        span = F.struct(F.lit("term").alias("kind"), s.alias("s"), e.alias("e"), F.lower(x["h"]).alias("v"))
-        return F.struct(e.alias("at"), F.when(hit, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-    return F.aggregate(F.filter(steps, lambda x: x["h"].isNotNull()), start, step, lambda a: a["out"])
+def _places(text: Column) -> Column:
+    """Every word of a text with its place, but for those that touch a masked letter."""
+    return F.filter(F.transform(located(text, TERM, "term"), lambda x: x.withField("v", F.lower(x["v"]))), lambda x: ~x["v"].contains(MASK))
 
 
 def revealing_terms(rows: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(term): what reveals some entity, from rows of text_id, text, base and entities; see find_personal_data."""
+    """(term): what reveals some entity, from rows of text_id, text and entities; see find_personal_data."""
     total = rows.count()
     words = F.explode(_words(F.col("text"))).alias("term")
     terms = rows.select(words).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     # Copies of a text are one row with their number.
     copies = rows.filter(F.size("entities") > 0).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.first(
-        F.struct("text", "base", "entities")).alias("x")).select("text_id", "n", "x.*")
-    copies = cut_lineage(copies.select("text_id", "n", "entities", _words(_outside(F.col("text"), F.col("base"))).alias("words")))
+        F.struct("text", "entities")).alias("x")).select("text_id", "n", "x.*")
+    copies = cut_lineage(copies.select("text_id", "n", "entities", _words(shielded(F.col("text"))).alias("words")))
     named = copies.select("text_id", "n", F.explode("entities").alias("entity"))
     counted = named.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
     # Entities of one text only have equal counts with all its terms: one stands for them.
@@ -141,9 +167,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     entity = lambda x: F.concat(x["kind"], F.lit(":"), F.when(x["kind"] == "email", F.lower(x["v"])).otherwise(F.regexp_replace(x["v"], "[^0-9.]", "")))
     rows = cut_lineage(rows.withColumn("entities", F.array_distinct(F.transform("base", entity))))
     strong = cut_lineage(revealing_terms(rows, disclosure, support))
-    held = rows.select(KEY, F.explode(_words(F.col("text"))).alias("term")).filter(_sieve(strong)).join(strong, "term").groupBy(KEY).agg(F.collect_set("term").alias("held"))
-    found = F.when(F.col("held").isNull(), F.array().cast(SPAN)).otherwise(_marked(F.col("text"), F.col("held"), F.col("base")))
-    return rows.join(held, KEY, "left").select("doc_id", KEY, "base", found.alias("terms"))
+    # Each place of a word that may be a term travels by itself; texts stay where they are.
+    places = rows.select(KEY, F.explode(_places(shielded(F.col("text")))).alias("place")).withColumn("term", F.col("place.v")).filter(_sieve(strong))
+    held = places.join(strong, "term").groupBy(KEY).agg(F.array_sort(F.collect_set("place"), lambda a, b: a["s"] - b["s"]).alias("terms"))
+    return rows.select("doc_id", KEY, "base").join(held, KEY, "left").select("doc_id", KEY, "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -155,11 +182,12 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     spans = find_personal_data(docs, **options).select(KEY, F.array_sort(F.concat("base", "terms"), lambda a, b: F.when(
         a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"])).alias("spans")).dropDuplicates([KEY])
     packed = docs.select(whole_row(docs), row_key("doc_id", "text").alias(KEY)).join(spans, KEY, "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("row.text")
-    step = lambda a, x: F.when(x["s"] < a["at"], a).otherwise(F.struct(
-        x["e"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out")))
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    # What stands between the last span kept and this one, then its kind; the end of the text is one more span without a kind.
+    last = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.length(text).alias("s"), F.length(text).alias("e"), F.lit("").alias("v")))
+    piece = lambda at, x: F.when(x["s"] >= at, F.concat(F.substring(text, at + 1, x["s"] - at), F.coalesce(F.concat(F.lit("["), x["kind"], F.lit("]")), F.lit(""))))
+    pieces = scan(F.concat("spans", last), ITEM, F.lit(0), lambda at, x: F.greatest(at, F.when(x["s"] >= at, x["e"]).otherwise(at)), piece, "string")
+    clean = F.when(text.isNotNull(), F.array_join(pieces, ""))
     return packed.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
 
