@@ -10,6 +10,7 @@ from queries.registry import coded, findings, query
 from sealcheck.functions import jsonfn as J, text as X
 from sealcheck.operators import pages as P
 from sealcheck.rules import COMPUTED_FIELD_TYPES
+from sealcheck.sources.files import spread
 
 SPACES = r"[\s\x0b\x{85}\p{Z}]"
 
@@ -31,7 +32,7 @@ def raw_scalars(m):
                         (F.col("o_custkey") * 0.5).cast("string"), F.lit(',"flag":'), (key % 2 == 0).cast("string"),
                         F.when(key % 3 == 0, F.concat(F.lit(',"scalar":'), text("o_custkey"))).otherwise(',"scalar":null'),
                         F.when(key % 5 == 0, ',"name":7').otherwise(',"name":"n"'), F.lit("}"))
-    frame, members = J.with_members(m.read("orders").withColumn("doc", document), "doc",
+    frame, members = J.with_members(spread(m.read("orders")).withColumn("doc", document), "doc",
                                     ["status", "key", "points", "flag", "scalar", "name"], "m")
     return frame.select("o_orderkey", J.raw_string(members["status"]).alias("status"), J.raw_int(members["key"]).alias("as_int"),
                         (J.raw_double(members["points"]) * 2).cast("long").alias("twice_points"), J.raw_bool(members["flag"]).alias("flag"),
@@ -46,7 +47,7 @@ def verbatim_scalars(m):
     spelled = (F.when(key == 0, F.concat(number, F.lit(".50"))).when(key == 1, F.concat(number, F.lit("e2")))
                .when(key == 2, F.concat(F.lit("-"), number, F.lit(".0E-03"))).otherwise(number))
     document = F.concat(F.lit('{"scalar":'), spelled, F.lit(',"priority":{"priority":'), spelled, F.lit('},"list":['), spelled, F.lit(',"'), spelled, F.lit('"]}'))
-    frame, members = J.with_members(m.read("orders").withColumn("doc", document), "doc", ["scalar", "priority", "list"], "m")
+    frame, members = J.with_members(spread(m.read("orders")).withColumn("doc", document), "doc", ["scalar", "priority", "list"], "m")
     return frame.select("o_orderkey", J.raw_scalar(members["scalar"]).alias("scalar"), J.priority_field(members["priority"]).alias("priority"),
                         members["list"].text.alias("list"))
 
@@ -56,7 +57,7 @@ def source_ids(m):
     key, number = F.col("o_orderkey") % 5, text("o_orderkey")
     literal = (F.when(key == 0, F.concat(F.lit('"k'), number, F.lit('"'))).when(key == 1, number)
                .when(key == 2, F.concat(number, F.lit(".5"))).when(key == 3, F.concat(F.lit("-1"), number)).otherwise('"  "'))
-    frame, members = J.with_members(m.read("orders").withColumn("doc", F.concat(F.lit('{"id":'), literal, F.lit("}"))), "doc", ["id"], "m")
+    frame, members = J.with_members(spread(m.read("orders")).withColumn("doc", F.concat(F.lit('{"id":'), literal, F.lit("}"))), "doc", ["id"], "m")
     return frame.select("o_orderkey", J.source_id(members["id"]).alias("source_id"))
 
 
@@ -66,7 +67,7 @@ def status_priority(m):
     status = F.when(F.col("o_orderkey") % 7 == 0, "null").otherwise(
         F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","type":"custom"}')))
     document = F.concat(F.lit('{"status":'), status, F.lit(',"priority":{"priority":"'), "o_orderpriority", F.lit('"}}'))
-    frame, members = J.with_members(m.read("orders").withColumn("doc", document), "doc", ["status", "priority"], "m")
+    frame, members = J.with_members(spread(m.read("orders")).withColumn("doc", document), "doc", ["status", "priority"], "m")
     state, kind = J.status_fields(members["status"])
     return frame.select("o_orderkey", state.alias("status"), kind.alias("status_type"), J.priority_field(members["priority"]).alias("priority"))
 

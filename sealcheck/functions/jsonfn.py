@@ -2,13 +2,14 @@
 
 Field text comes from a STRING schema, the kind of a field from a VARIANT schema. Parsing would print a number with a
 fraction or exponent anew (1.50 as 1.5, 1e2 as 100.0), so `exact_numbers` wraps such literals in text first and the
-fields of raw_fields and with_members unwrap them, also inside objects and arrays: every scalar keeps its own spelling.
+fields of with_fields and with_members unwrap them, also inside objects and arrays: every scalar keeps its own spelling.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -50,14 +51,25 @@ _NEXT_NUMBER = (r'\G((?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+"|-?+[0-9]++(?![0-9.eE]))*
                 r'(-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++(?:[eE][+-]?+[0-9]++)?+|[eE][+-]?+[0-9]++))(?=[ \t\r\n,\]}]|$)')
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once a row, however often it is named; a plain Column is computed wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def exact_numbers(document: Column) -> Column:
     """The JSON text with every number that has a fraction or exponent as a marked string of the same spelling.
 
     One regular expression in the JVM, only for documents that hold such a number at all. Marks of the document's own,
     plain or escaped, are doubled, so that one mark before a digit is always that of a number.
     """
-    document = F.when(document.rlike(_OWN_MARK), F.regexp_replace(document, _OWN_MARK, f"$1{_MARK}{_MARK}")).otherwise(document)
-    return F.when(document.rlike(_BROKEN_NUMBER), F.regexp_replace(document, _NEXT_NUMBER, f'$1"{_MARK}$2"')).otherwise(document)
+    def doubled(text: Column) -> Column:
+        own = (text.contains(_MARK) | text.contains("\\u")) & text.rlike(_OWN_MARK)
+        return F.when(own, F.regexp_replace(text, _OWN_MARK, f"$1{_MARK}{_MARK}")).otherwise(text)
+
+    def marked(text: Column) -> Column:
+        return F.when(text.rlike(_BROKEN_NUMBER), F.regexp_replace(text, _NEXT_NUMBER, f'$1"{_MARK}$2"')).otherwise(text)
+
+    return _once(document, lambda text: _once(doubled(text), marked))
 
 
 def _own(text: Column) -> Column:
@@ -70,8 +82,11 @@ def _is_number(text: Column) -> Column:
 
 def unwrapped(text: Column) -> Column:
     """A parsed text with its numbers as they were written and its own marks single again."""
-    nested = F.regexp_replace(text, f'"{_MARK}([0-9-][^"]*+)"', "$1")
-    return F.when(~text.contains(_MARK), text).when(_is_number(text), F.substring(text, 2, F.length(text))).otherwise(_own(nested))
+    def bare(text: Column) -> Column:
+        nested = F.regexp_replace(text, f'"{_MARK}([0-9-][^"]*+)"', "$1")
+        return F.when(~text.contains(_MARK), text).when(_is_number(text), F.substring(text, 2, F.length(text))).otherwise(_once(nested, _own))
+
+    return _once(text, bare)
 
 
 def json_items(array: Column) -> Column:
@@ -79,34 +94,43 @@ def json_items(array: Column) -> Column:
     return F.transform(F.from_json(exact_numbers(array), "array<string>"), unwrapped)
 
 
-def _field(text: Column, variant: Column) -> RawField:
-    schema = F.schema_of_variant(variant)
-    marked = (schema == "STRING") & _is_number(text)
-    text = unwrapped(text)
-    kind = (F.when(variant.isNull() | (schema == "VOID"), "null").when(marked, "number")
-            .when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
-            .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
-            .otherwise("number"))
-    encoded = F.when(kind == "string", _own(F.to_json(variant))).when(kind == "null", "null").otherwise(text)
-    return RawField(text, kind, encoded)
+def _kind(text: Column, variant: Column) -> Column:
+    return _once(F.schema_of_variant(variant), lambda schema: (
+        F.when(schema.isNull() | (schema == "VOID"), "null").when((schema == "STRING") & _is_number(text), "number")
+        .when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array")
+        .otherwise("number")))
+
+
+def _parsed(document: Column, names: list[str]) -> Column:
+    """An array of one struct: texts, kinds and variants of the named members of a JSON object, which is made exact and parsed once."""
+    def members(text: Column, variant: Column) -> Column:
+        return F.struct(F.struct(*[unwrapped(text[n]).alias(n) for n in names]).alias("text"),
+                        F.struct(*[_kind(text[n], variant[n]).alias(n) for n in names]).alias("kind"), variant.alias("variant"))
+
+    both = F.transform(F.array(exact_numbers(document)), lambda exact: F.struct(
+        F.from_json(exact, _struct_of(names, "string")).alias("text"), F.from_json(exact, _struct_of(names, "variant")).alias("variant")))
+    return F.transform(both, lambda one: members(one["text"], one["variant"]))
+
+
+def _field(text: Column, kind: Column, variant: Column) -> RawField:
+    return RawField(text, kind, F.when(kind == "string", _own(F.to_json(variant))).when(kind == "null", "null").otherwise(text))
 
 
-def raw_fields(document: Column, names: list[str]) -> dict[str, RawField]:
-    """The named members of a JSON object."""
-    text, variant = (F.from_json(exact_numbers(document), _struct_of(names, kind)) for kind in ("string", "variant"))
-    return {name: _field(text[name], variant[name]) for name in names}
+def with_fields(document: Column, names: list[str], use: Callable[[dict[str, RawField]], Column]) -> Column:
+    """`use` of the named members of a JSON object, which is parsed once."""
+    return F.transform(_parsed(document, names), lambda one: use(
+        {name: _field(one["text"][name], one["kind"][name], one["variant"][name]) for name in names}))[0]
 
 
 def with_members(frame: DataFrame, document: str, names: list[str], slot: str) -> tuple[DataFrame, dict[str, RawField]]:
-    """As raw_fields, parsing once into two struct columns of the frame.
+    """The named members of a JSON object, parsed once into three struct columns of the frame.
 
     They come out of a generator of one row, so that no filter on them is moved below it and parses again.
     """
-    text, variant = f"_{slot}_text", f"_{slot}_variant"
-    exact = exact_numbers(F.col(document))
-    parsed = frame.select("*", F.inline(F.array(F.struct(F.from_json(exact, _struct_of(names, "string")).alias(text),
-                                                         F.from_json(exact, _struct_of(names, "variant")).alias(variant)))))
-    return parsed, {name: _field(F.col(text)[name], F.col(variant)[name]) for name in names}
+    text, kind, variant = (f"_{slot}_{part}" for part in ("text", "kind", "variant"))
+    parsed = frame.select("*", F.inline(_parsed(F.col(document), names)).alias(text, kind, variant))
+    return parsed, {name: _field(F.col(text)[name], F.col(kind)[name], F.col(variant)[name]) for name in names}
 
 
 def stored(field: RawField) -> Column:
@@ -157,13 +181,13 @@ def source_id(field: RawField) -> Column:
 
 def status_fields(field: RawField) -> tuple[Column, Column]:
     """(status, status_type) of a nested status object."""
-    members = raw_fields(F.when(field.kind == "object", field.text), ["status", "type"])
-    return raw_string(members["status"]), raw_string(members["type"])
+    both = with_fields(F.when(field.kind == "object", field.text), ["status", "type"], lambda members: F.struct(
+        raw_string(members["status"]).alias("status"), raw_string(members["type"]).alias("type")))
+    return both["status"], both["type"]
 
 
 def priority_field(field: RawField) -> Column:
-    members = raw_fields(F.when(field.kind == "object", field.text), ["priority"])
-    return raw_scalar(members["priority"])
+    return with_fields(F.when(field.kind == "object", field.text), ["priority"], lambda members: raw_scalar(members["priority"]))
 
 
 def rich_text(document: Column) -> Column:

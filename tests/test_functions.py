@@ -200,3 +200,22 @@ def test_valid_json(spark):
     cases = {"1": True, ' {"a": 1} ': True, '"x"': True, "null": True, deep: True, "1 2": False, "1,2": False, "1],[2": False, '1,"b":2': False, "{oops": False, "": False, "NaN": False}
     frame = spark.createDataFrame([(t,) for t in cases], "d string").select("d", J.valid_json(F.col("d")).alias("v"))
     assert {r["d"]: r["v"] for r in frame.collect()} == cases
+
+
+def test_nested_members_parse_once(spark):
+    """Naming a parsed value many times must not parse it many times: the plan grows with the members, not with their uses."""
+    frame, f = J.with_members(spark.createDataFrame([('{"status":{"status":"a","type":"b"},"priority":{"priority":1.50}}',)], "d string"), "d",
+                              ["status", "priority"], "m")
+    state, kind = J.status_fields(f["status"])
+    out = frame.select(state.alias("s"), kind.alias("k"), J.priority_field(f["priority"]).alias("p"))
+    assert tuple(out.first()) == ("a", "b", "1.50")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 50 and plan.count("from_json") < 12
+
+
+def test_json_of_a_member_holds_its_own_marks(spark):
+    mark = J._MARK
+    frame, f = J.with_members(spark.createDataFrame([('{"v":"x%s1\\"","w":{"a":"%s2.5","b":2.50}}' % (mark, mark),), (None,), ("{",)], "d string"), "d", ["v", "w"], "m")
+    rows = frame.select(f["v"].text.alias("t"), f["v"].json.alias("j"), f["v"].kind.alias("k"), f["w"].text.alias("w"), f["w"].kind.alias("o")).collect()
+    assert tuple(rows[0]) == (f'x{mark}1"', f'"x{mark}1\\""', "string", '{"a":"%s2.5","b":2.50}' % mark, "object")
+    assert [tuple(r) for r in rows[1:]] == [(None, "null", "null", None, "null")] * 2
