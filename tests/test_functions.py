@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sealcheck.functions import ids, jsonfn as J, text as X
+from sealcheck.operators import pages as P
 
 PIECES = ["a", "Ü", "€", "𝄞", " ", ".", "/", "<", "\t", " ", "con", "é", "-", "9", " ", "*"]
 
@@ -219,3 +220,17 @@ def test_json_of_a_member_holds_its_own_marks(spark):
     rows = frame.select(f["v"].text.alias("t"), f["v"].json.alias("j"), f["v"].kind.alias("k"), f["w"].text.alias("w"), f["w"].kind.alias("o")).collect()
     assert tuple(rows[0]) == (f'x{mark}1"', f'"x{mark}1\\""', "string", '{"a":"%s2.5","b":2.50}' % mark, "object")
     assert [tuple(r) for r in rows[1:]] == [(None, "null", "null", None, "null")] * 2
+
+
+def test_exact_pages_are_parsed_once(spark):
+    bodies = ['{"l":[1.50,{"a":NaN},[2]]}', '{"l":[]}', '{"l":null}', "{}", '{"l":[1]} x', None, '{"l":{"a":1}}']
+    pages = spark.createDataFrame([("s", f"p{i}", b) for i, b in enumerate(bodies)], "snapshot_id string, raw_path string, body string")
+    elements, found = P.explode_pages(pages, "l", exact=True)
+    for frame in (elements, found):
+        assert "EvalPython" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert elements.columns == ["snapshot_id", "raw_path", "position", "element"]
+    assert sorted(tuple(r)[1:] for r in elements.collect()) == [("p0", 0, "1.50"), ("p0", 2, "[2]")]
+    assert sorted((r.code, r.key) for r in found.collect()) == [
+        ("BODY_NOT_JSON", "p4"), ("BODY_NOT_JSON", "p5"), ("ELEMENT_NOT_JSON", "p0#1"),
+        ("REQUIRED_ARRAY_MISSING", "p2"), ("REQUIRED_ARRAY_MISSING", "p3"), ("REQUIRED_ARRAY_MISSING", "p6")]
+    assert P.explode_pages(pages, "l", required=False, exact=True)[1].filter("code = 'REQUIRED_ARRAY_MISSING'").isEmpty()
