@@ -23,12 +23,27 @@ COMMON = 0.02
 BLOCK_ITEMS = 2048
 BLOCK_WORDS = 200_000
 SEED = 20_240_602
+PIECE_BYTES = 64 << 10
 
 
 def _words(text: str | None) -> np.ndarray:
     return word_hashes(text.lower().encode("utf-8", "surrogatepass"), PUNCTUATION)[0] if text else np.zeros(0, np.uint64)
 
 
+def _pieces(texts: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, words, cuts): neighbouring texts hashed together, about 64 KiB a time; words of text first + i are words[cuts[i]:cuts[i + 1]]."""
+    held: list[bytes] = []
+    first, size = 0, 0
+    for at, text in enumerate(texts):
+        held.append(text.lower().encode("utf-8", "surrogatepass") if text else b"")
+        size += len(held[-1]) + 1
+        if size >= PIECE_BYTES or at + 1 == len(texts):
+            # A line feed parts words, so none reaches into the next text.
+            hashes, starts, _ = word_hashes(b"\n".join(held), PUNCTUATION)
+            yield first, hashes, np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(h) + 1 for h in held])]))
+            held, first, size = [], at + 1, 0
+
+
 @dataclass
 class Items:
     """A block of benchmark items: their words, the terms of the latent space and, once fitted, its vectors."""
@@ -39,6 +54,7 @@ class Items:
     vectors: np.ndarray | None = None
     latent: np.ndarray | None = None
     keys: list[np.ndarray] | None = None
+    known: list[np.ndarray] | None = None
     holders: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     need: np.ndarray | None = None
 
@@ -115,18 +131,23 @@ def _sketch(items, random, passage: int):
 
         for batch in batches:
             held, size = [], 0
-            for text in batch["text"]:
-                words = _words(text)
+            for _, words, cuts in _pieces(batch["text"]):
                 place, term = _found(words, terms)
-                # A term counts once in a passage.
-                pair = np.unique((count + place // passage) * len(terms) + term)
-                count += -(-len(words) // passage)
-                held.append(pair)
-                size += len(pair)
-                if size > 20_000:
-                    pairs, held, size = np.concatenate(held), [], 0
+                text = np.searchsorted(cuts, place, "right") - 1
+                passages = -(-np.diff(cuts) // passage)
+                # A term counts once in a passage; those of a text follow those of the texts before.
+                pair = np.unique((count + (np.cumsum(passages) - passages)[text] + (place - cuts[text]) // passage) * len(terms) + term)
+                ends = np.searchsorted(pair, (count + np.cumsum(passages)) * len(terms))
+                count += int(passages.sum())
+                # Sums are rounded, so they begin anew after the same text however texts lie in pieces.
+                done = 0
+                while (full := int(np.searchsorted(ends, done + 20_000 - size, "right"))) < len(ends):
+                    pairs = np.concatenate([*held, pair[done:ends[full]]])
+                    held, size, done = [], 0, int(ends[full])
                     df += np.bincount(pairs % len(terms), minlength=len(terms))
                     add(pairs // len(terms), pairs % len(terms))
+                held.append(pair[done:])
+                size += len(pair) - done
             if size:
                 pairs = np.concatenate(held)
                 df += np.bincount(pairs % len(terms), minlength=len(terms))
@@ -176,6 +197,7 @@ def fit(docs: DataFrame, items: Items, rank: int = RANK, extra: int = EXTRA, pas
     items.holders = (np.nonzero(own.T)[1], np.cumsum(size) - size, size)
     items.need = np.clip([_certain(w, items.terms, passage) // 2 for w in items.words], 1, MIN_TERMS)
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    items.known = [np.unique(w) for w in items.words]
     # Without a given answer, the rarest third of an item's terms stands for it.
     items.keys = [a if len(a) else items.terms[np.flatnonzero(r)[np.argsort(-idf[np.flatnonzero(r)], kind="stable")][:max(1, int(r.sum()) // 3)]]
                   for a, r in zip(items.answers, own)]
@@ -196,18 +218,36 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _best(words: np.ndarray, windows: np.ndarray, items: Items, item: int, passage: int, paraphrase: float, verbatim: float) -> tuple[float, int, int]:
+    """(share, first, last) of the place among a text's windows that holds most of an item; share 0 if none holds enough."""
+    wanted, known, best = items.words[item], items.known[item], (0.0, 0, 0)
+    begin = windows * (passage // 2)
+    low, high = np.maximum(begin - len(wanted), 0), np.minimum(begin + passage + len(wanted), len(words))
+    # Words of the item are told once for all windows; only they can be in a common subsequence.
+    base = low[0]
+    span = words[base:high[-1]]
+    place = np.flatnonzero(known[np.minimum(np.searchsorted(known, span), len(known) - 1)] == span) + base
+    held = span[place - base]
+    first, last = np.searchsorted(place, low), np.searchsorted(place, high)
+    for w in np.flatnonzero(last - first >= paraphrase * len(wanted)):
+        if last[w] - first[w] <= best[0] * len(wanted):
+            continue
+        share = common_subsequence(wanted, held[first[w]:last[w]]) / len(wanted)
+        if share > best[0] and (share >= verbatim or share >= paraphrase and 2 * np.isin(items.keys[item], words[low[w]:high[w]]).sum() >= len(items.keys[item])):
+            best = (share, int(low[w]), int(high[w]))
+    return best
+
+
 def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = shared.value
         step = passage // 2
         for batch in batches:
-            out, held, size = [], [], 0
+            out, held, texts, size, n_words = [], [], [], 0, 0
 
-            def flush() -> None:
-                nonlocal held, size
-                owner = np.concatenate([np.full(len(w), d) for d, w, _ in held])
-                where, term = np.concatenate([w for _, w, _ in held]), np.concatenate([t for _, _, t in held])
-                held, size = [], 0
+            def near() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                """(text, window, item) of the windows near an item."""
+                owner, where, term = (np.concatenate(x) for x in zip(*held))
                 first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] != where[:-1])]))
                 sizes = np.diff(np.concatenate([first, [len(term)]]))
                 enough = np.repeat(sizes >= items.need.min(), sizes)
@@ -227,8 +267,7 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 # Items that are sure of few terms cannot be told by their cosine: the subsequence alone decides.
                 few = pair[items.need[pair % len(items.ids)] < MIN_TERMS]
                 at = first[few // len(items.ids)]
-                for d, w, i in zip(owner[at].tolist(), where[at].tolist(), (few % len(items.ids)).tolist()):
-                    near.setdefault((d, i), []).append(w)
+                yield owner[at], where[at], few % len(items.ids)
                 keep = np.zeros(len(first), bool)
                 keep[some] = True
                 rows = _sums(items.vectors[term[keep[window]]], window[keep[window]])
@@ -236,37 +275,47 @@ def _search(shared, passage: int, cosine: float, paraphrase: float, verbatim: fl
                 for s in range(0, len(rows), 8192):
                     r, i = np.nonzero(rows[s:s + 8192] @ items.latent.T >= cosine)
                     at = first[some[s + r]]
-                    for d, w, item in zip(owner[at].tolist(), where[at].tolist(), i.tolist()):
-                        near.setdefault((d, item), []).append(w)
-
-            near: dict[tuple[int, int], list[int]] = {}
-            for d, text in enumerate(batch["text"]):
-                place, term = _found(_words(text), items.terms)
-                if not len(place):
-                    continue
+                    yield owner[at], where[at], i
+
+            def flush() -> None:
+                nonlocal size, n_words
+                found = list(near()) if size else []
+                if found:
+                    text, window, item = (np.concatenate(x) for x in zip(*found))
+                    order = np.lexsort((window, item, text))
+                    text, window, item = text[order], window[order], item[order]
+                    again = (text[1:] == text[:-1]) & (item[1:] == item[:-1])
+                    new = np.concatenate([[True], ~again | (window[1:] != window[:-1])])[:len(text)]
+                    text, window, item = text[new], window[new], item[new]
+                    cuts = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])[:len(text)]).tolist()
+                    for a, b in zip(cuts, [*cuts[1:], len(text)]):
+                        d, i = int(text[a]), int(item[a])
+                        best = _best(texts[d - begun], window[a:b], items, i, passage, paraphrase, verbatim)
+                        if best[0]:
+                            out.append((batch[KEY].iloc[d], batch["doc_id"].iloc[d], items.ids[i], *best))
+                held.clear()
+                texts.clear()
+                size = n_words = 0
+
+            begun = 0
+            for at, words, cuts in _pieces(batch["text"]):
+                begun = begun if texts else at
+                texts += [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                n_words += len(words)
+                place, term = _found(words, items.terms)
+                text = np.searchsorted(cuts, place, "right") - 1
                 # Windows overlap by half, so a place lies in two; a term counts once in each.
-                window = place // step
-                pair = np.unique(np.concatenate([window, window[window > 0] - 1]) * len(items.terms) + np.concatenate([term, term[window > 0]]))
-                held.append((d, pair // len(items.terms), pair % len(items.terms)))
+                window = (place - cuts[text]) // step
+                most = int(window.max(initial=0)) + 1
+                window += text * most
+                more = window % most > 0
+                pair = np.unique(np.concatenate([window, window[more] - 1]) * len(items.terms) + np.concatenate([term, term[more]]))
+                window, term = pair // len(items.terms), pair % len(items.terms)
+                held.append((at + window // most, window % most, term))
                 size += len(pair)
-                if size > 40_000:
+                if size > 40_000 or n_words > 4_000_000:
                     flush()
-            if size:
-                flush()
-            told: dict[int, np.ndarray] = {}
-            for (d, item), windows in near.items():
-                words = told.setdefault(d, _words(batch["text"].iloc[d]))
-                wanted, best = items.words[item], (0.0, 0, 0)
-                for w in sorted(set(windows)):
-                    low, high = max(0, w * step - len(wanted)), w * step + passage + len(wanted)
-                    region = words[low:high]
-                    if np.isin(region, wanted).sum() < paraphrase * len(wanted):
-                        continue
-                    share = common_subsequence(wanted, region) / len(wanted)
-                    if share > best[0] and (share >= verbatim or share >= paraphrase and 2 * np.isin(items.keys[item], region).sum() >= len(items.keys[item])):
-                        best = (share, low, min(high, len(words)))
-                if best[0]:
-                    out.append((batch[KEY].iloc[d], batch["doc_id"].iloc[d], items.ids[item], *best))
+            flush()
             yield pd.DataFrame(out, columns=[KEY, "doc_id", "item_id", "share", "first_word", "last_word"])
     return run
 

@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 
@@ -86,3 +87,22 @@ def test_awkward_rows(spark):
     nothing = benchmark.limit(0)
     assert leaks.find_leaks(docs, nothing).count() == 0 and leaks.decontaminate(docs, nothing).count() == docs.count()
     assert leaks.find_leaks(empty(spark), benchmark).count() == 0
+
+
+def test_a_text_is_hashed_once_however_many_items_are_near(spark, monkeypatch):
+    docs, benchmark, planted = corpus(spark)
+    items = leaks.fit(docs, next(leaks.blocks(benchmark, 100, 100_000)))
+    rows = docs.select("doc_id", "text").toPandas().assign(**{leaks.KEY: b""})
+    plain, hashed = leaks.word_hashes, []
+
+    def counted(raw, gaps):
+        hashed.append(len(raw))
+        return plain(raw, gaps)
+
+    monkeypatch.setattr(leaks, "word_hashes", counted)
+    for piece in (1, 500, 1 << 16):
+        monkeypatch.setattr(leaks, "PIECE_BYTES", piece, raising=False)
+        hashed.clear()
+        found, = leaks._search(SimpleNamespace(value=items), leaks.PASSAGE, leaks.COSINE, leaks.PARAPHRASE, leaks.VERBATIM)(iter([rows]))
+        assert set(zip(found["doc_id"], found["item_id"].astype(int))) == planted and len(found) == len(planted)
+        assert sum(hashed) <= sum(len(t.lower().encode()) + 1 for t in rows["text"])
