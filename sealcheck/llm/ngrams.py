@@ -125,6 +125,21 @@ class Trie:
         return out
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, as many bytes each as the largest needs: all lowest bytes first, so the high ones, nearly all 0, lie together."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() if len(numbers) else b""
+
+
+def _unpack(raw: bytes, size: int, kind: type) -> np.ndarray:
+    """What `_pack` made of `size` numbers."""
+    numbers = np.zeros((size, 8), np.uint8)
+    if size:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, size)
+        numbers[:, :len(planes)] = planes.T
+    return numbers.view("<u8").ravel().astype(kind)
+
+
 def _total(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(values)
     values, counts = values[order], counts[order]
@@ -176,9 +191,9 @@ class Chunk:
         for s, (a, b), (c, d) in zip(present.tolist(), _ranges(present, self.shard), _ranges(present, self.pair_shard)):
             context = self.contexts[c:d]
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if d > c else np.zeros(0, int)
-            out.append((s, chunk, self.words[a:b].tobytes(), self.counts[a:b].tobytes(), context[first].tobytes(),
-                        np.diff(np.concatenate([first, [d - c]])).astype(np.int64).tobytes() if d > c else b"",
-                        self.following[c:d].astype(np.uint32).tobytes(), self.pairs[c:d].astype(np.uint32).tobytes()))
+            out.append((s, chunk, self.words[a:b].tobytes(), _pack(self.counts[a:b]), context[first].tobytes(),
+                        _pack(np.diff(np.concatenate([first, [d - c]]))) if d > c else b"",
+                        self.following[c:d].astype(np.uint32).tobytes(), _pack(self.pairs[c:d])))
         return pd.DataFrame(out, columns=["shard", "chunk", "words", "counts", "contexts", "lengths", "following", "pairs"])
 
 
@@ -198,33 +213,34 @@ def _vocabulary(shards: int):
             order = np.argsort(shard, kind="stable")
             words, counts, shard = words[order], counts[order], shard[order]
             present = np.unique(shard)
-            yield pd.DataFrame([(s, words[a:b].tobytes(), counts[a:b].tobytes()) for s, (a, b) in zip(present.tolist(), _ranges(present, shard))],
+            yield pd.DataFrame([(s, words[a:b].tobytes(), _pack(counts[a:b])) for s, (a, b) in zip(present.tolist(), _ranges(present, shard))],
                                columns=["shard", "words", "counts"])
     return run
 
 
 def _tally(group: pd.DataFrame) -> pd.DataFrame:
     words = np.concatenate([np.frombuffer(x, np.uint64) for x in group["words"]])
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in group["counts"]])
+    counts = np.concatenate([_unpack(x, len(w) // 8, np.int64) for x, w in zip(group["counts"], group["words"])])
     return pd.DataFrame({"tokens": [int(counts.sum())], "distinct": [len(np.unique(words))]})
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """Merge what all chunks counted into the shard's trie, write its levels, and look up what each chunk asked for."""
     read = lambda column, kind: [np.frombuffer(x, kind) for x in group[column]]
-    words, counts, contexts, lengths = read("words", np.uint64), read("counts", np.int64), read("contexts", np.uint64), read("lengths", np.int64)
-    following, pairs = read("following", np.uint32), read("pairs", np.uint32)
+    unpack = lambda column, kind, beside: [_unpack(x, len(b), kind) for x, b in zip(group[column], beside)]
+    words, contexts, following = read("words", np.uint64), read("contexts", np.uint64), read("following", np.uint32)
+    counts, lengths, pairs = unpack("counts", np.int64, words), unpack("lengths", np.int64, contexts), unpack("pairs", np.int64, following)
     word, count = _total(np.concatenate(words), np.concatenate(counts))
     word, count = word[count > 0], count[count > 0]
     known, at = np.unique(np.concatenate(contexts), return_inverse=True)
     code = (np.repeat(at, np.concatenate(lengths)).astype(np.uint64) << np.uint64(32)) | np.concatenate(following)
-    code, pair = _total(code, np.concatenate(pairs).astype(np.int64))
+    code, pair = _total(code, np.concatenate(pairs))
     code, pair = code[pair > 0], pair[pair > 0]
     owner, size = np.unique((code >> np.uint64(32)).astype(np.int64), return_counts=True)
     with tempfile.TemporaryDirectory() as folder:
         trie = Trie(folder, word, count, known[owner], size, code & np.uint64(0xFFFFFFFF), pair)
-        return pd.DataFrame({"chunk": group["chunk"], "shard": group["shard"], "counts": [trie.count(w).tobytes() for w in words],
-                             "codes": [trie.follow(c, n, f.astype(np.uint64)).tobytes() for c, n, f in zip(contexts, lengths, following)]})
+        return pd.DataFrame({"chunk": group["chunk"], "shard": group["shard"], "n_words": [len(w) for w in words], "counts": [_pack(trie.count(w)) for w in words],
+                             "n_pairs": [len(f) for f in following], "codes": [_pack(trie.follow(c, n, f.astype(np.uint64))) for c, n, f in zip(contexts, lengths, following)]})
 
 
 def _score(shards: int, total: int, distinct: int, weight: float):
@@ -233,8 +249,8 @@ def _score(shards: int, total: int, distinct: int, weight: float):
             return pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
         chunk = Chunk(docs["text"], ~docs["held"].to_numpy(bool), shards)
         answers = answers.sort_values("shard")
-        count = np.concatenate([np.frombuffer(x, np.int64) for x in answers["counts"]])
-        code = np.concatenate([np.frombuffer(x, np.uint16) for x in answers["codes"]])
+        count = np.concatenate([_unpack(x, n, np.int64) for x, n in zip(answers["counts"], answers["n_words"])])
+        code = np.concatenate([_unpack(x, n, np.uint16) for x, n in zip(answers["codes"], answers["n_pairs"])])
         smooth = (count + 0.1) / (total + 0.1 * (distinct + 1))
         single, after = count[chunk.word], count[chunk.context]
         pair = code[chunk.pair].astype(float)
@@ -258,7 +274,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weight: float =
     decade, single counts are exact.
 
     The model is never in one place. Documents are dealt into chunks of about `chunk_bytes`; a chunk sends each
-    word and pair it holds once, with its counts, to one of as many shards. A shard merges them, writes its trie
+    word and pair it holds once, with its counts in as few bytes as the largest needs, to one of as many shards. A shard merges them, writes its trie
     as Elias-Fano levels, and answers from the memory map. Successors are told apart by 32 bits inside their
     context. A frequent context is spread over 16 shards.
 
@@ -279,7 +295,7 @@ def score_texts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, weight: float =
 
     # The deal of documents to chunks is one exchange that both uses below share.
     messages = placed.groupBy("chunk").applyInPandas(send, MESSAGE)
-    answers = messages.groupBy("shard").applyInPandas(_answer, "chunk long, shard long, counts binary, codes binary")
+    answers = messages.groupBy("shard").applyInPandas(_answer, "chunk long, shard long, n_words long, counts binary, n_pairs long, codes binary")
     scored = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         _score(shards, total, distinct, weight), "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known",

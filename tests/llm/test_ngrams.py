@@ -22,6 +22,25 @@ def test_elias_fano_round_trip_and_successor(tmp_path, size, top):
     assert (tmp_path / "x").stat().st_size < 64 + size * (3 + max(1, math.log2(top / max(size, 1)) + 1)) / 8 + size
 
 
+@pytest.mark.parametrize("top", [1, 255, 256, 70_000, 2 ** 40])
+def test_numbers_travel_in_as_few_bytes_as_the_largest_needs(top):
+    values = np.random.default_rng(1).integers(0, top, 1000)
+    raw = ngrams._pack(np.append(values, top))
+    assert (ngrams._unpack(raw, 1001, np.int64) == np.append(values, top)).all()
+    assert len(raw) == 1001 * -(-top.bit_length() // 8)
+    assert ngrams._pack(values[:0]) == b"" and not len(ngrams._unpack(b"", 0, np.uint16))
+
+
+def test_messages_hold_counts_in_a_byte_where_that_is_enough():
+    texts = [" ".join(f"w{(i * 7 + k * k) % 900}" for k in range(200)) for i in range(20)]
+    sent = ngrams.Chunk(texts, np.ones(len(texts), bool), 4).messages(0)
+    numbers = {"counts": "words", "lengths": "contexts", "pairs": "following"}
+    for column, beside in numbers.items():
+        size = 4 if beside == "following" else 8
+        # The end of a text is counted 20 times, no word or pair more than 255 times.
+        assert sum(map(len, sent[column])) == sum(map(len, sent[beside])) // size
+
+
 def brute(rows, weight=0.7):
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     texts = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + [None] for _, t in rows]
