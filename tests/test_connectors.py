@@ -117,3 +117,22 @@ def test_bodies_are_parsed_once(spark, tmp_path):
     assert {(r.record, r.role, r.position, r.person_id) for r in alone.collect()} == {
         ("rose", "creator", 0, "31"), ("rose", "assignee", 0, "32"), ("rose", "assignee", 1, "31"), ("rake", "watcher", 0, "32")}
     assert N.normalize_roles(alone, clickup.VOCABULARY).count() == tables["record_identities"].count() == 4
+
+
+@pytest.mark.parametrize("table", ["records", "comments"])
+def test_parsed_bodies_are_not_broadcast(spark, table):
+    from queries.normalize import VOCABULARY
+    index = spark.createDataFrame([("s", "customer", "c", None, None, False), ("s", "order", "1", "customer", "c", False), ("s", "turn", "t", "order", "1", False)],
+                                  "snapshot_id string, type string, id string, parent_type string, parent_id string, composite boolean")
+    owner = spark.createDataFrame([("s", "w1")], "snapshot_id string, workspace_source_id string")
+    operation, body = {"records": ("get record", '{"id":"1","name":"One"}'), "comments": ("list turns", '{"comments":[{"id":"t","comment_text":"hi"}]}')}[table]
+    responses = spark.createDataFrame([("s", 1, operation, "x.json", body)], "snapshot_id string, sequence long, operation string, raw_path string, body string")
+    if table == "records":
+        normalized, found = N.normalize_records(index, N.record_details(responses, VOCABULARY)[0], owner, VOCABULARY)
+    else:
+        normalized, found = N.normalize_comments(index, N.observed_comments(responses, VOCABULARY)[0], owner, VOCABULARY)
+    joins = [re.findall(r"(\w+Join) \[snapshot_id#\d+, id#\d+\], \[snapshot_id#\d+, id#\d+\], (?:Inner|LeftOuter)", frame._jdf.queryExecution().sparkPlan().toString())
+             for frame in (normalized, found)]
+    # The outermost join of each is that with the bodies.
+    assert [names[0] for names in joins] == ["SortMergeJoin", "SortMergeJoin"]
+    assert [r.source_id for r in normalized.collect()] == ["1" if table == "records" else "t"] and found.collect() == []
