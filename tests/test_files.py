@@ -84,6 +84,39 @@ def test_one_ledger_is_the_work_of_many_tasks(spark, tmp_path):
     assert {r.snapshot_id for r in ledger.select("snapshot_id").distinct().collect()} == {"healthy"}
 
 
+def test_objects_without_brackets_are_one_token():
+    rnd = random.Random(8)
+    rows = json.dumps([{"id": f"r{n}", "text": 'a"}],{[\\', "n": n, "none": None} for n in range(50)]).encode()
+    assert len(list(arrays.structure(io.BytesIO(rows), 0, arrays.OUTSIDE, coarse=True))) == 50 + 49 + 2
+    texts = [rows, b'[1] {"a":1,"b":2}', b'{"a":1,"b":[{"c":1},{}],"d":{"e":1,"f":2}}', b'[{"a":"\\"}]"},{"b":{"c":1,"d":2}}]']
+    texts += [bytes(rnd.choices(b'{}[],"\\a', k=rnd.randrange(1, 40))) for _ in range(3000)]
+    for text in texts:
+        for level in (1, 2):
+            want, depth = [], 0
+            for offset, token in arrays.structure(io.BytesIO(text), 0, arrays.OUTSIDE):
+                if depth == level and token in b",]}" or depth == level - 1 and token == b"[":
+                    want.append((offset, token, depth))
+                depth += (token in b"[{") - (token in b"]}")
+            tokens = arrays._levels(arrays.structure(io.BytesIO(text), 0, arrays.OUTSIDE, coarse=True), 0, level)
+            assert [x for x in tokens if len(x[1]) == 1 and (x[2] == level and x[1] in b",]}" or x[2] == level - 1 and x[1] == b"[")] == want
+
+
+def test_ranges_of_many_files_are_chained_by_many_tasks(spark, tmp_path, monkeypatch):
+    for n in range(40):
+        (tmp_path / f"{n}.json").write_text(json.dumps([{"id": n, "text": "x],[{" * k} for k in range(20)]))
+    cut, tasks = arrays.cut_lineage, []
+
+    def counted(frame):
+        if "whole" in frame.columns:
+            tasks.append(frame.select(F.spark_partition_id().alias("p")).distinct().count())
+        return cut(frame)
+
+    monkeypatch.setattr(arrays, "cut_lineage", counted)
+    found = arrays.array_elements(X.list_files(spark, str(tmp_path)), None, 64).collect()
+    assert sorted(r.element for r in found) == sorted(json.dumps({"id": n, "text": "x],[{" * k}) for n in range(40) for k in range(20))
+    assert tasks[0] > 1
+
+
 def test_hashes_and_secrets_in_pieces(spark, tmp_path):
     rnd = random.Random(3)
     secrets = ["secret-token", "tökén", "s", ""]
