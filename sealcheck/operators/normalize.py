@@ -345,6 +345,8 @@ def normalize_identities(people: DataFrame, vocabulary: Vocabulary) -> Result:
 
     `people` has (snapshot_id, person_id, username, email, raw_path), over records and comments.
     """
+    # Written, as all that follows reads it: the bodies people come from would be parsed for each reader.
+    people = cut_lineage(people.select("snapshot_id", "person_id", "username", "email", "raw_path"))
     known = people.filter(~is_blank(F.col("person_id")))
     # The smallest raw path stands for the first observation.
     merged = first_or_conflict(known, ["snapshot_id", "person_id"], ["username", "email"], "raw_path")

@@ -136,3 +136,19 @@ def test_parsed_bodies_are_not_broadcast(spark, table):
     # The outermost join of each is that with the bodies.
     assert [names[0] for names in joins] == ["SortMergeJoin", "SortMergeJoin"]
     assert [r.source_id for r in normalized.collect()] == ["1" if table == "records" else "t"] and found.collect() == []
+
+
+def test_people_are_made_once_for_identities_and_findings(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(path):
+        made.add(1)
+        return path
+
+    rows = [("s1", "p1", "a", None, "raw/1"), ("s1", "p1", "b", None, "raw/2"), ("s1", "p2", "c", "c@x", "raw/3"), ("s1", " ", "d", None, "raw/4")]
+    people = spark.createDataFrame(rows, "snapshot_id string, person_id string, username string, email string, path string")
+    people = people.select("snapshot_id", "person_id", "username", "email", F.udf(seen, "string").asNondeterministic()("path").alias("raw_path"))
+    table, found = N.normalize_identities(people, clickup.VOCABULARY)
+    assert {(r.source_id, r.username, r.source_raw_path) for r in table.collect()} == {("p1", "a", "raw/1"), ("p2", "c", "raw/3")}
+    assert {(r.code, r.key) for r in found.collect()} == {("CONFLICTING_METADATA", "p1"), ("INVALID_ID", "raw/4")}
+    assert made.value == len(rows)
