@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sealcheck.schemas import PORTABLE_COLUMNS, PORTABLE_ORDER, portable_schema
+from sealcheck.session import CODEC
 
 
 def write_portable(tables: dict[str, DataFrame], path: str) -> None:
@@ -15,7 +16,7 @@ def write_portable(tables: dict[str, DataFrame], path: str) -> None:
     for name, frame in tables.items():
         order = ["snapshot_id", *PORTABLE_ORDER.get(name, ["id"])]
         columns = [field.name for field in portable_schema(name)]
-        frame.select(*columns).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("snapshot_id").parquet(f"{path}/{name}")
+        frame.select(*columns).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("snapshot_id").parquet(f"{path}/{name}", compression=CODEC)
 
 
 def read_portable(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
