@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from queries import load, mapping
 from queries.mapping import Mapping, Tables
+from sealcheck.functions.ids import packed, unpacked
 from sealcheck.operators import organize as O
+from sealcheck.operators.trees import parent_cycles
 from sealcheck.session import cut_lineage
+from sealcheck.skew import sieve
 
 DATA = "/root/testdata/sf0.001"
 
@@ -46,3 +49,28 @@ def test_index_pages_need_no_records(spark):
     tables = Mapping(spark, DATA).tables
     some = {name: tables[name].filter("snapshot_id = 's1'") for name in ("workspaces", "containers", "collections")}
     assert O.index_documents(some).filter("table = 'collections'").count() == some["collections"].count()
+
+
+def test_packed_ids_come_back(spark):
+    good = "sc_" + "0a" * 32
+    texts = [good, good.upper(), "sc_" + "0A" * 32, good[:-1], good + "0", "sc_", "s", "", "bad_1", "sc_\x00x", "sc_\x01x", "sc_" + "g" * 64, "ümlaut", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed("t").alias("p")).select("t", "p", unpacked("p").alias("back")).collect()
+    assert [r.back for r in rows] == texts
+    assert len({bytes(r.p) for r in rows if r.p is not None}) == len(texts) - 1 and len(rows[0].p) == 36
+    ordered = sorted(r.t for r in ids(spark, 50).select(F.col("id").alias("t")).collect())
+    assert [r.t for r in spark.createDataFrame([(t,) for t in ordered], "t string").orderBy(packed("t")).collect()] == ordered
+
+
+def test_repeated_keys_are_found_after_their_hashes(spark):
+    """Nodes that repeat with another parent: the smallest parent counts, also where it leads nowhere."""
+    rows = [("s", "a", "b"), ("s", "b", "a"), ("s", "c", "a"), ("s", "d", "c"), ("s", "e", "f"), ("s", "f", None), ("s", "g", "0"), ("s", "g", "a"), ("s", "h", "g"), (None, "x", "x")]
+    found = parent_cycles(spark.createDataFrame(rows, "snapshot_id string, node string, parent string"))
+    assert sorted((r.snapshot_id or "", r.node) for r in found.collect()) == [("", "x"), ("s", "a"), ("s", "b"), ("s", "c"), ("s", "d")]
+
+
+def test_sieve_keeps_what_is_wanted(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("own"))
+    wanted = rows.filter("id % 100 = 7")
+    left = {r.id for r in sieve(rows, "own", wanted.select("own"), 1 << 20).collect()}
+    assert {r.id for r in wanted.collect()} <= left and len(left) < 400
+    assert sieve(rows, "own", wanted.filter("id < 0").select("own")).count() == 0
