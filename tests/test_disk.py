@@ -9,6 +9,7 @@ from queries import load, mapping
 from queries.mapping import Mapping, Tables
 from sealcheck.functions.ids import packed, unpacked
 from sealcheck.operators import organize as O
+from sealcheck.operators.checks import relationship_evidence
 from sealcheck.operators.trees import parent_cycles
 from sealcheck.session import cut_lineage
 from sealcheck.skew import sieve
@@ -74,3 +75,13 @@ def test_sieve_keeps_what_is_wanted(spark):
     left = {r.id for r in sieve(rows, "own", wanted.select("own"), 1 << 20).collect()}
     assert {r.id for r in wanted.collect()} <= left and len(left) < 400
     assert sieve(rows, "own", wanted.filter("id < 0").select("own")).count() == 0
+
+
+def test_relationship_evidence_keeps_the_largest_id(spark):
+    """Of ids that share a source the largest text counts, whether or not it can be packed as a digest."""
+    good, other = "sc_" + "ff" * 32, "sc_zz"
+    records = spark.createDataFrame([("s", "a", good), ("s", "a", other), ("s", "b", "bad"), ("s", "b", good)], "snapshot_id string, source_id string, id string")
+    links = spark.createDataFrame([("s", "l1", "a", "b", other, good, "RESOLVED"), ("s", "l2", "a", "b", good, "bad", "RESOLVED"), ("s", "l3", "a", "c", other, None, "RESOLVED")],
+                                  "snapshot_id string, id string, from_source_id string, to_source_id string, from_record_id string, to_record_id string, resolution_state string")
+    found = sorted((r.key, r.code) for r in relationship_evidence(links, records).collect())
+    assert found == [("l2", "FROM_WRONG_TARGET"), ("l2", "TO_WRONG_TARGET"), ("l3", "STATE_OVERSTATES")]
